@@ -17,23 +17,25 @@ def _first(*parts: Column) -> Column:
 
 
 def cut_first(df: DataFrame, group: list[str], levels: list[Column], targets: DataFrame,
-              target: str, flag: str) -> DataFrame:
+              target: str, flag: str, few_groups: bool = True) -> DataFrame:
     """Mark, in each group, exactly the first ``target`` rows in the order of ``levels``.
 
     ``levels`` runs from coarse to fine and ends with a column that is unique in the
     group. At every level only counts per (group, level value) are shuffled, after
     map-side combining; the next level looks at the rows of one level value alone. No
     group is sorted as a whole, so a label holding most of the table is no hot task.
-    ``targets`` holds one row per group, so what is joined back grows with the number
-    of groups only.
+    ``targets`` holds one row per group. With ``few_groups`` (class labels and the like,
+    a fixed list) it is broadcast and the table itself is never shuffled; for groups that
+    grow with the data pass False.
     """
+    small = F.broadcast if few_groups else (lambda frame: frame)
     names = [f"_level{i}" for i in range(len(levels))]
     keyed = df.withColumns(dict(zip(names, levels)))
     bound = targets.select(*group, F.col(target).cast("long").alias("_left"))
     running = Window.partitionBy(*group).orderBy("_value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     for depth, name in enumerate(names):
-        here = keyed.join(bound, group)
+        here = keyed.join(small(bound), group)
         here = here.where(reduce(
             lambda a, b: a & b,
             [F.col(n) == F.col(f"_cut{i}") for i, n in enumerate(names[:depth])],
@@ -49,7 +51,7 @@ def cut_first(df: DataFrame, group: list[str], levels: list[Column], targets: Da
                               (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left")),
                      "_value").alias("_b")).select(*group, "_b.*")
     cuts = [f"_cut{i}" for i in range(len(names))]
-    marked = keyed.join(bound.drop("_left"), group, "left")
+    marked = keyed.join(small(bound.drop("_left")), group, "left")
     within = F.coalesce(_first(*[F.col(n) for n in names]) <= _first(*[F.col(c) for c in cuts]),
                         F.lit(False))
     return marked.withColumn(flag, F.when(F.col("_cut0").isNull(), False).otherwise(within)) \
@@ -57,7 +59,9 @@ def cut_first(df: DataFrame, group: list[str], levels: list[Column], targets: Da
 
 
 def draw(df: DataFrame, group: list[str], row_id: str, seed: int | str,
-         targets: DataFrame, target: str, flag: str = "drawn") -> DataFrame:
+         targets: DataFrame, target: str, flag: str = "drawn",
+         few_groups: bool = True) -> DataFrame:
     """Mark ``target`` rows of each group, drawn by md5 without replacement."""
     key = draw_key(F.col(row_id), seed)
-    return cut_first(df, group, [F.substring(key, 1, 5), key], targets, target, flag)
+    return cut_first(df, group, [F.substring(key, 1, 5), key], targets, target, flag,
+                     few_groups)

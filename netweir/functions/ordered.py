@@ -53,21 +53,24 @@ def running_totals(counts: DataFrame, groups: list[str], value: str, sums: list[
 
 
 def exact_quantiles(rows: DataFrame, groups: list[str], value: str, grid: list[float],
-                    cell: Column | None = None, broadcast_cells: bool = True) -> DataFrame:
+                    cell: Column | None = None, broadcast_cells: bool = True,
+                    weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles, one row per group: ``n`` and ``quantiles``.
 
     The first pass counts rows per cell, which tells the cells holding the wanted ranks
     (at most two per grid point); the second orders the distinct values of those cells
     only. ``broadcast_cells`` is for groups from a fixed list, where the wanted cells are
-    few; with groups that grow with the data pass False.
+    few; with groups that grow with the data pass False. ``weight`` names a column that
+    says how many equal rows a row stands for.
     """
     usable = rows.where(F.col(value).isNotNull() & ~F.isnan(value)
                         & (F.abs(F.col(value)) != float("inf")))
     celled = usable.select(
         *groups, F.col(value).cast("double").alias("_v"),
+        (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"),
         (value_cell(F.col(value).cast("double")) if cell is None else cell).alias("_cell"))
     everything = Window.partitionBy(*groups)
-    per_cell = celled.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    per_cell = celled.groupBy(*groups, "_cell").agg(F.sum("_w").alias("_n"))
     per_cell = per_cell.withColumns({
         "_start": F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)),
         "_total": F.sum("_n").over(everything)})
@@ -90,7 +93,7 @@ def exact_quantiles(rows: DataFrame, groups: list[str], value: str, grid: list[f
     if broadcast_cells:
         needed = F.broadcast(needed)
     distinct = celled.join(needed, [*groups, "_cell"]).groupBy(*groups, "_cell", "_v").agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_start").alias("_start"),
+        F.sum("_w").alias("_n"), F.first("_start").alias("_start"),
         F.first("_total").alias("_total"), F.first("_ranks").alias("_ranks"))
     order = Window.partitionBy(*groups, "_cell").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
