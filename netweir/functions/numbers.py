@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweir.functions import contract
@@ -46,17 +46,17 @@ def count_if(condition: Column) -> Column:
 def parse_number(raw: Column) -> Column:
     """``struct(value, reason)`` of a raw text; exactly one of the two is null."""
     text = F.trim(raw.cast("string"))
+    plain = F.when(text.rlike(NUMBER_TEXT), F.when(F.contains(text, F.lit("_")), F.replace(
+        text, F.lit("_"), F.lit(""))).otherwise(text).try_cast("double"))
+    number = F.abs(plain) != float("inf")
     lowered = F.lower(text)
-    plain = F.when(text.rlike(NUMBER_TEXT),
-                   F.regexp_replace(text, "_", "").try_cast("double"))
-    reason = (
-        F.when(raw.isNull(), "null")
-        .when(lowered.isin(contract.EMPTY_NUMBER_TEXT), "empty")
-        .when(lowered.rlike(r"^[+-]nan$"), "nan")
-        .when(lowered.rlike(INFINITE_TEXT), "inf")
-        .when(plain.isNull(), "non_numeric")
-        .when(F.abs(plain) == float("inf"), "inf"))
-    return F.struct(F.when(reason.isNull(), plain).alias("value"), reason.alias("reason"))
+    other = (F.when(raw.isNull(), "null").when(lowered.isin(contract.EMPTY_NUMBER_TEXT), "empty")
+             .when(lowered.rlike(r"^[+-]nan$"), "nan")
+             .when(lowered.rlike(INFINITE_TEXT) | text.rlike(NUMBER_TEXT), "inf")
+             .otherwise("non_numeric"))
+    nothing = F.lit(None)
+    return F.when(number, F.struct(plain.alias("value"), nothing.cast("string").alias("reason"))).otherwise(
+        F.struct(nothing.cast("double").alias("value"), other.alias("reason")))
 
 
 def wilson(successes: Column, trials: Column, z: float = contract.WILSON_Z) -> Column:
@@ -85,3 +85,12 @@ def interpolate(x: Column, knots: Column, levels: Column) -> Column:
     return (F.when(below == 0, F.try_element_at(levels, F.lit(1)))
             .when(below >= F.size(knots), F.try_element_at(levels, F.lit(-1)))
             .otherwise(y0 + (x - x0) * ((y1 - y0) / (x1 - x0))))
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later filters and projections read but never recompute.
+
+    Spark may push a filter below a projection by repeating its expressions; it does not
+    push one below a generator, here one that gives a single row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweir.functions.numbers import ratio
+from netweir.functions import contract
 from netweir.operators.alarms import raise_alarms
 
 T0_MICROS = 1704067200000000  # 2024-01-01, first day of the events table
@@ -268,3 +268,61 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
         decision.alias("decision"), (doc % 50 / 64).alias("confidence"), evidence.alias("evidence"),
         F.when(doc % 8 < 6, "with_evidence").otherwise("without_evidence").alias("condition"),
         F.concat(sentence, F.col("text")).alias("text"))
+
+
+def dirty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates with infinite, NaN and null values, a constant and a nearly constant column."""
+    q, price = F.col("quantity"), F.col("extendedprice")
+    infinite, nan = F.lit(float("inf")), F.lit(float("nan"))
+    return features(spark, sf_dir).select(
+        "row_id", F.concat(F.lit(" "), F.replace("label", F.lit("DoS Hulk"), F.lit("Web Attack \x96 XSS")))
+        .alias("Label"),
+        F.when((F.col("discount") == 0) & (q > 25), infinite).when((F.col("tax") == 0) & (q < 3), nan)
+        .otherwise(price / (q * 100)).alias("Flow Bytes/s"),
+        F.when((F.col("tax") == 0) & (q > 48), -infinite).when(q != 7, q - 10).alias("Flow Packets/s"),
+        (price / 64).alias("Flow Duration"), F.lit(0.0).alias("Bwd PSH Flags"),
+        F.when((q == 50) & (F.col("discount") < 0.03), 1.0).otherwise(0.0).alias("ECE Flag Count"))
+
+
+def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times as ``d/m/yyyy h:MM[:SS]`` on a 12-hour clock."""
+    ts = F.col("ts").cast("timestamp")
+    hour = F.when(F.hour(ts) % 12 == 0, 12).otherwise(F.hour(ts) % 12)
+    text = F.concat(F.day(ts).cast("string"), F.lit("/"), F.month(ts).cast("string"), F.lit("/"),
+                    F.year(ts).cast("string"), F.lit(" "), hour.cast("string"), F.lit(":"),
+                    F.date_format(ts, "mm"),
+                    F.when(F.col("event_id") % 2 == 0, F.date_format(ts, ":ss")).otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+
+
+def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times as text in every form a capture may use, junk included."""
+    ts = F.col("ts").cast("timestamp")
+    kind = F.col("event_id") % 10
+    text = (F.when(kind == 0, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+            .when(kind == 1, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")))
+            .when(kind == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+            .when(kind == 3, F.date_format(ts, "dd/MM/yyyy HH:mm:ss"))
+            .when(kind == 4, F.date_format(ts, "d/M/yyyy H:mm"))
+            .when(kind == 5, F.date_format(ts, "yyyy/MM/dd HH:mm:ss"))
+            .when(kind == 6, F.unix_seconds(ts).cast("string"))
+            .when(kind == 7, F.concat(F.lit("  "), F.date_format(ts, "yyyy-MM-dd"), F.lit(" ")))
+            .when(kind == 8, "not a time"))
+    return table(spark, sf_dir, "events").select("event_id", ts.alias("ingested_at"), text.alias("text"))
+
+
+def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture table: texts under capture names, some columns absent."""
+    name_of = {v: k for k, v in contract.CAPTURE_TO_CONTRACT.items()}
+    v = flow_vectors(spark, sf_dir)
+    q = F.col("Total Fwd Packets")
+    columns = []
+    for name in RAW_FEATURES:
+        text = F.col(f"`{name}`").cast("string")
+        if name == "Packet Length Std":
+            text = F.when(q == 3, "nan").when(q == 4, "x").when(q == 5, "").when(q == 6, "-inf").otherwise(text)
+        if name == "Bwd Packet Length Min":
+            text = F.when(q == 8, F.lit(None).cast("string")).when(q > 30, F.concat(F.lit("-"), text)).otherwise(text)
+        columns.append(text.alias(name_of[name]))
+    return v.select("row_id", F.lit("10.0.0.1").alias("src_ip"), *columns,
+                    F.lit("7").alias("bwd_psh_flags"), F.lit("unused").alias("comment"))
