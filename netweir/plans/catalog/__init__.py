@@ -1,6 +1,6 @@
 """Every operator as a query over the test tables, with its SQL equal where SQL can say it."""
 
-from netweir.plans.catalog import alarms, evaluation, profiling  # noqa: F401
+from netweir.plans.catalog import alarms, evaluation, profiling, training_sets  # noqa: F401
 from netweir.plans.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
