@@ -31,11 +31,12 @@ def _before(groups: list[str]):
         Window.unboundedPreceding, -1)
 
 
-def running_totals(counts: DataFrame, groups: list[str], value: str, sums: list[str],
+def running_totals(counts: DataFrame, groups: list[str], value: str | list[str], sums: list[str],
                    cell: Column | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<s>`` in value order inside each group.
 
-    ``counts`` holds one row per (groups, value). The running sum is taken cell by cell
+    ``counts`` holds one row per (groups, value); with a list of columns to order by, the
+    cell must be given and be monotone in them. The running sum is taken cell by cell
     and shifted by the total of the cells before it.
     """
     celled = counts.withColumn("_cell", value_cell(F.col(value)) if cell is None else cell)
@@ -44,7 +45,8 @@ def running_totals(counts: DataFrame, groups: list[str], value: str, sums: list[
     totals = totals.select(*groups, "_cell", *[
         F.coalesce(F.sum(f"_t_{s}").over(_before(groups)), F.lit(0)).alias(f"_b_{s}")
         for s in sums])
-    inside = Window.partitionBy(*groups, "_cell").orderBy(value).rowsBetween(
+    order = [value] if isinstance(value, str) else value
+    inside = Window.partitionBy(*groups, "_cell").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = celled.withColumns({f"_l_{s}": F.sum(s).over(inside) for s in sums})
     return local.join(totals, [*groups, "_cell"]).withColumns(
