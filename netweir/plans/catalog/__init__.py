@@ -1,7 +1,7 @@
 """Every operator as a query over the test tables, with its SQL equal where SQL can say it."""
 
 from netweir.plans.catalog import (  # noqa: F401
-    alarms, drift, evaluation, explanations, packets, profiling, training_sets,
+    alarms, drift, evaluation, explanations, models, packets, profiling, streams, training_sets,
 )
 from netweir.plans.catalog.registry import ORACLES, QUERIES
 

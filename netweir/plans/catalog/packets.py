@@ -47,10 +47,10 @@ def packet_counts(spark, sf):
     return P.packet_counts(assigned(spark, sf))
 
 
-def shape_sql(p: str) -> str:
-    return (f"round(CASE WHEN {p}std <> 0 THEN 3 * ({p}mean - {p}median) / {p}std ELSE -10 END, 6) AS {p}skew, "
-            f"round(CASE WHEN {p}std <> 0 THEN ({p}mean - {p}mode) / {p}std ELSE -10 END, 6) AS {p}skew_mode, "
-            f"round(CASE WHEN {p}mean <> 0 THEN {p}std / {p}mean ELSE -1 END, 6) AS {p}cov")
+def shape_sql(p: str, d: int = 6) -> str:
+    return (f"round(CASE WHEN {p}std <> 0 THEN 3 * ({p}mean - {p}median) / {p}std ELSE -10 END, {d}) AS {p}skew, "
+            f"round(CASE WHEN {p}std <> 0 THEN ({p}mean - {p}mode) / {p}std ELSE -10 END, {d}) AS {p}skew_mode, "
+            f"round(CASE WHEN {p}mean <> 0 THEN {p}std / {p}mean ELSE -1 END, {d}) AS {p}cov")
 
 
 @query("length_stats", f"WITH {PACKETS}, c AS (SELECT flow_id, length, count(*) AS n FROM pk GROUP BY 1, 2), m AS (SELECT flow_id, arg_min(length, struct_pack(a := -n, b := length)) AS len_mode FROM c GROUP BY 1), s AS (SELECT flow_id, "
@@ -66,7 +66,7 @@ def length_stats(spark, sf):
 
 def gap_stats_sql(prefix: str, gap: str, source: str) -> str:
     return f"{prefix}s AS (SELECT flow_id, " + ", ".join(
-        f"CASE WHEN count({gap}) > 1 THEN round({f}({gap}), 6) ELSE 0 END AS {prefix}{n}" for n, f in (
+        f"CASE WHEN count({gap}) > 1 THEN round({f}({gap}), 9) ELSE 0 END AS {prefix}{n}" for n, f in (
             ("total", "sum"), ("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + f" FROM {source} GROUP BY flow_id)"
 
 
@@ -77,7 +77,7 @@ def gap_stats_sql(prefix: str, gap: str, source: str) -> str:
     + " SELECT f.flow_id, " + ", ".join(f"coalesce({p}_iat_{n}, 0)::DOUBLE AS {p}_iat_{n}" for p in ("flow", "fwd", "bwd") for n in ("total", "mean", "std", "min", "max"))
     + " FROM flow_iat_s f LEFT JOIN fwd_iat_s a USING (flow_id) LEFT JOIN bwd_iat_s b USING (flow_id)")
 def iat_stats(spark, sf):
-    return rounded(P.iat_stats(assigned(spark, sf)))
+    return rounded(P.iat_stats(assigned(spark, sf)), 9)
 
 
 @query("packet_rates", f"""WITH {PACKETS}, s AS (SELECT flow_id, (max(time_us) - min(time_us)) / 1000000.0::DOUBLE AS duration, sum(length) AS bytes, count(*) AS n, count(*) FILTER (forward) AS f, count(*) FILTER (NOT forward) AS b FROM pk GROUP BY 1)
@@ -112,7 +112,7 @@ idl AS (SELECT flow_id, (time_us - prev) / 1000000.0::DOUBLE AS gap FROM pk WHER
 SELECT flow_id, """ + ", ".join(f"coalesce({p}_{n}, 0)::DOUBLE AS {p}_{n}" for p in ("active", "idle") for n in ("mean", "std", "min", "max")) + """
 FROM (SELECT DISTINCT flow_id FROM pk) LEFT JOIN active_s USING (flow_id) LEFT JOIN idle_s USING (flow_id)""")
 def active_idle(spark, sf):
-    return rounded(P.active_idle(assigned(spark, sf)))
+    return rounded(P.active_idle(assigned(spark, sf)), 9)
 
 
 @query("bulk", f"""WITH {PACKETS}, l AS (SELECT *, lag(time_us) OVER w AS lp, lag(forward) OVER w AS lf FROM pk WHERE payload_bytes > 0 WINDOW w AS (PARTITION BY flow_id ORDER BY time_us, packet_id)),
@@ -127,17 +127,17 @@ def bulk(spark, sf):
 def times_sql(source: str, column: str, p: str) -> str:
     return f"""b AS (SELECT flow_id, avg({column}) AS {p}mean, var_pop({column}) AS {p}var, stddev_pop({column}) AS {p}std, quantile_cont({column}, 0.5) AS {p}median, max({column}) AS {p}max FROM {source} GROUP BY 1),
 c AS (SELECT flow_id, {column} AS x, count(*) AS n FROM {source} GROUP BY 1, 2), m AS (SELECT flow_id, arg_min(x, struct_pack(a := -n, b := x)) AS {p}mode FROM c GROUP BY 1)
-SELECT flow_id, round({p}mean, 6) AS {p}mean, round({p}var, 6) AS {p}var, round({p}std, 6) AS {p}std, round({p}median, 6) AS {p}median, round({p}mode, 6) AS {p}mode, {shape_sql(p)}"""
+SELECT flow_id, round({p}mean, 9) AS {p}mean, round({p}var, 9) AS {p}var, round({p}std, 9) AS {p}std, round({p}median, 9) AS {p}median, round({p}mode, 9) AS {p}mode, {shape_sql(p, 9)}"""
 
 
 @query("response_time", f"""WITH {PACKETS}, t AS (SELECT p.flow_id, (time_us - prev) / 1000000.0::DOUBLE AS gap FROM pk p WHERE NOT forward AND prev IS NOT NULL AND prev_out <> out), {times_sql('t', 'gap', 'response_')} FROM b JOIN m USING (flow_id)""")
 def response_time(spark, sf):
-    return rounded(P.response_time(assigned(spark, sf)))
+    return rounded(P.response_time(assigned(spark, sf)), 9)
 
 
-@query("packet_time_stats", f"""WITH {PACKETS}, t AS (SELECT flow_id, (time_us - start_us) / 1000000.0::DOUBLE AS o FROM pk), {times_sql('t', 'o', 'time_')}, round(time_max, 6) AS duration FROM b JOIN m USING (flow_id)""")
+@query("packet_time_stats", f"""WITH {PACKETS}, t AS (SELECT flow_id, (time_us - start_us) / 1000000.0::DOUBLE AS o FROM pk), {times_sql('t', 'o', 'time_')}, round(time_max, 9) AS duration FROM b JOIN m USING (flow_id)""")
 def packet_time_stats(spark, sf):
-    return rounded(P.packet_time_stats(assigned(spark, sf)))
+    return rounded(P.packet_time_stats(assigned(spark, sf)), 9)
 
 
 @query("assembled_flows", f"""WITH {PACKETS} SELECT flow_id, arg_min(split_part(src, ':', 1), packet_id) AS src_ip, count(*) AS packets, CAST(sum(length) AS BIGINT) AS len_total, min(start_us) AS start_us, round((max(time_us) - min(time_us)) / 1000000.0::DOUBLE, 6) AS duration FROM pk GROUP BY flow_id""")

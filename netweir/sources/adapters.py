@@ -20,13 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of closed files."""
+    from netweir.streaming.flows import flow_stream
+    schema = table(spark, sf_dir, "events").schema
+    return flow_stream(spark, sf_dir, schema, "parquet", file_glob="events.parquet")
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected flows, one per event."""
+    return as_flows(table(spark, sf_dir, "events"))
+
+
+def as_flows(events: DataFrame) -> DataFrame:
+    """Detected flows, one per event; works on a table and on a stream."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     kind = F.col("event_type")
     label = (F.when(kind.isin("view", "click"), "BENIGN")
              .when(kind.isin("purchase", "signup"), "ATTACK").otherwise("UNKNOWN"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("flow_id"),
         F.col("ts").cast("timestamp").alias("flow_ts"),
         F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("source_ip"),
@@ -203,15 +214,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_packets(table(spark, sf_dir, "events"))
+
+
+def as_packets(events: DataFrame) -> DataFrame:
     """A packet per event: 48 host pairs, 30 days squeezed into some twenty minutes."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
-    since = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(T0_MICROS)
     forward = F.expr("event_id div 5 % 2") == 0
     client = F.concat(F.lit("10.1.0."), (F.col("user_id") % 12).cast("string"))
     server = F.concat(F.lit("10.2.0."), (k % 4).cast("string"))
     client_port, server_port = F.lit(40000) + F.col("user_id") % 12, F.lit(80) + k % 4
     length = (F.floor(F.col("value")) + 40).cast("long")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("packet_id"),
         (F.lit(T0_MICROS) + F.expr(
             f"(unix_micros(cast(ts as timestamp)) - {T0_MICROS}L) div 2000") + F.expr(
