@@ -76,9 +76,12 @@ def wilson(successes: Column, trials: Column, z: float = contract.WILSON_Z) -> C
 def interpolate(x: Column, knots: Column, levels: Column) -> Column:
     """Piecewise-linear value at ``x`` through (knots, levels), clamped at both ends.
 
-    At a repeated knot the rightmost one decides.
+    At a repeated knot the rightmost one decides. Knots are sorted, at most 127 of them;
+    how many lie at or below ``x`` is found by halving.
     """
-    below = F.size(F.filter(knots, lambda k: k <= x))
+    steps = F.array(*[F.lit(1 << i) for i in range(6, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(knots, at + step - 1) <= x, at + step).otherwise(at))
     at, after = below, below + 1
     x0, x1 = F.try_element_at(knots, at), F.try_element_at(knots, after)
     y0, y1 = F.try_element_at(levels, at), F.try_element_at(levels, after)

@@ -68,18 +68,26 @@ def _finding(kind: str, severity: str, matched: Column) -> Column:
 def findings(text: Column, evidence_text: Column, numbers: Column) -> Column:
     """Things the text names that it cannot know: addresses, payload, ports, protocols."""
     text = F.coalesce(text, F.lit(""))
-    v4 = F.regexp_extract_all(text, F.lit(IPV4), 0)
-    v6 = F.filter(F.regexp_extract_all(text, F.lit(IPV6), 0), lambda m: ~F.regexp_like(m, F.lit(IPV4)))
-    payload = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?iU){t}"), 0) for t in PAYLOAD_TERMS]))
-    ports = F.filter(F.regexp_extract_all(text, F.lit(PORT_MENTION), 1),
-                     lambda p: ~is_given(p.cast("double"), numbers))
-    words = F.array(*[F.when(
-        ~F.contains(evidence_text, F.lit(w.lower())) & text.rlike(rf"(?iU)\b{w}\b"), w) for w in PROTOCOL_WORDS])
+    none = F.array().cast("array<string>")
+
+    def every(pattern, group=0):
+        return F.regexp_extract_all(text, F.lit(pattern), group)
+
+    v4 = every(IPV4)
+    v6 = F.when(F.contains(text, F.lit(":")), F.filter(
+        every(IPV6), lambda m: ~F.regexp_like(m, F.lit(IPV4)))).otherwise(none)
+    # most texts name no payload: one search tells, the single patterns then count
+    payload = F.when(text.rlike("(?iU)" + "|".join(PAYLOAD_TERMS)), F.flatten(F.array(
+        *[every(f"(?iU){t}") for t in PAYLOAD_TERMS]))).otherwise(none)
+    ports = F.when(F.contains(F.lower(text), F.lit("port")), F.filter(
+        every(PORT_MENTION, 1), lambda p: ~is_given(p.cast("double"), numbers))).otherwise(none)
+    named = F.array_distinct(F.transform(every(rf"(?iU)\b({'|'.join(PROTOCOL_WORDS)})\b", 1), F.upper))
+    words = F.filter(named, lambda w: ~F.contains(evidence_text, F.lower(w)))
     return F.concat(
         F.transform(F.concat(v4, v6), lambda m: _finding("ip_address_not_in_evidence", "high", m)),
         F.transform(payload, lambda m: _finding("payload_or_packet_content_claim", "high", m)),
         F.transform(ports, lambda m: _finding("port_not_in_evidence", "medium", m)),
-        F.transform(F.array_compact(words), lambda m: _finding("protocol_not_in_evidence", "medium", m)))
+        F.transform(words, lambda m: _finding("protocol_not_in_evidence", "medium", m)))
 
 
 def uncited_numbers(text: Column, numbers: Column) -> Column:

@@ -23,33 +23,21 @@ def long_features(df: DataFrame, features: list[str], keep: list[str] | None = N
 def feature_reference(df: DataFrame, features: list[str]) -> DataFrame:
     """Statistics of every feature, with the 101 percent quantiles.
 
-    Counts and moments come from one wide pass without a shuffle of rows; quantiles from
-    the counting passes of ``exact_quantiles``; distinct values from a two-step count.
-    Mean and deviation are over finite values, fractions over all rows.
+    Every feature becomes a row of its own inside the scan stage, so all features share
+    one small set of aggregates that combine on the map side; quantiles come from the
+    counting passes of ``exact_quantiles``, distinct values from a two-step count. Mean and
+    deviation are over finite values, fractions over all rows.
     """
-    aggregates = []
-    for i, f in enumerate(features):
-        raw = F.col(f"`{f}`").cast("double")
-        value = finite(raw)
-        aggregates += [
-            F.count(value).alias(f"count_{i}"),
-            count_if(raw.isNull() | F.isnan(raw)).alias(f"nan_{i}"),
-            count_if(F.abs(raw) == float("inf")).alias(f"inf_{i}"),
-            F.avg(value).alias(f"mean_{i}"),
-            F.when(F.count(value) > 1, F.stddev_samp(value)).otherwise(0.0).alias(f"std_{i}"),
-            F.min(value).alias(f"min_{i}"), F.max(value).alias(f"max_{i}"),
-            count_if(raw == 0).alias(f"zero_{i}"),
-            count_if((raw < 0) & ~F.isnan(raw)).alias(f"negative_{i}")]
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *aggregates)
-    stats = wide.select(F.explode(F.array(*[F.struct(
-        F.lit(f).alias("feature"), F.col(f"count_{i}").alias("count"),
-        F.col(f"nan_{i}").alias("nan_count"), F.col(f"inf_{i}").alias("inf_count"),
-        F.col(f"mean_{i}").alias("mean"), F.col(f"std_{i}").alias("std"),
-        F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"),
-        ratio_or_zero(F.col(f"zero_{i}"), F.col("rows")).alias("zero_fraction"),
-        ratio_or_zero(F.col(f"negative_{i}"), F.col("rows")).alias("negative_fraction"))
-        for i, f in enumerate(features)])).alias("s")).select("s.*")
     long = long_features(df, features)
+    raw, value = F.col("value"), F.col("_finite")
+    rows = F.count(F.lit(1))
+    stats = long.withColumn("_finite", finite(raw)).groupBy("feature").agg(
+        F.count(value).alias("count"), count_if(raw.isNull() | F.isnan(raw)).alias("nan_count"),
+        count_if(F.abs(raw) == float("inf")).alias("inf_count"), F.avg(value).alias("mean"),
+        F.when(F.count(value) > 1, F.stddev_samp(value)).otherwise(0.0).alias("std"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+        ratio_or_zero(count_if(raw == 0), rows).alias("zero_fraction"),
+        ratio_or_zero(count_if((raw < 0) & ~F.isnan(raw)), rows).alias("negative_fraction"))
     distinct = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(
         "feature", "value").agg(F.lit(1).alias("_x")).groupBy("feature").agg(
         F.count(F.lit(1)).alias("nunique"))

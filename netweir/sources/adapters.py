@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from netweir.functions import contract
 from netweir.operators.alarms import raise_alarms
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out the rows of a file that cannot be split, for work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 T0_MICROS = 1704067200000000  # 2024-01-01, first day of the events table
 
 
@@ -187,7 +193,7 @@ def flow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature maps of texts as they arrive, with gaps, bad texts and extra names."""
-    vectors = flow_vectors(spark, sf_dir)
+    vectors = spread(flow_vectors(spark, sf_dir))
     q = F.col("Total Fwd Packets")
     plain = [F.struct(F.lit(name).alias("name"), F.col(f"`{name}`").cast("string").alias("raw"))
              for name in RAW_FEATURES if name not in ("Packet Length Std", "Bwd Packet Length Max")]
@@ -271,7 +277,7 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
                      values.alias("value"), signs.alias("sign")),
         lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("value"),
                            (e["sign"] * (doc % 10 + 1) / 16).alias("contribution")))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         doc.alias("explanation_id"), (doc * 3).alias("alarm_id"),
         F.when(doc % 3 == 0, "claude-x").when(doc % 3 == 1, "Claude-y").otherwise("other-1")
         .alias("text_model"),
