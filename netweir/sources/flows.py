@@ -47,13 +47,16 @@ def read_features(spark: SparkSession, path: str, feature_set: list[str], meta:
 
 
 def read_capture(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Good rows of a capture, all as text, and the lines with the wrong number of fields."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
-                          + [T.StructField(CORRUPT, T.StringType())])
-    lines = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-             .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    """Good rows of a capture, all as text, and the lines with the wrong number of fields.
+
+    Lines are parsed one by one, so a half-written last line spoils no other.
+    """
+    schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
+    lines = spark.read.text(path).where(F.trim("value") != ",".join(columns))
+    parsed = lines.select(F.from_csv("value", F.lit(schema), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
     bad = F.col(CORRUPT).isNotNull()
-    return lines.where(~bad).drop(CORRUPT), lines.where(bad).select(CORRUPT)
+    return parsed.where(~bad).drop(CORRUPT), parsed.where(bad).select(CORRUPT)
 
 
 def capture_column_report(good: DataFrame, malformed: DataFrame, header: list[str]) -> DataFrame:
