@@ -51,7 +51,6 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "12g",
-        "spark.sql.files.maxPartitionBytes": "2m", "spark.sql.files.openCostInBytes": "262144",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     names = sys.argv[1:] or HEADLINE

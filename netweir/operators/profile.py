@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions import contract
 from netweir.functions.derive import RULES
-from netweir.functions.numbers import count_if, finite, is_finite, parse_number, ratio, ratio_or_zero
+from netweir.functions.numbers import computed_once, count_if, finite, is_finite, parse_number, ratio, ratio_or_zero
 from netweir.functions.ordered import carried_lag, exact_quantiles
 
 PERCENT_GRID = [i / 100 for i in range(101)]
@@ -178,7 +178,8 @@ def compatibility_profile(capture: DataFrame, reference: DataFrame, feature_set:
     present = [f for f in feature_set if name_of.get(f) in capture.columns]
     long = capture.select(F.explode(F.array(*[F.struct(
         F.lit(f).alias("feature"), F.col(f"`{name_of[f]}`").alias("raw"))
-        for f in present])).alias("x")).select("x.feature", parse_number(F.col("x.raw"))["value"].alias("value"))
+        for f in present])).alias("x")).select("x.*")
+    long = computed_once(long, value=parse_number(F.col("raw"))["value"]).drop("raw")
     value = F.col("value")
     live = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("observed"), F.count(value).alias("n_valid"),

@@ -176,7 +176,7 @@ def flow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric flow statistics with contract names."""
     q, price, line = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_linenumber")
     fwd, bwd = q, F.col("l_linenumber").cast("double") - 1
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         _row_id().alias("row_id"), F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"),
         F.when((F.col("l_tax") == 0) & (q > 40), 0.0).otherwise(F.floor(price * 10).cast("double"))
@@ -193,7 +193,7 @@ def flow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature maps of texts as they arrive, with gaps, bad texts and extra names."""
-    vectors = spread(flow_vectors(spark, sf_dir))
+    vectors = flow_vectors(spark, sf_dir)
     q = F.col("Total Fwd Packets")
     plain = [F.struct(F.lit(name).alias("name"), F.col(f"`{name}`").cast("string").alias("raw"))
              for name in RAW_FEATURES if name not in ("Packet Length Std", "Bwd Packet Length Max")]
@@ -294,7 +294,7 @@ def dirty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates with infinite, NaN and null values, a constant and a nearly constant column."""
     q, price = F.col("quantity"), F.col("extendedprice")
     infinite, nan = F.lit(float("inf")), F.lit(float("nan"))
-    return features(spark, sf_dir).select(
+    return spread(features(spark, sf_dir)).select(
         "row_id", F.concat(F.lit(" "), F.replace("label", F.lit("DoS Hulk"), F.lit("Web Attack \x96 XSS")))
         .alias("Label"),
         F.when((F.col("discount") == 0) & (q > 25), infinite).when((F.col("tax") == 0) & (q < 3), nan)
