@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions import contract
 from netweir.functions.cleaning import clean_label, parse_timestamp, protocol_name, to_int
-from netweir.functions.numbers import count_if, finite, is_finite
+from netweir.functions.numbers import count_if, finite, is_finite, parse_number
 
 APPLIED = "_micros_applied"
 
@@ -47,9 +47,13 @@ def redundant_columns(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def coerce_fill_zero(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Numbers from text; whatever is no finite number becomes 0."""
-    return df.withColumns({c: F.coalesce(finite(F.col(f"`{c}`").try_cast("double")), F.lit(0.0))
-                           for c in columns})
+    """Numbers from text; whatever is no finite decimal number becomes 0."""
+    def number(column):
+        text = F.col(f"`{column}`").cast("string")
+        value = F.when(~F.contains(text, F.lit("_")), parse_number(text)["value"])
+        return F.coalesce(value, F.lit(0.0))
+
+    return df.withColumns({c: number(c) for c in columns})
 
 
 def rename_to_contract(df: DataFrame, mapping: dict[str, str] = contract.CAPTURE_TO_CONTRACT,

@@ -127,10 +127,9 @@ def numbers(spark, sf):
 
 
 @query("coerce_fill_zero", f"""WITH {NUMBER_CASES}
-SELECT c_custkey, CASE c_custkey % 12 WHEN 0 THEN c_acctbal WHEN 1 THEN 1000.0 WHEN 2 THEN 1.0 WHEN 9 THEN 0.5 ELSE 0.0 END AS raw FROM cases
-WHERE c_custkey % 12 <> 2""")
+SELECT c_custkey, CASE c_custkey % 12 WHEN 0 THEN c_acctbal WHEN 1 THEN 1000.0 WHEN 9 THEN 0.5 ELSE 0.0 END AS raw FROM cases""")
 def coerce_fill_zero(spark, sf):
-    return C.coerce_fill_zero(numbers(spark, sf).where(F.coalesce(F.col("raw") != "1d", F.lit(True))), ["raw"])
+    return C.coerce_fill_zero(numbers(spark, sf), ["raw"])
 
 
 VECTORS = f"""vec AS (SELECT {ctes.ROW_ID} AS row_id, l_returnflag AS flag, l_linestatus AS status, l_quantity AS q,
@@ -354,9 +353,9 @@ def compatibility_profile(spark, sf):
 def dirty_stats(f: str) -> str:
     return f"""SELECT '{f}' AS feature, count(*) FILTER (isfinite("{f}")) AS count, count(*) FILTER ("{f}" IS NULL OR isnan("{f}")) AS nan_count, count(*) FILTER (isinf("{f}")) AS inf_count,
   count(DISTINCT "{f}") FILTER (NOT isnan("{f}")) AS nunique, count(DISTINCT "{f}") FILTER (NOT isnan("{f}")) <= 1 AS constant,
-  round(avg("{f}") FILTER (isfinite("{f}")), 6) AS mean, round(stddev_samp("{f}") FILTER (isfinite("{f}")), 6) AS std, round(min("{f}") FILTER (isfinite("{f}")), 6) AS min, round(max("{f}") FILTER (isfinite("{f}")), 6) AS max,
+  round(avg("{f}") FILTER (isfinite("{f}")), 6) AS mean, round(stddev_samp("{f}") FILTER (isfinite("{f}")), 6) AS std, round(min("{f}") FILTER (isfinite("{f}")), 9) AS min, round(max("{f}") FILTER (isfinite("{f}")), 9) AS max,
   round(avg(CASE WHEN "{f}" = 0 THEN 1.0 ELSE 0 END), 6) AS zero_fraction, round(avg(CASE WHEN "{f}" < 0 AND NOT isnan("{f}") THEN 1.0 ELSE 0 END), 6) AS negative_fraction,
-  list_transform(quantile_cont("{f}", [{', '.join(str(i / 100) for i in range(101))}]) FILTER (isfinite("{f}")), lambda v: round(v, 6)) AS quantiles FROM dirty"""
+  list_transform(quantile_cont("{f}", [{', '.join(str(i / 100) for i in range(101))}]) FILTER (isfinite("{f}")), lambda v: round(v, 9)) AS quantiles FROM dirty"""
 
 
 REFERENCE = DIRTY + ", reference AS (" + " UNION ALL ".join(dirty_stats(f) for f in DIRTY_FEATURES) + ")"
@@ -365,8 +364,10 @@ REFERENCE = DIRTY + ", reference AS (" + " UNION ALL ".join(dirty_stats(f) for f
 @query("feature_reference", f"""WITH {REFERENCE}
 SELECT *, quantiles[2] AS p01, quantiles[26] AS p25, quantiles[51] AS p50, quantiles[76] AS p75, quantiles[100] AS p99 FROM reference""")
 def feature_reference(spark, sf):
-    return rounded(P.feature_reference(src.dirty_features(spark, sf), DIRTY_FEATURES).withColumn(
-        "quantiles", F.transform("quantiles", lambda v: F.round(v, 6))))
+    exact = ("min", "max", "p01", "p25", "p50", "p75", "p99")
+    reference = P.feature_reference(src.dirty_features(spark, sf), DIRTY_FEATURES).withColumns({
+        "quantiles": F.transform("quantiles", lambda v: F.round(v, 9)), **{c: F.round(c, 9) for c in exact}})
+    return rounded(reference, skip=exact)
 
 
 @query("constant_and_near_zero", f"""WITH {REFERENCE}
