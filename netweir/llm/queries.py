@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from netweir.llm import mixing, records, simhash, urls
+from netweir.llm import decontaminate, mixing, quality_rules, records, simhash, urls
 from netweir.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable] = {}
@@ -25,6 +25,30 @@ def query(sql: str | None = None):
     return keep
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, rid, w[1] IS NOT NULL AS any_word, w FROM (SELECT doc_id, row_number() OVER () AS rid,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+i AS (SELECT item_id, w FROM (SELECT item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark)),
+ds AS (SELECT DISTINCT doc_id, rid, array_to_string(w[k:k + 4], ' ') AS s FROM (
+    SELECT doc_id, rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (
+    SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment
+FROM ds JOIN si USING (s) JOIN n USING (item_id) GROUP BY doc_id, rid, item_id, n_item HAVING count(*) >= 0.8 * n_item""")
+def op1_benchmark_leaks(spark, sf):
+    return decontaminate.leaking_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op2_robust_quality(spark, sf):
+    judged = quality_rules.judge(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *[F.col(f"__counts.{c}").alias(c) for c in counts], F.col("__verdict.failed").alias("base_failed"),
+                         F.col("__verdict.kept").alias("kept"), F.col("__verdict.distance").alias("distance"))
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
