@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from netweir.llm import decontaminate, mixing, quality_rules, records, simhash, urls
+from netweir.llm import chat, decontaminate, html_text, mixing, ordinal, quality_rules, records, simhash, urls
 from netweir.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable] = {}
@@ -49,6 +49,29 @@ def op2_robust_quality(spark, sf):
                          F.col("__verdict.kept").alias("kept"), F.col("__verdict.distance").alias("distance"))
 
 
+@query("""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations),
+s AS (SELECT t.conv_id, perspective, place, place // 64 AS piece, role = perspective AS own,
+    CASE WHEN role = perspective THEN '<|assistant|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head,
+    text || chr(10) || '<|end|>' || chr(10) AS tail FROM t JOIN p USING (conv_id)),
+o AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, perspective ORDER BY place) AS upto FROM s)
+SELECT conv_id, perspective, piece, min(place) AS first_turn, count(*) AS n_turns, count(*) FILTER (own) AS n_own_turns,
+    (min(upto - length(head) - length(tail)))::BIGINT AS begin, string_agg(head || tail, '' ORDER BY place) AS rendered,
+    string_agg((upto - length(tail))::BIGINT || '-' || upto::BIGINT, ',' ORDER BY place) FILTER (own) AS masks,
+    sum(length(tail)) FILTER (own)::BIGINT AS n_masked
+FROM o GROUP BY conv_id, perspective, piece""")
+def op3_chat_perspectives(spark, sf):
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return chat.perspectives(table(spark, sf, "conversations")).withColumn("masks", spans)
+
+
+@query()
+def op4_line_blocks(spark, sf):
+    found = html_text.extract(table(spark, sf, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -90,6 +113,14 @@ def op7_token_records(spark, sf):
     return records.write_index(spark, path, index).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+@query()
+def op8_ordinal_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    grade = F.when(F.col("toxic") == 1, 0).otherwise(F.lit(1) + F.col("quality"))
+    model = ordinal.fit(docs, table(spark, sf, "labels").select("doc_id", grade.alias("grade")))
+    return ordinal.score(docs, model, ["doc_id"]).withColumn("kept", F.col("tail_probability") >= 0.5)
+
+
 @query()
 def op9_simhash_trie(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
