@@ -3,7 +3,7 @@
 P(grade >= j) = 1 / (1 + exp(threshold_j - w.x)) with one weight vector w for all grades and ascending
 thresholds, so that a text's score places it on one scale and the thresholds cut that scale. Each word gives
 three hashed features: the word without its punctuation, its first four bytes, and its shape (capitals,
-punctuation at the end); values are log(1 + count), scaled to length one.
+punctuation at the end). Words and beginnings count as present or not, shapes by their share of the text.
 
 The model is fitted on at most `max_rows` labelled rows, those with the least md5 of their id; the driver
 holds these rows' features alone. Scoring reads every text.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from netweir.llm.common import raw, slices
 
-BITS = 16
+BITS = 20
 PUNCTUATION = b".,;:!?\"'()[]{}#*$%&|<>-_"
 
 
@@ -47,9 +47,10 @@ def features(text: bytes | None, memo: WordFeatures) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     packed = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
     mask = np.int64((1 << BITS) - 1)
-    at, n = np.unique(np.concatenate([packed & mask, packed >> BITS & mask, packed >> 2 * BITS & mask]), return_counts=True)
-    value = np.log1p(n)
-    return at.astype(np.int32), (value / np.sqrt((value * value).sum())).astype(np.float32)
+    present = np.unique(np.concatenate([packed & mask, packed >> BITS & mask]))
+    shapes, n = np.unique(packed >> 2 * BITS, return_counts=True)
+    return (np.concatenate([present, shapes]).astype(np.int32),
+            np.concatenate([np.full(len(present), 0.2), 2 * n / len(words)]).astype(np.float32))
 
 
 @dataclass
@@ -80,9 +81,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, grade: st
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", grade: str = "grade", max_rows: int = 10_000,
-        rounds: int = 150, rate: float = 0.3, penalty: float = 1e-6, seed: int = 5) -> OrdinalModel:
-    """A model of the grades, by full-batch gradient steps with per-weight scaling.
+        rounds: int = 200,
+        rate: float = 0.1, penalty: float = 1e-4, min_rows: int = 5, seed: int = 5) -> OrdinalModel:
+    """A model of the grades, by full-batch gradient steps with per-weight scaling and an absolute-value penalty.
 
+    Features of fewer than min_rows rows of the sample have weight 0.
     Rows that repeat an id count each; labels of unknown documents and null grades are left out. With fewer
     than two grades there are no thresholds, and every expected grade is that one (0 without labels).
     """
@@ -98,13 +101,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     value = np.concatenate([c.flatten().to_numpy() for c in found["value"].chunks]).astype(np.float64)
     sizes = np.concatenate([c.value_lengths().to_numpy() for c in lists])
     row = np.repeat(np.arange(len(y)), sizes)
+    common = (np.bincount(at, minlength=dim) >= min_rows)[at]
+    at, value, row = at[common], value[common], row[common]
     share = np.array([(level > j).mean() for j in range(cuts)]).clip(1e-3, 1 - 1e-3)
     theta = -np.log(share / (1 - share))
     hit = (level[:, None] > np.arange(cuts)).astype(float)
     weight_sum, theta_sum = np.full(dim, 1e-8), np.full(cuts, 1e-8)
     inside = np.abs(level[:, None] - np.arange(cuts) - 0.5) < 1  # only the cuts next to a grade bear on it
     for _ in range(rounds):
-        score = np.bincount(row, value * w[at], len(y))
+        score = np.bincount(row, value * w[at], minlength=len(y))
         p = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -50, 50)))
         # likelihood of a grade: the difference of neighbouring tail probabilities
         upper = np.concatenate([np.ones((len(y), 1)), p], axis=1)[np.arange(len(y)), level]
@@ -114,10 +119,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         sign = np.where(hit > 0, 1.0, -1.0) * inside
         part = sign * slope / like[:, None]  # d log likelihood / d (score - theta_j)
         g_score, g_theta = part.sum(1), -part.sum(0) / len(y)
-        g = np.bincount(at, value * g_score[row], dim) / len(y) - penalty * w
+        g = np.bincount(at, value * g_score[row], minlength=dim) / len(y)
         weight_sum += g * g
         theta_sum += g_theta * g_theta
-        w += rate * g / np.sqrt(weight_sum)
+        step = rate / np.sqrt(weight_sum)
+        w += step * g
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         theta = np.sort(theta + rate * g_theta / np.sqrt(theta_sum))
     return OrdinalModel(grades.tolist(), w, theta)
 
@@ -129,10 +136,12 @@ def score(docs: DataFrame, model: OrdinalModel, keys: list[str], text: str = "te
     """
     rows = docs.select(*keys, F.col(text).alias("__text"))
     schema = rows.select(*keys, *[F.lit(0.0).alias(c) for c in ("score", "expected_grade", "tail_probability")]).schema
-    weights, grades = model.weights.astype(np.float32), np.array(model.grades)
+    used, grades, size = np.flatnonzero(model.weights), np.array(model.grades), len(model.weights)
+    values = model.weights[used]
 
     def run(batches):
-        memo = WordFeatures()
+        memo, weights = WordFeatures(), np.zeros(size)
+        weights[used] = values
         for batch in slices(batches, len(keys)):
             found = [features(t, memo) for t in raw(batch.column(len(keys)))]
             s = np.array([float(weights[a] @ v) for a, v in found])

@@ -118,7 +118,7 @@ def op8_ordinal_quality(spark, sf):
     docs = table(spark, sf, "documents")
     grade = F.when(F.col("toxic") == 1, 0).otherwise(F.lit(1) + F.col("quality"))
     model = ordinal.fit(docs, table(spark, sf, "labels").select("doc_id", grade.alias("grade")))
-    return ordinal.score(docs, model, ["doc_id"]).withColumn("kept", F.col("tail_probability") >= 0.5)
+    return ordinal.score(docs, model, ["doc_id"]).withColumn("kept", F.col("tail_probability") >= 0.6)
 
 
 @query()
