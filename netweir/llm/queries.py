@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from netweir.llm import chat, decontaminate, html_text, mixing, ordinal, quality_rules, records, simhash, urls
+from netweir.llm import chat, decontaminate, html_text, mixing, ordinal, quality_rules, records, simhash, substrings, urls
 from netweir.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable] = {}
@@ -105,6 +105,12 @@ def op5_source_mix(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op6_repeated_substrings(spark, sf):
+    found = substrings.remove_repeats(table(spark, sf, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @query()
 def op7_token_records(spark, sf):
     import public_tokenizers
