@@ -17,7 +17,6 @@ byte offset and length; a reader that shuffles takes rows of the index in any or
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from functools import lru_cache
@@ -31,8 +30,6 @@ from netweir.llm.common import slices, text_key
 
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BBq")
 ENTRIES = 400_000
-#: a space or line end that is not between two printable characters, none of which can be white space
-ODD = re.compile(r"(?<![!-~\w])[ \n]|[ \n](?![!-~\w])")
 
 
 def masked_crc(data: bytes) -> int:
@@ -43,9 +40,9 @@ def masked_crc(data: bytes) -> int:
 class Encoder:
     """Encodes whole texts; the parts between spaces and line ends are encoded once and kept.
 
-    A byte-level tokenizer cuts before a space that stands between two printable characters, and on both
-    sides of such a line end, whatever follows; so the ids of a text are those of its parts. Texts with any
-    other space or line end go to the tokenizer whole. `entries` bounds what is kept.
+    A byte-level tokenizer cuts before a space that stands between two characters that are not white space,
+    and on both sides of such a line end, whatever follows; so the ids of a text are those of its parts.
+    Texts with any other white space go to the tokenizer whole. `entries` bounds what is kept.
     """
 
     def __init__(self, path: str, entries: int = ENTRIES):
@@ -53,39 +50,72 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.type = f"<u{self.width}"
+        self.type = np.dtype(f"<u{self.width}")
         self.entries = entries
-        self.first, self.later = {}, {}
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.line = self._whole("\n")
+        self.line_id = int(np.frombuffer(self.line, self.type)[0])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, encoded as lines of longer texts; a line end is one id by itself."""
+        texts = ["\n".join(parts[i:i + 256]) for i in range(0, len(parts), 256)]
+        out = []
+        for i in range(0, len(texts), 32):
+            for e in self.tokenizer.encode_batch_fast(texts[i:i + 32], add_special_tokens=False):
+                ids = np.array(e.ids, self.type)
+                data = ids.tobytes()
+                cuts = (np.flatnonzero(ids == self.line_id) * self.width).tolist()
+                out += [data[x:y] for x, y in zip([0, *(c + self.width for c in cuts)], [*cuts, len(data)])]
+        return out
 
-    def _learn(self, known: dict, words: set, lead: str) -> None:
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            known.update(zip(part, self._ids([lead + w for w in part])))
+    def _learn(self, parts: list[str]) -> None:
+        """Keeps the ids of parts: as they are after a space; after a line end, with \\n first; at the start of
+        a text, with a space first. Closing punctuation after a letter is a part of its own."""
+        bodies = {p: p.rstrip(".,;:!?") for p in parts}
+        bodies = {p: b if b and b != p and b[-1].isalpha() else p for p, b in bodies.items()}
+        new = list({b for b in bodies.values() if b not in self.known})
+        bare = [b[1:] if b[0] in " \n" else " " + b for b in new]
+        for body, ids in zip(new, self._each(bare)):
+            self.known[body] = self.line + ids if body[0] == "\n" else ids
+        for part, body in bodies.items():
+            if part != body:
+                tail = part[len(body):]
+                if tail not in self.tails:
+                    self.tails[tail] = self._whole(tail)
+                self.known[part] = self.known[body] + self.tails[tail]
+
+    def _look_up(self, parts: list[str]) -> list[bytes]:
+        ids = list(map(self.known.get, parts))
+        new = [j for j, v in enumerate(ids) if v is None]
+        if new:
+            self._learn(list({parts[j] for j in new}))
+            for j in new:
+                ids[j] = self.known[parts[j]]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, parts = [b""] * len(texts), {}
+        out, parts, spans = [b""] * len(texts), [], []
         for i, text in enumerate(texts):
-            if text and ODD.search(text):
-                out[i] = self._ids([text])[0]
-            elif text:
-                parts[i] = [line.split(" ") for line in text.split("\n")]
-        if len(self.first) + len(self.later) > self.entries:
-            self.first.clear()
-            self.later.clear()
-        self._learn(self.first, {line[0] for lines in parts.values() for line in lines}, "")
-        later = set()
-        for lines in parts.values():
-            for line in lines:
-                later.update(line[1:])
-        self._learn(self.later, later, " ")
-        first, later = self.first, self.later
-        for i, lines in parts.items():
-            out[i] = self.line.join(first[line[0]] + b"".join([later[w] for w in line[1:]]) for line in lines)
+            if not text:
+                continue
+            runs, gaps = text.split(), text.count(" ") + text.count("\n")
+            if len(runs) - 1 == gaps and sum(map(len, runs)) + gaps == len(text):
+                own = text.replace("\n", " \n").split(" ")
+                own[0] = " " + own[0]
+                spans.append((i, len(parts), len(parts) + len(own)))
+                parts += own
+            else:
+                out[i] = self._whole(text)
+        if len(self.known) > self.entries:
+            self.known.clear()
+            self.tails.clear()
+        ids = self._look_up(parts)
+        for i, a, b in spans:
+            out[i] = b"".join(ids[a:b])
         return out
 
 
