@@ -102,9 +102,9 @@ def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
 def one_row_each(docs: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
     """docs joined to `keyed`, one row for each of its keys.
 
-    keyed has the key columns (null-safe values), `rows`, how many rows of docs share the key, and more.
+    keyed has the key columns (null-safe values), `__rows`, how many rows of docs share the key, and more.
     Keys with several rows, which are equal in all that the key stands for, keep one of them.
     """
-    single = docs.join(keyed.where("rows = 1"), keys)
-    several = docs.join(keyed.where("rows > 1"), keys).dropDuplicates(keys)
+    single = docs.join(keyed.where("__rows = 1"), keys)
+    several = docs.join(keyed.where("__rows > 1"), keys).dropDuplicates(keys)
     return single.unionByName(several)

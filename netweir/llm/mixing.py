@@ -115,7 +115,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **ho
     keys = ["__k1", "__k2", "__id"]
     shares = mix(docs, id_col, text, **how).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"),
                                                     F.coalesce(F.col(id_col), F.lit(-1)).alias("__id")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies"))
+        F.count(F.lit(1)).alias("__rows"), F.sum(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int").alias("__copies"))
     k1, k2 = text_key(F.col(text))
     keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"), F.coalesce(F.col(id_col), F.lit(-1)).alias("__id"))
     chosen = one_row_each(keyed, shares.where("__copies > 0"), keys)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from netweir.llm import chat, decontaminate, html_text, mixing, ordinal, quality_rules, records, simhash, substrings, urls
 from netweir.llm.common import shared_folder, table
 
@@ -146,3 +147,8 @@ FROM u LEFT JOIN best USING (host, path)""")
 def op10_url_rules(spark, sf):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf, "pages"), rules, ["page_id"])
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

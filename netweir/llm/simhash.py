@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, checkpointed, mix64, raw, shingle_hashes, slices, text_key
+from netweir.llm.common import WordHashes, checkpointed, mix64, one_row_each, raw, shingle_hashes, slices, text_key
 
 CHUNK = 1 << 16
 
@@ -141,80 +141,90 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _split(rows: DataFrame, step: int, bits: int, budget: int) -> DataFrame:
+# A row of the join is (key, meta, fp): key names the node pair, meta holds what the rows of a pair share and
+# the row's side of it: space * 65536 + side * 4096 + err * 64 + the bit at which the next split starts.
+SAME, LEFT, RIGHT = 0, 1, 2
+
+
+def _field(name: str):
+    return F.expr({"side": "(meta >> 12) & 15", "err": "(meta >> 6) & 63", "start": "meta & 63"}[name])
+
+
+def _split(rows: DataFrame, bits: int, budget: int) -> DataFrame:
     """Deals the rows of too large node pairs to the pairs of their children, `bits` levels down.
 
-    rows: key, block, start, err, side ('=' for a node with itself, else 'a' or 'b'), fp. A child pair
-    whose differences exceed the budget is not made. The children of ('=', c) and of the pair (c, d) are
-    named by hashing the parent's key with the two paths.
+    A child pair whose differences exceed the budget is not made. The children of a node paired with itself
+    and of two nodes are named by hashing the parent's key with the two paths.
     """
-    masks = sorted((sum(1 << i for i in c) for r in range(budget + 1) for c in combinations(range(bits), r)),
-                   key=lambda m: m.bit_count())
-    turned = F.expr(f"shiftrightunsigned(fp, cast((start + {step * bits}) % 64 as int)) & {(1 << bits) - 1}")
-    mask = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(m.bit_count()).alias("e"))
-                               for m in masks]))
-    dealt = rows.withColumn("own", turned).withColumn("mask", mask).where(F.col("err") + F.col("mask.e") <= budget)
-    other = F.col("own").bitwiseXOR(F.col("mask.m"))
-    equal = F.col("side") == "="
-    left = F.when(equal, F.least("own", other)).when(F.col("side") == "a", F.col("own")).otherwise(other)
-    right = F.when(equal, F.greatest("own", other)).when(F.col("side") == "a", other).otherwise(F.col("own"))
-    side = F.when(~equal, F.col("side")).when(other == F.col("own"), "=").when(F.col("own") < other, "a").otherwise("b")
-    return dealt.select(F.xxhash64("key", left, right).alias("key"), "block", "start",
-                        (F.col("err") + F.col("mask.e")).alias("err"), side.alias("side"), "fp")
+    masks = sorted((sum(1 << i for i in c) for r in range(budget + 1) for c in combinations(range(bits), r)), key=int.bit_count)
+    wanted = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(m.bit_count()).alias("e")) for m in masks]))
+    own = F.expr(f"((fp >>> (meta & 63)) | (fp << (64 - (meta & 63)))) & {(1 << bits) - 1}")
+    dealt = rows.withColumns({"own": own, "mask": wanted}).where(_field("err") + F.col("mask.e") <= budget)
+    dealt = dealt.withColumn("other", F.col("own").bitwiseXOR(F.col("mask.m")))
+    same, left = _field("side") == SAME, _field("side") == LEFT
+    first = F.when(same, F.least("own", "other")).when(left, F.col("own")).otherwise(F.col("other"))
+    second = F.when(same, F.greatest("own", "other")).when(left, F.col("other")).otherwise(F.col("own"))
+    side = F.when(~same, _field("side")).when(F.col("other") == F.col("own"), SAME).when(F.col("own") < F.col("other"), LEFT).otherwise(RIGHT)
+    meta = (F.expr("(meta >> 16) << 16") + side * 4096 + (_field("err") + F.col("mask.e")) * 64 + (_field("start") + bits) % 64)
+    return dealt.select(F.xxhash64("key", first, second).alias("key"), meta.cast("int").alias("meta"), "fp")
 
 
 def trie_links(fps: DataFrame, budget: int = 2, limit: int = 4096) -> DataFrame:
-    """Links (a, b, distance) between distinct fingerprints at most `budget` bits apart.
+    """Links (space, a, b) between distinct fingerprints of a space that are at most `budget` bits apart.
 
-    fps: a column fp of distinct longs. Links are a spanning forest within each subtree, so they have the
-    connected components of all links. An empty table has no links.
+    fps: distinct rows (space, fp), a small integer and a long; spaces are separate tries. Links are a
+    spanning forest within each subtree pair, so they have the connected components of all links. An empty
+    table has no links.
     """
     blocks = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.lit((low + width) % 64).alias("start"),
                                           F.lit(low).alias("low"), F.lit((1 << width) - 1).alias("mask"))
                                  for i, (low, width) in enumerate(_blocks(budget))]))
     pending = fps.withColumn("b", blocks).select(
-        F.xxhash64("b.block", F.expr("shiftrightunsigned(fp, b.low) & b.mask")).alias("key"), F.col("b.block").alias("block"),
-        F.col("b.start").alias("start"), F.lit(0).alias("err"), F.lit("=").alias("side"), "fp")
+        F.xxhash64("space", "b.block", F.expr("shiftrightunsigned(fp, b.low) & b.mask")).alias("key"),
+        (F.col("space") * 65536 + F.col("b.start")).cast("int").alias("meta"), "fp")
     found = None
     for step in range(9):
-        sizes = pending.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") != "b").alias("na"),
-                                           F.count_if(F.col("side") != "a").alias("nb"))
-        sizes = checkpointed(sizes.where((F.col("n") > 1) & (F.col("na") > 0) & (F.col("nb") > 0)))
-        if step < 8:
-            ready = sizes.where(F.col("n") <= limit).select("key")
-        else:
-            ready = sizes.select("key")
-        found_here = _walk(pending.join(ready, "key"), budget)
-        found = found_here if found is None else found.unionByName(found_here)
+        sizes = pending.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(_field("side") != RIGHT).alias("na"),
+                                           F.count_if(_field("side") != LEFT).alias("nb"))
+        sizes = checkpointed(sizes.where("n > 1 AND na > 0 AND nb > 0").select("key", "n"))
+        fits = sizes.where(F.col("n") <= limit) if step < 8 else sizes
+        here = _walk(pending.join(fits.select("key"), "key"), budget)
+        found = here if found is None else found.unionByName(here)
         large = sizes.where(F.col("n") > limit).select("key")
         if step == 8 or large.isEmpty():
             return found
-        pending = checkpointed(_split(pending.join(large, "key"), step, 6, budget))
+        pending = checkpointed(_split(pending.join(large, "key"), 6, budget))
 
 
 def _walk(rows: DataFrame, budget: int) -> DataFrame:
     """The links inside each node pair."""
-    groups = rows.groupBy("key").agg(F.collect_list(F.when(F.col("side") != "b", F.col("fp"))).alias("left"),
-                                     F.collect_list(F.when(F.col("side") == "b", F.col("fp"))).alias("right"))
+    groups = rows.groupBy("key").agg(F.expr("first(meta) >> 16").alias("space"),
+                                     F.collect_list(F.when(_field("side") != RIGHT, F.col("fp"))).alias("left"),
+                                     F.collect_list(F.when(_field("side") == RIGHT, F.col("fp"))).alias("right"))
 
     def run(batches):
         for batch in batches:
             found = []
-            for left, right in zip(batch.column(0), batch.column(1)):
-                left = np.unique(left.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                right = np.unique(right.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                a, b, d = trie_pairs(left, right if len(right) else None, budget)
+            lists = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column(1), batch.column(2))]
+            (lefts, at), (rights, bt) = lists
+            for i, space in enumerate(batch.column(0).to_pylist()):
+                left, right = np.unique(lefts[at[i]:at[i + 1]]), rights[bt[i]:bt[i + 1]]
+                if len(left) == 2 and not len(right):
+                    a, b = left[:1], left[1:]
+                    if int(a[0] ^ b[0]).bit_count() <= budget:
+                        found.append((np.array([space]), a, b))
+                    continue
+                a, b, d = trie_pairs(left, np.unique(right) if len(right) else None, budget)
                 if len(a):
-                    fps = np.concatenate([left, right])
+                    fps = np.concatenate([left, np.unique(right)])
                     kept = forest(len(fps), a, b, d)
-                    found.append((fps[a[kept]], fps[b[kept]], d[kept]))
+                    found.append((np.full(len(kept), space), fps[a[kept]], fps[b[kept]]))
             if found:
-                a, b, d = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d.astype(np.int32))],
-                    ["a", "b", "distance"])
+                space, a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(space.astype(np.int32)), pa.array(a.view(np.int64)),
+                                                  pa.array(b.view(np.int64))], ["space", "a", "b"])
 
-    return groups.select("left", "right").mapInArrow(run, "a long, b long, distance int")
+    return groups.select("space", "left", "right").mapInArrow(run, "space int, a long, b long")
 
 
 # --- components --------------------------------------------------------------------------------------
@@ -260,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = checkpointed(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__body")), ["__id"],
                                      "__body", words, seed))
     first = rows.groupBy("fp").agg(F.min("__id").alias("first"))
-    roots = components(trie_links(first.select("fp"), budget))
+    roots = components(trie_links(first.select(F.lit(0).alias("space"), "fp"), budget))
     named = first.join(roots, first.fp == roots.node).select("fp", "root", "first")
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
     merged = first.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
@@ -269,22 +279,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 # --- near copies by word sets, checked by five-word shingles ----------------------------------------
 
-def word_set_prints(docs: DataFrame, text: str, prints: int, words: int) -> DataFrame:
-    """(k1, k2, fps, sketch): for each distinct text, SimHashes of its word set under several seeds, and the
-    distinct hashes of its word shingles."""
+def word_set_prints(docs: DataFrame, text: str, prints: int) -> DataFrame:
+    """(k1, k2, fps): SimHashes of each text's set of words under several seeds."""
     rows = docs.select(*text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     seeds = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1) for i in range(prints)]
 
     def run(batches):
         memo = WordHashes()
         for batch in slices(batches, 2):
-            fps, sets = [], []
+            fps = []
             for body in raw(batch.column(2)):
-                h = memo.of(body.lower().split())
-                once = np.unique(h)
+                once = np.unique(memo.of(body.lower().split()))
                 fps.append(np.array([majority([mix64(once ^ s)]) for s in seeds], np.uint64).view(np.int64))
-                sets.append(np.unique(shingle_hashes(h, words)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64())),
-                                              pa.array(sets, pa.list_(pa.int64()))], ["k1", "k2", "fps", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["k1", "k2", "fps"])
 
-    return rows.mapInArrow(run, "k1 long, k2 long, fps array<long>, shingles array<long>")
+    return rows.mapInArrow(run, "k1 long, k2 long, fps array<long>")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): distinct 32-bit hashes of the word shingles of each text; texts: node, body."""
+    schema = texts.select("node", F.array(F.lit(0)).alias("shingles")).schema
+
+    def run(batches):
+        memo = WordHashes()
+        for batch in slices(batches, 1):
+            sets = [np.unique(shingle_hashes(memo.of((t or b"").lower().split()), words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    for t in raw(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return texts.select("node", "body").mapInArrow(run, schema)
+
+
+def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 8, budget: int = 3) -> DataFrame:
+    """Links (a, b) between texts, given as structs of their keys, whose word shingles have at least the similarity.
+
+    A SimHash of five-word shingles changes in ten bits where the similarity is 0.8, too many for a trie; that
+    of the set of words changes in four or five. So each text has `prints` SimHashes of its words under
+    different seeds, each in a trie of its own, and a pair is a candidate if one of them is within the
+    budget. Texts of one fingerprint meet their least text, and tries give spanning forests, nearest first,
+    so that a large group has as many candidates as members. Candidates are confirmed by the Jaccard
+    similarity of their distinct shingles.
+    """
+    printed = checkpointed(word_set_prints(docs, text, prints).dropDuplicates(["k1", "k2"]))
+    points = printed.select(F.struct("k1", "k2").alias("node"), F.posexplode("fps").alias("space", "fp"))
+    classes = checkpointed(points.groupBy("space", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
+    links = trie_links(classes.select("space", "fp"), budget)
+    ends = classes.select("space", "fp", "rep")
+    across = links.join(ends.withColumnsRenamed({"fp": "a", "rep": "x"}), ["space", "a"]).join(
+        ends.withColumnsRenamed({"fp": "b", "rep": "y"}), ["space", "b"]).select("x", "y")
+    inside = points.join(classes.where("n > 1").drop("n"), ["space", "fp"]).select(F.col("node").alias("x"), F.col("rep").alias("y"))
+    pairs = checkpointed(across.unionByName(inside).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().select("node.*")
+    texts = docs.select(*text_key(F.col(text)), F.col(text).alias("body")).join(nodes, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    sets = checkpointed(shingle_sets(texts.select(F.struct("k1", "k2").alias("node"), "body"), words))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
+        sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs, all columns, with one row of each group of equal or similar texts: the one with the least id.
+
+    Groups are the connected components of similar_texts. Blank texts are one group; null is blank. Rows
+    with a null id come after those with one; of repeated rows one stays. An empty table stays empty.
+    """
+    k1, k2 = text_key(F.col(text))
+    node = F.struct("k1", "k2").alias("node")
+    roots = components(similar_texts(docs, text, **how))
+    rows = docs.select(*text_key(F.col(text)), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(-1)).alias("id"))
+    rows = rows.groupBy("k1", "k2", "none", "id").agg(F.count(F.lit(1)).alias("rows")).withColumn("node", node)
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = rooted.groupBy("root").agg(F.min(F.struct("none", "id", "k1", "k2", "rows")).alias("w")).select("w.*")
+    chosen = checkpointed(chosen.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("none").alias("__none"),
+                                        F.col("id").alias("__id"), "rows").withColumnRenamed("rows", "__rows"))
+    keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"), F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col), F.lit(-1)).alias("__id"))
+    return one_row_each(keyed, chosen, ["__k1", "__k2", "__none", "__id"]).select(*docs.columns)
