@@ -82,7 +82,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, grade: st
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", grade: str = "grade", max_rows: int = 10_000,
         rounds: int = 200,
-        rate: float = 0.1, penalty: float = 1e-4, min_rows: int = 5, seed: int = 5) -> OrdinalModel:
+        rate: float = 1.5, penalty: float = 1e-4, min_rows: int = 5, seed: int = 5) -> OrdinalModel:
     """A model of the grades, by full-batch gradient steps with per-weight scaling and an absolute-value penalty.
 
     Features of fewer than min_rows rows of the sample have weight 0.
