@@ -40,6 +40,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(frame: DataFrame) -> DataFrame:
+    """The frame written as Parquet to the shared checkpoint folder and read again: smaller than checkpoint()."""
+    path = shared_folder(frame.sparkSession, "stage")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

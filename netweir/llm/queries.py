@@ -108,8 +108,7 @@ def op5_source_mix(spark, sf):
 
 @query()
 def op6_repeated_substrings(spark, sf):
-    found = substrings.remove_repeats(table(spark, sf, "documents"))
-    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    return substrings.remove_repeats(table(spark, sf, "documents"), digest=True)
 
 
 @query()

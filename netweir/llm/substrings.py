@@ -26,12 +26,14 @@ one row in each count.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import checkpointed, mix64, raw, slices, text_key
+from netweir.llm.common import mix64, raw, shared_folder, slices, staged, text_key
 
 WORD, BLOCK = 32, 16
 _SEED = np.random.Generator(np.random.PCG64(20240229))
@@ -139,10 +141,19 @@ def _run_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "k1 long, k2 long, first int, last int, anchor int, word long, hull long")
 
 
-def _lookup(docs: DataFrame, wanted: DataFrame, schema: str, rows_of) -> DataFrame:
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(k1, k2, text) of each distinct text, in buckets by key, so that later joins don't move texts again."""
+    spark = docs.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark, "texts")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    docs.repartition(n, "k1", "k2").dropDuplicates(["k1", "k2"]).write.bucketBy(n, "k1", "k2").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _lookup(texts: DataFrame, wanted: DataFrame, schema: str, rows_of) -> DataFrame:
     """Rows made from the texts that `wanted` (k1, k2, struct column w) names; rows_of(hashes, size, items)."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("w"))
-    texts = docs.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "w")
+    found = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "w")
 
     def run(batches):
         for batch in slices(batches, 2, 1 << 20):
@@ -154,7 +165,7 @@ def _lookup(docs: DataFrame, wanted: DataFrame, schema: str, rows_of) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1.as_py())), pa.array(np.full(n, k2.as_py())),
                                                   *map(pa.array, made.values())], ["k1", "k2", *made])
 
-    return texts.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema)
 
 
 def _block_rows(hashes: Hashes, size: int, f: dict, length: int) -> dict:
@@ -183,36 +194,40 @@ def _window_rows(hashes: Hashes, size: int, f: dict, length: int) -> dict:
     return {"start": start.astype(np.int32), "window": hashes.of(start, start + length).view(np.int64), "n": f["n"][at]}
 
 
-def repeated_intervals(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeated_intervals(docs: DataFrame, texts: DataFrame, length: int = 200) -> DataFrame:
     """(k1, k2, first, last): ranges of starts, in bytes, of windows found again, for each distinct text.
 
-    docs: columns k1, k2 (the text's key) and text. Ranges may touch, and repeat one another's starts.
+    docs: columns k1, k2 (the text's key) and text, a row per document; texts: a row per distinct text.
+    Ranges may touch, and repeat one another's starts.
     """
-    # rounds 1 and 2: classes of anchors, and of whole runs inside them
-    run_rows = checkpointed(_run_rows(docs, length))
+    # round 1: anchors; a word found once belongs to no repeated window
+    run_rows = staged(_run_rows(docs, length))
+    again = run_rows.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("word")
+    run_rows = staged(run_rows.join(again, "word", "left_semi"))
+    # round 2: whole runs
     place = F.struct("k1", "k2", "first", "last", "anchor")
-    hulls = run_rows.groupBy("word", "hull").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), F.min(place).alias("at"))
-    hulls = checkpointed(hulls)
-    whole = run_rows.join(hulls.where("n > 1").select("word", "hull"), ["word", "hull"], "left_semi").select("k1", "k2", "first", "last")
+    hulls = staged(run_rows.groupBy("word", "hull").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), F.min(place).alias("at")))
+    whole = run_rows.join(hulls.where("n > 1").select("word", "hull"), ["word", "hull"], "left_semi").select("k1", "k2", "first", "last").distinct()
     # a word with one hull only has nothing left to tell apart
     mixed = hulls.groupBy("word").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("word")
     members = hulls.join(mixed, "word").select("at.*", "word", "n")
     members = members.select("k1", "k2", F.struct("first", "last", "anchor", "word", "n").alias("w"))
     # round 3: blocks
     shape = "k1 long, k2 long, first int, last int, core long, hull long, whole boolean, n int"
-    blocks = checkpointed(_lookup(docs, members, shape, lambda h, size, f: _block_rows(h, size, f, length)))
+    blocks = staged(_lookup(texts, members, shape, lambda h, size, f: _block_rows(h, size, f, length)))
     cores = blocks.groupBy("core").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 AND least = 1").select("core")
+    blocks = staged(blocks.join(cores, "core", "left_semi"))
     alike = blocks.where("whole").groupBy("hull").agg(F.sum("n").alias("total")).where("total > 1").select("hull", F.lit(True).alias("again"))
-    told = checkpointed(blocks.join(cores, "core").join(alike, "hull", "left").withColumn("again", F.col("whole") & F.coalesce("again", F.lit(False))))
+    told = staged(blocks.join(alike, "hull", "left").withColumn("again", F.col("whole") & F.coalesce("again", F.lit(False))))
     block_hits = told.where("again AND n = 1").select("k1", "k2", "first", "last")
     # round 4: single windows of the cores that still have an undecided block
     open_cores = told.where("NOT again AND n = 1").select("core").distinct()
     left = told.join(open_cores, "core", "left_semi").select("k1", "k2", F.struct("first", "last", "n").alias("w"))
-    windows = checkpointed(_lookup(docs, left, "k1 long, k2 long, start int, window long, n int",
-                                   lambda h, size, f: _window_rows(h, size, f, length)))
+    windows = staged(_lookup(texts, left, "k1 long, k2 long, start int, window long, n int",
+                             lambda h, size, f: _window_rows(h, size, f, length)))
     twice = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
     window_hits = windows.where("n = 1").join(twice, "window", "left_semi").select("k1", "k2", F.col("start").alias("first"), F.col("start").alias("last"))
-    return whole.unionByName(block_hits).unionByName(window_hits).distinct()
+    return whole.unionByName(block_hits).unionByName(window_hits)
 
 
 def remaining(text: bytes, first: np.ndarray, last: np.ndarray, length: int) -> tuple[int, int, bytes]:
@@ -224,31 +239,34 @@ def remaining(text: bytes, first: np.ndarray, last: np.ndarray, length: int) ->
     return int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, digest: bool = False) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept (the remaining bytes; their SHA-256 as
+    hexadecimal digits in kept_sha256 with `digest`).
 
     Strings are compared as UTF-8 bytes within documents. Null texts are empty, texts shorter than `length`
     lose nothing by themselves. Repeated rows repeat each other's strings. Null ids stay. Other columns are
     not read. An empty table gives an empty result.
     """
-    keyed = docs.select(F.col(id_col).alias("__id"), *text_key(F.col(text)), F.col(text).alias("text"))
-    found = repeated_intervals(keyed.select("k1", "k2", "text"), length)
+    keyed = docs.select(F.col(id_col).alias("__id"), *text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = distinct_texts(keyed.select("k1", "k2", "text"))
+    found = repeated_intervals(keyed.select("k1", "k2", "text"), texts, length)
     lists = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    rows = keyed.join(lists, ["k1", "k2"], "left").select("__id", "text", "spans")
-    schema = rows.select(F.col("__id").alias(id_col), *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")],
-                         F.lit(b"").alias("kept")).schema
+    rows = texts.join(lists, ["k1", "k2"], "left").select("k1", "k2", "text", "spans")
+    last, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
 
     def run(batches):
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 2):
             out = []
-            for body, spans in zip(raw(batch.column(1)), batch.column(2)):
-                body = body or b""
+            for body, spans in zip(raw(batch.column(2)), batch.column(3)):
                 if spans.is_valid:
-                    out.append((len(body), *remaining(body, *(spans.values.field(c).to_numpy() for c in ("first", "last")), length)))
+                    n, gone, runs_gone, body = len(body), *remaining(body, *(spans.values.field(c).to_numpy() for c in ("first", "last")), length)
                 else:
-                    out.append((len(body), 0, 0, body))
+                    n, gone, runs_gone = len(body), 0, 0
+                out.append((n, gone, runs_gone, hashlib.sha256(body).hexdigest() if digest else body))
             columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]),
-                                              pa.array(columns[3], pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns[:3]),
+                                              pa.array(columns[3], pa.string() if digest else pa.binary())],
+                                             ["k1", "k2", "n_bytes", "n_removed", "n_spans", last])
 
-    return rows.mapInArrow(run, schema)
+    by_text = rows.mapInArrow(run, f"k1 long, k2 long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+    return keyed.select("__id", "k1", "k2").join(by_text, ["k1", "k2"]).drop("k1", "k2").withColumnRenamed("__id", id_col)
