@@ -10,20 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT_CELLS = 1 << 14
 OCTAVE_CELLS = 1 << 10
+OCTAVES = 1080  # of a double below 1, subnormal numbers included
 
 
 def value_cell(value: Column) -> Column:
-    """Monotone cell number of a finite double: linear up to 1, logarithmic beyond.
+    """Monotone cell number of a finite double: logarithmic in the magnitude, zero by itself.
 
-    A cell spans 1/16384 inside [-1, 1] and under 0.07 % of its value outside; a group
-    has at most about 2.1 million cells however many rows it holds.
+    A cell spans under 0.07 % of its value however small that is, so that scores crowded near
+    zero are told apart; a group has at most about 4.3 million cells however many rows it holds.
     """
     magnitude = F.log2(F.abs(value)) * OCTAVE_CELLS
-    return (F.when(value > 1, F.lit(UNIT_CELLS) + F.floor(magnitude))
-            .when(value < -1, -(F.lit(UNIT_CELLS) + F.ceil(magnitude)))
-            .otherwise(F.floor(value * UNIT_CELLS))).cast("long")
+    offset = OCTAVES * OCTAVE_CELLS
+    return (F.when(value > 0, F.lit(offset) + F.floor(magnitude))
+            .when(value < 0, -(F.lit(offset) + F.floor(magnitude)))
+            .otherwise(F.lit(0))).cast("long")
 
 
 def _before(groups: list[str]):

@@ -30,8 +30,16 @@ def severity(confidence: Column, thresholds: dict | None = None) -> Column:
 
 
 def severity_from(flows: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """``severity`` against the one-row thresholds table (critical_min, high_min, medium_min)."""
-    limits = F.broadcast(thresholds.select("critical_min", "high_min", "medium_min").limit(1))
+    """``severity`` against the one-row thresholds table (critical_min, high_min, medium_min).
+
+    Fails unless the table has one row whose thresholds fall from critical to medium.
+    """
+    names = ("critical_min", "high_min", "medium_min")
+    one = thresholds.agg(F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(c) for c in names])
+    right = (F.col("_rows") == 1) & (F.col("critical_min") > F.col("high_min")) & (F.col("high_min") > F.col("medium_min"))
+    limits = F.broadcast(one.select(F.when(right, F.col("critical_min")).otherwise(F.raise_error(F.lit(
+        "the thresholds table must have one row of strictly descending thresholds")).cast("double")).alias("critical_min"),
+        "high_min", "medium_min"))
     value = F.col("confidence")
     level = (F.when((F.col("predicted_label") == "UNKNOWN") | value.isNull(), "MEDIUM")
              .when(value >= F.col("critical_min"), "CRITICAL")

@@ -54,7 +54,7 @@ def ks_vs_reference(long: DataFrame, reference: DataFrame, groups: list[str] | N
                                     F.max("_hi").alias("_max"), F.max("_total").alias("sample_size"))
     open_cells = cells.where((bound > F.col("_seen")) & (F.col("_lo") < F.col("_hi"))).select(
         *keys, "_cell", "_before", "_total")
-    values = rows.join(F.broadcast(open_cells), [*keys, "_cell"]).groupBy(
+    values = rows.join(open_cells, [*keys, "_cell"]).groupBy(
         *keys, "_cell", "value", "_before", "_total").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_cell").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -99,7 +99,7 @@ def ks_two_sample(base: DataFrame, other: DataFrame) -> DataFrame:
     best = cells.groupBy("feature").agg(F.max("_seen").alias("_best"))
     open_cells = cells.where((bound > F.col("_seen")) & (F.col("_lo") < F.col("_hi"))).select(
         "feature", "_cell", "_ba", "_bb", "_ta", "_tb")
-    values = rows.join(F.broadcast(open_cells), ["feature", "_cell"]).groupBy(
+    values = rows.join(open_cells, ["feature", "_cell"]).groupBy(
         "feature", "_cell", "value", "_ba", "_bb", "_ta", "_tb").agg(a.alias("_na"), b.alias("_nb"))
     inside = Window.partitionBy("feature", "_cell").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -338,7 +338,8 @@ def calibrate_thresholds(df: DataFrame, reference: DataFrame, features: list[str
     """Distances to expect without drift: p95 and p99 per window size and feature.
 
     ``fraction_p95`` and ``fraction_p99`` tell the same of the share of features over
-    their own p95. The final percentiles are over the draws, a few hundred values.
+    their own p95, ``mean_drifted_fraction`` is its mean, ``median_feature_p95`` the median of p95 over
+    features. The final percentiles are over the draws, a few hundred values.
     """
     samples = calibration_draws(df, row_id, windows or CALIBRATION_WINDOWS, draws, seed)
     ks = ks_vs_reference(long_features(samples, features, ["window_size", "draw_no"]), reference,
@@ -348,5 +349,7 @@ def calibrate_thresholds(df: DataFrame, reference: DataFrame, features: list[str
     shares = ks.join(F.broadcast(limits), ["window_size", "feature"]).groupBy("window_size", "draw_no").agg(
         F.avg(F.when(F.col("ks_statistic") > F.col("p95"), 1.0).otherwise(0.0)).alias("share"))
     fractions = shares.groupBy("window_size").agg(
-        F.percentile("share", F.lit(0.95)).alias("fraction_p95"), F.percentile("share", F.lit(0.99)).alias("fraction_p99"))
-    return limits.join(F.broadcast(fractions), "window_size")
+        F.percentile("share", F.lit(0.95)).alias("fraction_p95"), F.percentile("share", F.lit(0.99)).alias("fraction_p99"),
+        F.avg("share").alias("mean_drifted_fraction"))
+    medians = limits.groupBy("window_size").agg(F.median("p95").alias("median_feature_p95"))
+    return limits.join(F.broadcast(fractions.join(medians, "window_size")), "window_size")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions import contract
 from netweir.functions.numbers import count_if, harmonic, ratio, ratio_or_zero
+from netweir.functions.ordered import exact_quantiles
 
 BENIGN = contract.BENIGN
 
@@ -303,13 +304,16 @@ def support_warning(attack: Column, benign: Column, floor: int = contract.MIN_RA
 
 
 def prediction_summary(df: DataFrame, label: str, confidence: str) -> DataFrame:
-    """Rows, benign and attack predictions and the range of the confidence."""
-    return df.agg(
+    """Rows, benign and attack predictions, range and median of the confidence."""
+    median = exact_quantiles(df.select(F.lit(1).alias("_g"), confidence), ["_g"], confidence, [0.5])
+    summary = df.agg(
         F.count(F.lit(1)).alias("support"),
         count_if(F.col(label) == BENIGN).alias("predicted_benign"),
         count_if(F.col(label) != BENIGN).alias("predicted_attack"),
         ratio(count_if(F.col(label) != BENIGN), F.count(F.lit(1))).alias("detection_rate"),
         F.min(confidence).alias("confidence_min"), F.max(confidence).alias("confidence_max"))
+    middle = median.agg(F.max(F.element_at("quantiles", 1)).alias("confidence_median"))  # one row, null without confidences
+    return summary.join(F.broadcast(middle))
 
 
 def prediction_distribution(df: DataFrame, label: str) -> DataFrame:

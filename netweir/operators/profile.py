@@ -47,7 +47,8 @@ def feature_reference(df: DataFrame, features: list[str]) -> DataFrame:
         .withColumns({
             "nunique": F.coalesce("nunique", F.lit(0)),
             **{n: F.try_element_at("quantiles", F.lit(i + 1)) for n, i in named.items()}}) \
-        .withColumn("constant", F.col("nunique") <= 1)
+        .withColumn("constant", F.col("nunique") <= 1) \
+        .withColumn("constant_value", F.when(F.col("constant"), F.col("min")))
 
 
 def constant_and_near_zero(reference: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netweir.functions import contract
 from netweir.functions.numbers import count_if, harmonic, ratio, ratio_or_zero, wilson
 from netweir.operators.evaluate import attribution, binary_diagnostic, support_warning
+from netweir.operators.ranking_metrics import ranking_quality
 
 LABELS = ["BENIGN", "ATTACK"]
 
@@ -213,19 +214,30 @@ def mcnemar_p(b: Column, c: Column) -> Column:
         F.lit(1.0), 2 * F.exp(_log_half_binomial(n, k)) * total))
 
 
-def pooled_binary(df: DataFrame, attack: Column, flagged: Column) -> DataFrame:
-    """Binary confusion of a whole pool and the metrics of it."""
+def pooled_binary(df: DataFrame, attack: Column, flagged: Column, score: str | None = None) -> DataFrame:
+    """Binary confusion of a whole pool and the metrics of it, with score intervals of recall and false alarms.
+
+    With a score column also ROC AUC and average precision, null where the pool has one class.
+    """
     c = df.agg(count_if(attack & flagged).alias("tp"), count_if(~attack & flagged).alias("fp"),
                count_if(attack & ~flagged).alias("fn"), count_if(~attack & ~flagged).alias("tn"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     f1_attack = harmonic(ratio(tp, tp + fp), ratio(tp, tp + fn))
     f1_benign = harmonic(ratio(tn, tn + fn), ratio(tn, tn + fp))
     recalls = F.array_compact(F.array(ratio(tp, tp + fn), ratio(tn, tn + fp)))
-    return c.withColumns({
+    recall, alarms = wilson(tp, tp + fn), wilson(fp, fp + tn)
+    metrics = c.withColumns({
         "macro_f1": (f1_attack + f1_benign) / 2,
         "balanced_accuracy": F.aggregate(recalls, F.lit(0.0), lambda s, x: s + x) / F.size(recalls),
         "attack_recall": ratio_or_zero(tp, tp + fn),
-        "attack_precision": ratio_or_zero(tp, tp + fp), "benign_fpr": ratio(fp, fp + tn)})
+        "attack_precision": ratio_or_zero(tp, tp + fp), "benign_fpr": ratio(fp, fp + tn),
+        "recall_low": recall["low"], "recall_high": recall["high"], "fpr_low": alarms["low"], "fpr_high": alarms["high"]})
+    if score is None:
+        return metrics
+    ranked = ranking_quality(df.select(F.lit(1).alias("_g"), F.col(score).alias("_score"), attack.alias("_attack")), ["_g"],
+                             "_score", F.col("_attack"))
+    quality = ranked.agg(F.max("roc_auc").alias("roc_auc"), F.max("average_precision").alias("pr_auc"))
+    return metrics.join(F.broadcast(quality))
 
 
 def run_level_partition(runs: DataFrame) -> DataFrame:

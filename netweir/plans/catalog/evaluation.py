@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netweir.functions import contract
 from netweir.operators import evaluate as E
 from netweir.operators import ranking_metrics as R
 from netweir.operators import runs as L
@@ -261,12 +262,8 @@ SELECT count(*) AS support, count(*) FILTER (predicted_label = 'BENIGN') AS pred
   min(prediction_confidence) AS confidence_min, max(prediction_confidence) AS confidence_max,
   round(quantile_cont(prediction_confidence, 0.5), 6) AS confidence_median FROM live""")
 def prediction_summary(spark, sf):
-    from netweir.functions.ordered import exact_quantiles
-    live = src.live_flows(spark, sf)
-    median = exact_quantiles(live.select(F.lit(1).alias("g"), "prediction_confidence"), ["g"],
-                             "prediction_confidence", [0.5])
-    return E.prediction_summary(live, "predicted_label", "prediction_confidence").join(
-        median.select(F.round(F.element_at("quantiles", 1), 6).alias("confidence_median")))
+    summary = E.prediction_summary(src.live_flows(spark, sf), "predicted_label", "prediction_confidence")
+    return summary.withColumn("confidence_median", F.round("confidence_median", 6))
 
 
 @query("prediction_distribution", f"""WITH {ctes.LIVE}
@@ -500,15 +497,31 @@ def mcnemar_by_run(spark, sf):
         "run_id", "b", "c", F.round(L.mcnemar_p(F.col("b"), F.col("c")), 6).alias("p_value"))
 
 
+def wilson_sql(k, n, name):
+    """Score interval of k of n at the 95 % level, as two columns."""
+    z = repr(contract.WILSON_Z)
+    p, n = f"({k}) / CAST({n} AS DOUBLE)", f"CAST({n} AS DOUBLE)"
+    centre = f"({p} + {z} * {z} / (2 * {n})) / (1 + {z} * {z} / {n})"
+    half = f"{z} / (1 + {z} * {z} / {n}) * sqrt({p} * (1 - {p}) / {n} + {z} * {z} / (4 * {n} * {n}))"
+    return (f"round(least({p}, greatest(0, {centre} - {half})), 6) AS {name}_low, "
+            f"round(greatest({p}, least(1, {centre} + {half})), 6) AS {name}_high")
+
+
 @query("pooled_binary", f"""WITH {ctes.LIVE},
 c AS (SELECT count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn, count(*) FILTER (NOT e AND NOT p) AS tn
-  FROM (SELECT expected_binary_label = 'ATTACK' AS e, model_b_score >= 0.5 AS p FROM evaluable))
-SELECT *, round((2.0 * tp / (2 * tp + fp + fn) + 2.0 * tn / (2 * tn + fp + fn)) / 2, 6) AS macro_f1,
+  FROM (SELECT expected_binary_label = 'ATTACK' AS e, model_b_score >= 0.5 AS p FROM evaluable)),
+by_score AS (SELECT model_b_score AS s, count(*) FILTER (expected_binary_label = 'ATTACK') AS pos, count(*) FILTER (expected_binary_label <> 'ATTACK') AS neg
+  FROM evaluable WHERE model_b_score IS NOT NULL GROUP BY 1),
+running AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS cp, sum(neg) OVER (ORDER BY s DESC) AS cn, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM by_score),
+rank_quality AS (SELECT sum(CAST(neg AS DOUBLE) * (cp - pos / 2.0)) / (max(p) * CAST(max(n) AS DOUBLE)) AS auc,
+  sum(pos / CAST(p AS DOUBLE) * (cp / CAST(cp + cn AS DOUBLE))) AS ap FROM running)
+SELECT c.*, round((2.0 * tp / (2 * tp + fp + fn) + 2.0 * tn / (2 * tn + fp + fn)) / 2, 6) AS macro_f1,
   round((tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2, 6) AS balanced_accuracy, round(tp / CAST(tp + fn AS DOUBLE), 6) AS attack_recall,
-  round(tp / CAST(tp + fp AS DOUBLE), 6) AS attack_precision, round(fp / CAST(fp + tn AS DOUBLE), 6) AS benign_fpr FROM c""")
+  round(tp / CAST(tp + fp AS DOUBLE), 6) AS attack_precision, round(fp / CAST(fp + tn AS DOUBLE), 6) AS benign_fpr, round(auc, 6) AS roc_auc, round(ap, 6) AS pr_auc,
+  {wilson_sql('tp', 'tp + fn', 'recall')}, {wilson_sql('fp', 'fp + tn', 'fpr')} FROM c, rank_quality""")
 def pooled_binary(spark, sf):
-    return rounded(L.pooled_binary(L.evaluable(src.live_flows(spark, sf)),
-                                   F.col("expected_binary_label") == "ATTACK", F.col("model_b_score") >= 0.5))
+    return rounded(L.pooled_binary(L.evaluable(src.live_flows(spark, sf)), F.col("expected_binary_label") == "ATTACK",
+                                   F.col("model_b_score") >= 0.5, "model_b_score"))
 
 
 MANIFEST_SQL = """manifests AS (SELECT 'run-' || (o_orderkey % 8) AS run_id, count(*) AS orders,

@@ -362,14 +362,22 @@ REFERENCE = DIRTY + ", reference AS (" + " UNION ALL ".join(dirty_stats(f) for f
 
 
 @query("feature_reference", f"""WITH {REFERENCE}
-SELECT *, quantiles[2] AS p01, quantiles[26] AS p25, quantiles[51] AS p50, quantiles[76] AS p75, quantiles[100] AS p99 FROM reference""")
+SELECT * EXCLUDE (quantiles), CASE WHEN constant THEN min END AS constant_value, quantiles[2] AS p01, quantiles[26] AS p25, quantiles[51] AS p50, quantiles[76] AS p75, quantiles[100] AS p99 FROM reference""")
 def feature_reference(spark, sf):
     exact = ("min", "max", "p01", "p25", "p50", "p75", "p99")
-    reference = P.feature_reference(src.dirty_features(spark, sf), DIRTY_FEATURES).withColumns({
-        "quantiles": F.transform("quantiles", lambda v: F.round(v, 9)), **{c: F.round(c, 9) for c in exact}})
+    reference = P.feature_reference(src.dirty_features(spark, sf), DIRTY_FEATURES).drop("quantiles").withColumns(
+        {c: F.round(c, 9) for c in exact})
     return rounded(reference, skip=exact)
 
 
+@query("feature_reference_quantiles", f"""WITH {REFERENCE},
+q AS (SELECT feature, unnest(quantiles) AS value, unnest(range(101)) AS percent FROM reference)
+SELECT feature, CAST(percent AS INT) AS percent, round(value, 6) AS value FROM q""")
+def feature_reference_quantiles(spark, sf):
+    reference = P.feature_reference(src.dirty_features(spark, sf), DIRTY_FEATURES)
+    return reference.select("feature", F.posexplode("quantiles").alias("percent", "value")).withColumn("value", F.round("value", 6))
+
+
 @query("constant_and_near_zero", f"""WITH {REFERENCE}
 SELECT feature, CASE WHEN constant AND min = 0 THEN 'constant_zero' ELSE 'near_zero' END AS kind FROM reference WHERE (constant AND min = 0) OR zero_fraction >= 0.99""")
 def constant_and_near_zero(spark, sf):

@@ -5,7 +5,9 @@ before it, however late it comes; otherwise it opens a new one. Status events cl
 incidents. Within one batch the rows of a key are taken in event-time order.
 
 A key may hold much of the stream, so alarms are first combined per task into one row per
-key and time cell of the window: such alarms always belong to one incident.
+key and time cell of the window: such alarms always belong to one incident. Where status
+events are given, an incident may be closed between two alarms of a cell; then only alarms
+of one instant are combined, and a status event of that instant comes before them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from netweir.operators.incidents import correlation_key, time_cell
 PARTIAL = ("correlation_key string, cell long, first_us long, last_us long, n long, worst int, "
            "destinations array<string>, overflow boolean, incident_no long, status string")
 STATE = ("incident_no long, first_us long, last_us long, n long, worst int, destinations array<string>, "
-         "truncated boolean, status string")
+         "truncated boolean, status string, version long")
 OUTPUT = f"correlation_key string, {STATE}"
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
 
@@ -79,6 +81,7 @@ class IncidentProcessor(StatefulProcessor):
                 for incident in incidents:
                     if incident["incident_no"] == row.incident_no:
                         incident["status"] = row.status
+                        incident["version"] += 1
                         touched[incident["incident_no"]] = incident
                 continue
             usable = [i for i in incidents if i["status"] not in contract.CLOSED_STATUSES
@@ -88,11 +91,13 @@ class IncidentProcessor(StatefulProcessor):
             else:
                 opened += 1
                 incident = {"incident_no": opened, "first_us": row.first_us, "last_us": row.last_us, "n": 0,
-                            "worst": row.worst, "destinations": [], "truncated": False, "status": "NEW"}
+                            "worst": row.worst, "destinations": [], "truncated": False, "status": "NEW",
+                            "version": 0}
                 incidents.append(incident)
             incident["first_us"] = min(incident["first_us"], row.first_us)
             incident["last_us"] = max(incident["last_us"], row.last_us)
             incident["n"] += row.n
+            incident["version"] += 1
             incident["worst"] = max(incident["worst"], row.worst)
             known = list(incident["destinations"])
             new = [d for d in row.destinations if d not in known]
@@ -121,7 +126,7 @@ class IncidentProcessor(StatefulProcessor):
 
 def correlate_stream(alarms: DataFrame, window_seconds: int = contract.CORRELATION_WINDOW_SECONDS,
                      status_events: DataFrame | None = None, keep_seconds: int = 30 * 86400) -> DataFrame:
-    """Changed incidents of every batch (update mode): key, number, extent, counts, status.
+    """Changed incidents of every batch (update mode): key, number, extent, counts, status, version.
 
     ``status_events`` has correlation_key, incident_no, status, changed_at. State older
     than ``keep_seconds`` behind the newest row of its key is dropped; that is the bound
@@ -130,7 +135,8 @@ def correlate_stream(alarms: DataFrame, window_seconds: int = contract.CORRELATI
     """
     rows = alarms.select(
         correlation_key(F.col("source_ip"), F.col("attack_type")).alias("correlation_key"),
-        time_cell(F.col("created_at"), window_seconds).alias("cell"), F.unix_micros("created_at").alias("us"),
+        (time_cell(F.col("created_at"), window_seconds) if status_events is None else F.unix_micros("created_at")).cast(
+            "long").alias("cell"), F.unix_micros("created_at").alias("us"),
         rank_of(F.col("severity"), contract.SEVERITIES).cast("int").alias("worst"), "destination_ip",
         F.lit(None).cast("long").alias("incident_no"), F.lit(None).cast("string").alias("status"))
     if status_events is not None:
@@ -143,8 +149,8 @@ def correlate_stream(alarms: DataFrame, window_seconds: int = contract.CORRELATI
 
 
 def latest_incidents(updates: DataFrame) -> DataFrame:
-    """Current incidents from the update rows of a stream: the row with the most alarms wins."""
+    """Current incidents from the update rows of a stream: the latest version of each."""
     columns = [c for c in updates.columns if c not in ("correlation_key", "incident_no")]
     return updates.groupBy("correlation_key", "incident_no").agg(
-        F.max_by(F.struct(*columns), F.struct("n", "last_us")).alias("r")).select(
+        F.max_by(F.struct(*columns), "version").alias("r")).select(
         "correlation_key", "incident_no", "r.*")

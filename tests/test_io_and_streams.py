@@ -120,6 +120,20 @@ def test_late_alarm_joins_and_severity_never_falls(spark, tmp_path):
     assert got == [(1, 3, 2, "NEW"), (2, 1, 0, "NEW")]
 
 
+def closing(no, seconds, status="RESOLVED"):
+    return (None, at(seconds), None, "s", None, "PortScan", no, status)
+
+
+def test_a_closed_incident_takes_no_alarm_of_the_same_cell(spark, tmp_path):
+    got = run_incidents(spark, tmp_path, [[alarm(1, 0)], [alarm(2, 10), closing(1, 30), alarm(3, 60)]], 120)
+    assert got == [(1, 2, 0, "RESOLVED"), (2, 1, 0, "NEW")]
+
+
+def test_a_status_without_new_alarms_is_kept(spark, tmp_path):
+    got = run_incidents(spark, tmp_path, [[alarm(1, 0)], [closing(1, 5)]], 120)
+    assert got == [(1, 1, 0, "RESOLVED")]
+
+
 def test_in_order_stream_equals_the_batch_form(spark, tmp_path):
     table = adapters.alarms(spark, SF).orderBy("created_at").select(
         "alarm_id", "created_at", "severity", "source_ip", "destination_ip", "attack_type",
