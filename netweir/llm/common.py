@@ -41,7 +41,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def staged(frame: DataFrame) -> DataFrame:
-    """The frame written as Parquet to the shared checkpoint folder and read again: smaller than checkpoint()."""
+    """The frame written as Parquet to the shared checkpoint folder and read again.
+
+    Smaller than checkpoint(), and Spark knows its size: a join broadcasts it if it is small, else not.
+    """
     path = shared_folder(frame.sparkSession, "stage")
     frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, checkpointed, raw, shingle_hashes, slices, text_key
+from netweir.llm.common import WordHashes, raw, shingle_hashes, slices, staged, text_key
 
 
 def shingles(text: bytes | None, n: int) -> set[bytes]:
@@ -82,7 +82,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     its = its.withColumn("__no", F.xxhash64("__item", "__text"))
     hashes = item_hashes(its, "__no", "__text", words)
     found = sketches(docs, text, words).select("k1", "k2", F.explode("sketch").alias("hash")).join(hashes, "hash")
-    pairs = checkpointed(found.select("k1", "k2", "item").distinct())
+    pairs = staged(found.select("k1", "k2", "item").distinct())
     texts = docs.select(*text_key(F.col(text)), F.col(text).alias("body"))
     wanted = pairs.select("k1", "k2").distinct()
     texts = texts.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
@@ -116,6 +116,6 @@ def leaking_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs, all columns, without the rows whose text holds an item."""
     k1, k2 = text_key(F.col(text))
-    bad = checkpointed(leaks(docs, items, text, **how).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct())
+    bad = staged(leaks(docs, items, text, **how).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct())
     keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
     return keyed.join(bad, ["__k1", "__k2"], "left_anti").select(*docs.columns)

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweir.llm.common import checkpointed, n_words, one_row_each, text_key
+from netweir.llm.common import checkpointed, n_words, one_row_each, staged, text_key
 
 PERIOD, STEP = 1 << 31, 1327217885  # an odd integer next to 2^31 times the golden ratio's fraction
 CHUNK = 4096
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     rows = d.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) / 2048, 16)))
     sizes = d.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    targets = checkpointed(source_targets(sizes, weights, cap))
+    targets = staged(source_targets(sizes, weights, cap))
     placed = shuffled(d.where("size > 0"), digits, seed)
     uses = schedule(targets, block, cap).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"))
     parts = placed.withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, checkpointed, mix64, raw
+from netweir.llm.common import WordHashes, mix64, raw, staged
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 STATS = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
@@ -153,12 +153,12 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame:
     p, none = len(VECTOR), F.lit(0.0).alias("reach")
     one = F.lit(1.0)
     first = rows.groupBy("gid").agg(*_moments(one)).select("gid", F.lit(0).alias("start"), "n", "s", "ss", none)
-    estimates = checkpointed(first.mapInPandas(_estimates, shape))
+    estimates = staged(first.mapInPandas(_estimates, shape))
     centred = rows.join(estimates.select("gid", "mean"), "gid")
     norm = F.sqrt(sum(((F.col(v) - F.col("mean")[i]) / F.lit(FLOOR[i])) ** 2 for i, v in enumerate(VECTOR)))
     weight = one / F.greatest(F.lit(1.0), norm)
     signs = centred.groupBy("gid").agg(*_moments(weight)).select("gid", F.lit(1).alias("start"), "n", "s", "ss", none)
-    estimates = checkpointed(estimates.unionByName(signs.mapInPandas(_estimates, shape)))
+    estimates = staged(estimates.unionByName(signs.mapInPandas(_estimates, shape)))
     for _ in range(steps):
         far = rows.join(estimates, "gid").withColumn("d2", _distance())
         cells = far.withColumn("cell", F.floor(16 * F.log2(1 + F.col("d2")))).groupBy("gid", "start", "cell").agg(
@@ -171,7 +171,7 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame:
             F.sum(F.col("n") * F.col("part")).alias("n"),
             F.array(*[F.sum(F.col("s")[i] * F.col("part")) for i in range(p)]).alias("s"),
             F.array(*[F.sum(F.col("ss")[i] * F.col("part")) for i in range(p * (p + 1) // 2)]).alias("ss"), F.max("reach").alias("reach"))
-        estimates = checkpointed(near.mapInPandas(_estimates, shape))
+        estimates = staged(near.mapInPandas(_estimates, shape))
     best = estimates.groupBy("gid").agg(F.min(F.struct("logdet", "start", "mean", "white")).alias("b"))
     final = rows.join(best, "gid").withColumn("d2", _distance("b.")).withColumn("cell", F.floor(64 * F.log2(1 + F.col("d2"))))
     cells = final.groupBy("gid", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("reach"))
@@ -202,10 +202,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     counted = with_counts(docs, text, "__counts").withColumns({"__lang": group_key(F.col(lang)), "__source": group_key(F.col(source))})
     s = F.col("__counts")
     slim = counted.select(F.col("__lang").alias("lang_key"), F.col("__source").alias("source_key"), s.alias("__counts")).where(~base_failed(s))
-    rows = checkpointed(slim.select("lang_key", "source_key", *[v.alias(n) for n, v in zip(VECTOR, vector(s))]))
-    pools = checkpointed(groups(rows, min_rows))
+    rows = staged(slim.select("lang_key", "source_key", *[v.alias(n) for n, v in zip(VECTOR, vector(s))]))
+    pools = staged(groups(rows, min_rows))
     fitted = mcd(rows.join(pools.where("gid IS NOT NULL"), ["lang_key", "source_key"]).select("gid", *VECTOR), share)
-    fitted = checkpointed(pools.join(fitted, "gid").select(F.col("lang_key").alias("__lang"), F.col("source_key").alias("__source"),
+    fitted = staged(pools.join(fitted, "gid").select(F.col("lang_key").alias("__lang"), F.col("source_key").alias("__source"),
                                                            F.struct("mean", "white", "scale").alias("__fit")))
     cut = chi_square(len(VECTOR), tail_z)
     judged = counted.withColumns({n: v for n, v in zip(VECTOR, vector(s))} | {"__failed": base_failed(s)})

@@ -69,39 +69,46 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", words: in
 
 # --- the trie join -----------------------------------------------------------------------------------
 
+COMBINATIONS = 1 << 18  # compared at once
+
+
 def _within(fps: np.ndarray, la, ha, lb, hb, budget: int):
-    """All cross pairs of index ranges [la, ha) x [lb, hb) within the budget, equal ranges once."""
+    """Cross pairs of index ranges [la, ha) x [lb, hb) within the budget, equal ranges once, in pieces."""
     wide = hb - lb
     count = (ha - la) * wide
-    at = np.repeat(np.arange(len(count)), count)
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    a, b = la[at] + inner // wide[at], lb[at] + inner % wide[at]
-    use = (la[at] != lb[at]) | (a < b)
-    a, b = a[use], b[use]
-    d = np.bitwise_count(fps[a] ^ fps[b])
-    near = d <= budget
-    return a[near], b[near], d[near]
+    piece = np.cumsum(count) // COMBINATIONS
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(count)]
+    for i, j in zip(cuts, cuts[1:]):
+        n = count[i:j]
+        at = np.repeat(np.arange(i, j), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a, b = la[at] + inner // wide[at], lb[at] + inner % wide[at]
+        use = (la[at] != lb[at]) | (a < b)
+        a, b = a[use], b[use]
+        d = np.bitwise_count(fps[a] ^ fps[b])
+        near = d <= budget
+        yield a[near], b[near], d[near]
 
 
 def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, leaf: int = 64):
-    """Index pairs of fingerprints within the budget, by walking node pairs of the trie from bit 63 down.
+    """Pieces (a, b, distance) of index pairs of fingerprints within the budget.
 
-    left, right: sorted distinct uint64; right None joins left with itself. A node is a range of the sorted
-    values. A pair of nodes of at most `leaf` combinations is compared value by value.
+    left, right: sorted distinct uint64; right None joins left with itself, else indexes of right follow those
+    of left. Node pairs of the trie are walked from bit 63 down; a node is a range of the sorted values. A
+    pair of nodes of at most `leaf` combinations is compared value by value.
     """
     fps = left if right is None else np.concatenate([left, right])
     n, z = len(left), np.zeros(1, np.int64)
     la, ha = z, z + n
     lb, hb = (la, ha) if right is None else (z + n, z + len(fps))
     err = z
-    out = []
     for bit in range(63, -2, -1):
         small = (ha - la) * (hb - lb) <= leaf if bit >= 0 else np.ones(len(la), bool)
         if small.any():
-            out.append(_within(fps, la[small], ha[small], lb[small], hb[small], budget))
+            yield from _within(fps, la[small], ha[small], lb[small], hb[small], budget)
         la, ha, lb, hb, err = (x[~small] for x in (la, ha, lb, hb, err))
         if not len(la):
-            break
+            return
         ones = np.concatenate([z, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)])
         ma, mb = ha - (ones[ha] - ones[la]), hb - (ones[hb] - ones[lb])
         own = la == lb
@@ -110,29 +117,24 @@ def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, leaf: in
         la, ha, lb, hb, err = np.concatenate(nodes, axis=1)
         live = (ha > la) & (hb > lb) & (err <= budget)
         la, ha, lb, hb, err = (x[live] for x in (la, ha, lb, hb, err))
-    if not out:
-        return z[:0], z[:0], z[:0]
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> list[int]:
-    """Positions of links that join the same members as all links do, nearest links first."""
-    parent = list(range(n))
 
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    kept = []
-    order = np.argsort(distance, kind="stable")
-    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[y] = x
-            kept.append(i)
-    return kept
+def forest(n: int, pieces) -> tuple[list[int], list[int]]:
+    """Links that join the same members as all links of the pieces do; in a piece the nearest come first."""
+    label, members = np.arange(n), {i: [i] for i in range(n)}
+    kept_a, kept_b = [], []
+    for a, b, distance in pieces:
+        apart = np.flatnonzero(label[a] != label[b])
+        for i in apart[np.argsort(distance[apart], kind="stable")].tolist():
+            x, y = int(label[a[i]]), int(label[b[i]])
+            if x != y:
+                if len(members[x]) < len(members[y]):
+                    x, y = y, x
+                label[members[y]] = x
+                members[x] += members.pop(y)
+                kept_a.append(int(a[i]))
+                kept_b.append(int(b[i]))
+    return kept_a, kept_b
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -214,11 +216,11 @@ def _walk(rows: DataFrame, budget: int) -> DataFrame:
                     if int(a[0] ^ b[0]).bit_count() <= budget:
                         found.append((np.array([space]), a, b))
                     continue
-                a, b, d = trie_pairs(left, np.unique(right) if len(right) else None, budget)
-                if len(a):
-                    fps = np.concatenate([left, np.unique(right)])
-                    kept = forest(len(fps), a, b, d)
-                    found.append((np.full(len(kept), space), fps[a[kept]], fps[b[kept]]))
+                right = np.unique(right)
+                fps = np.concatenate([left, right])
+                a, b = forest(len(fps), trie_pairs(left, right if len(right) else None, budget))
+                if a:
+                    found.append((np.full(len(a), space), fps[a], fps[b]))
             if found:
                 space, a, b = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(space.astype(np.int32)), pa.array(a.view(np.int64)),

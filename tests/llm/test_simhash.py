@@ -66,12 +66,12 @@ def crowd(n, seed):
 
 def test_walk_of_one_trie():
     fps = crowd(300, 1)
-    a, b, d = S.trie_pairs(fps, None, 2, leaf=4)
+    a, b, d = (np.concatenate(x) for x in zip(*S.trie_pairs(fps, None, 2, leaf=4)))
     near = np.bitwise_count(fps[:, None] ^ fps[None, :])
     want = {(i, j) for i, j in zip(*np.nonzero(near <= 2)) if i < j}
     assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
     left, right = fps[::2], fps[1::2]
-    a, b, d = S.trie_pairs(left, right, 2, leaf=4)
+    a, b, d = (np.concatenate(x) for x in zip(*S.trie_pairs(left, right, 2, leaf=4)))
     both = np.concatenate([left, right])
     want = {(i, j + len(left)) for i, j in zip(*np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= 2))}
     assert set(zip(a.tolist(), b.tolist())) == want and (np.bitwise_count(both[a] ^ both[b]) == d).all()
