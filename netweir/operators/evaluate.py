@@ -63,19 +63,21 @@ def confusion_wide(conf: DataFrame, classes: list[str]) -> DataFrame:
         "y_pred", classes).agg(F.sum("n")).na.fill(0, classes)
 
 
-def per_class(conf: DataFrame) -> DataFrame:
-    parts = conf.select(F.explode(F.array(
+def per_class(conf: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """Counts and rates of every class, of each group's matrix where groups are named."""
+    keys = groups or []
+    parts = conf.select(*keys, F.explode(F.array(
         F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"),
                  F.lit(0).cast("long").alias("predicted"),
                  F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp")),
         F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("support"),
                  F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))).alias("p"))
-    sums = parts.groupBy("p.label").agg(
+    sums = parts.groupBy(*keys, "p.label").agg(
         F.sum("p.support").alias("support"), F.sum("p.predicted").alias("predicted"),
         F.sum("p.tp").alias("tp"))
     sums = sums.withColumns({
         "fn": F.col("support") - F.col("tp"), "fp": F.col("predicted") - F.col("tp"),
-        "tn": F.sum("support").over(Window.partitionBy()) - F.col("support") - F.col("predicted") + F.col("tp")})
+        "tn": F.sum("support").over(Window.partitionBy(*keys)) - F.col("support") - F.col("predicted") + F.col("tp")})
     rates = sums.withColumns({
         "precision": ratio(F.col("tp"), F.col("predicted")),
         "recall": ratio(F.col("tp"), F.col("support")),
@@ -254,12 +256,55 @@ def known_class_metrics(classes: DataFrame, known: DataFrame) -> DataFrame:
         ratio(F.sum("tp"), F.sum("support")).alias("accuracy_over_known_rows"))
 
 
+def fold_report(conf: DataFrame, train_labels: DataFrame) -> DataFrame:
+    """One row per learner and held-out family of leave-one-family-out folds.
+
+    conf: (learner, held_out, y_true, y_pred, n), the confusion table of the whole test side in each fold;
+    rows with an empty held_out are those of the model that saw every family. train_labels: (label) of the
+    training side before any family is removed.
+
+    Detection and attribution are over the held-out rows, the binary counts over all test rows, the known-class
+    metrics over the classes still in training; ``base_*`` are those of the full model over the same classes.
+    Labels outside the taxonomy belong to no family.
+    """
+    keys = ["learner", "held_out"]
+    folds = conf.where("held_out <> ''")
+    held = folds.where(family_of(F.col("y_true")) == F.col("held_out"))
+    report = folds.select(*keys).distinct().join(detection_report(held, keys), keys, "left").join(
+        attribution(held, keys).select(*keys, "dominant_label", "dominant_label_share", "dominant_family"), keys, "left")
+    binary = binary_diagnostic(folds, keys)
+    report = report.join(binary.select(*keys, "benign_rows", "attack_rows", F.col("recall").alias("attack_recall"),
+                                       F.col("precision").alias("attack_precision"), "benign_false_positive_rate"), keys)
+    family = family_of(F.col("label"))
+    known = folds.select(*keys).distinct().join(F.broadcast(train_labels.select("label").distinct())).where(
+        family.isNull() | (family != F.col("held_out")))
+
+    def over_known(classes, on, prefix):
+        zero = F.lit(0.0)
+        return known.join(classes, on, "left").groupBy(*keys).agg(
+            F.count(F.lit(1)).alias(f"{prefix}classes"), F.coalesce(F.sum("support"), F.lit(0)).alias(f"{prefix}rows"),
+            F.avg(F.coalesce("precision", zero)).alias(f"{prefix}macro_precision"),
+            F.avg(F.coalesce("recall", zero)).alias(f"{prefix}macro_recall"), F.avg(F.coalesce("f1", zero)).alias(f"{prefix}macro_f1"),
+            ratio(F.sum("tp"), F.sum("support")).alias(f"{prefix}accuracy"))
+
+    full = conf.where("held_out = ''")
+    base = over_known(per_class(full, ["learner"]), ["learner", "label"], "base_").drop("base_classes", "base_rows")
+    base_fpr = binary_diagnostic(full, ["learner"]).select("learner", F.col("benign_false_positive_rate").alias("base_benign_false_positive_rate"))
+    report = report.join(over_known(per_class(folds, keys), [*keys, "label"], "known_"), keys, "left").join(base, keys, "left").join(
+        base_fpr, "learner", "left")
+    return report.withColumn("tier", support_tier(F.coalesce("support", F.lit(0))))
+
+
 def matched_baseline(conf: DataFrame, known: DataFrame) -> DataFrame:
     """Metrics of an older matrix restricted to the surviving classes, with its benign rate."""
     return known_class_metrics(per_class(conf), known).join(
         binary_view(conf).select("benign_false_positive_rate"))
 
 
+def support_tier(support: Column) -> Column:
+    return F.when(support >= 1000, "high").when(support >= 100, "moderate").otherwise("low_exploratory")
+
+
 def support_by_family(df: DataFrame, label: str, split: str) -> DataFrame:
     """Rows per attack family, train and held-out, with the support tier of the latter."""
     counts = df.groupBy(family_of(F.col(label)).alias("family")).agg(
@@ -267,8 +312,7 @@ def support_by_family(df: DataFrame, label: str, split: str) -> DataFrame:
         count_if(F.col(split) == "train").alias("train_support"),
         count_if(F.col(split) == "test").alias("test_support"))
     return counts.where(F.col("family").isNotNull() & (F.col("family") != BENIGN)).withColumn(
-        "tier", F.when(F.col("test_support") >= 1000, "high")
-        .when(F.col("test_support") >= 100, "moderate").otherwise("low_exploratory"))
+        "tier", support_tier(F.col("test_support")))
 
 
 def family_summary(folds: DataFrame) -> DataFrame:

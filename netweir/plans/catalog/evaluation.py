@@ -215,6 +215,54 @@ def matched_baseline(spark, sf):
     return rounded(E.matched_baseline(confusion(spark, sf), trained(spark, sf))).withColumnRenamed("rows", "n_rows")
 
 
+FOLD_SQL = f"""t AS (SELECT y_true, y_pred, quantity, {ctes.family_of('y_true')} AS fam, {ctes.family_of('y_pred')} AS pf FROM predictions WHERE status = 'O'),
+fams AS (SELECT DISTINCT fam AS held_out FROM t WHERE fam <> 'BENIGN'),
+f AS (SELECT held_out, y_true, fam, CASE WHEN pf = held_out THEN 'BENIGN' ELSE y_pred END AS y_pred, count(*) AS n FROM t, fams GROUP BY ALL),
+base AS (SELECT y_true, CASE WHEN quantity < 12 THEN 'BENIGN' ELSE y_pred END AS y_pred, count(*) AS n FROM t GROUP BY ALL),
+det AS (SELECT held_out, sum(n) AS support, coalesce(sum(n) FILTER (y_pred <> 'BENIGN'), 0) AS detected FROM f WHERE fam = held_out GROUP BY held_out),
+lab AS (SELECT held_out, y_pred, {ctes.family_of('y_pred')} AS pfam, sum(n) AS n FROM f WHERE fam = held_out AND y_pred <> 'BENIGN' GROUP BY ALL),
+dom AS (SELECT held_out, arg_min(y_pred, (-n, y_pred)) AS dominant_label, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM lab GROUP BY held_out),
+domf AS (SELECT held_out, arg_min(coalesce(pfam, 'unmapped'), (-n, first_label)) AS dominant_family
+  FROM (SELECT held_out, pfam, sum(n) AS n, min(y_pred) AS first_label FROM lab GROUP BY ALL) GROUP BY held_out),
+bin AS (SELECT held_out, coalesce(sum(n) FILTER (y_true = 'BENIGN'), 0) AS b, coalesce(sum(n) FILTER (y_true <> 'BENIGN'), 0) AS a,
+  coalesce(sum(n) FILTER (y_true <> 'BENIGN' AND y_pred <> 'BENIGN'), 0) AS tp, coalesce(sum(n) FILTER (y_true = 'BENIGN' AND y_pred <> 'BENIGN'), 0) AS fp FROM f GROUP BY held_out),
+known AS (SELECT held_out, label FROM fams, (SELECT DISTINCT y_true AS label, {ctes.family_of('y_true')} AS lf FROM predictions WHERE status = 'F') WHERE lf IS NULL OR lf <> held_out),
+cls AS (SELECT held_out, label, sum(s) AS support, sum(p) AS predicted, sum(c) AS tp FROM (
+  SELECT held_out, y_true AS label, n AS s, 0 AS p, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS c FROM f UNION ALL SELECT held_out, y_pred, 0, n, 0 FROM f) GROUP BY ALL),
+bcls AS (SELECT label, sum(s) AS support, sum(p) AS predicted, sum(c) AS tp FROM (
+  SELECT y_true AS label, n AS s, 0 AS p, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS c FROM base UNION ALL SELECT y_pred, 0, n, 0 FROM base) GROUP BY ALL),
+k AS (SELECT held_out, count(*) AS known_classes, coalesce(sum(support), 0) AS known_rows, avg(coalesce(tp / nullif(CAST(predicted AS DOUBLE), 0), 0)) AS mp,
+  avg(coalesce(tp / nullif(CAST(support AS DOUBLE), 0), 0)) AS mr, avg(coalesce(2.0 * tp / nullif(support + predicted, 0), 0)) AS mf, sum(tp) / CAST(sum(support) AS DOUBLE) AS acc
+  FROM known LEFT JOIN cls USING (held_out, label) GROUP BY held_out),
+bk AS (SELECT held_out, avg(coalesce(tp / nullif(CAST(predicted AS DOUBLE), 0), 0)) AS mp,
+  avg(coalesce(tp / nullif(CAST(support AS DOUBLE), 0), 0)) AS mr, avg(coalesce(2.0 * tp / nullif(support + predicted, 0), 0)) AS mf, sum(tp) / CAST(sum(support) AS DOUBLE) AS acc
+  FROM known LEFT JOIN bcls USING (label) GROUP BY held_out)"""
+
+
+@query("fold_report", f"""WITH {ctes.PREDICTIONS}, {FOLD_SQL}
+SELECT 'rule' AS learner, held_out, CAST(support AS BIGINT) AS support, CAST(detected AS BIGINT) AS detected, round(detected / CAST(support AS DOUBLE), 6) AS detection_rate,
+  round((support - detected) / CAST(support AS DOUBLE), 6) AS miss_rate, dominant_label, round(share, 6) AS dominant_label_share, dominant_family,
+  CAST(b AS BIGINT) AS benign_rows, CAST(a AS BIGINT) AS attack_rows, round(bin.tp / CAST(a AS DOUBLE), 6) AS attack_recall, round(bin.tp / CAST(bin.tp + bin.fp AS DOUBLE), 6) AS attack_precision,
+  round(bin.fp / CAST(b AS DOUBLE), 6) AS benign_false_positive_rate, known_classes, CAST(known_rows AS BIGINT) AS known_rows,
+  round(k.mp, 6) AS known_macro_precision, round(k.mr, 6) AS known_macro_recall, round(k.mf, 6) AS known_macro_f1, round(k.acc, 6) AS known_accuracy,
+  round(bk.mp, 6) AS base_macro_precision, round(bk.mr, 6) AS base_macro_recall, round(bk.mf, 6) AS base_macro_f1, round(bk.acc, 6) AS base_accuracy,
+  (SELECT round(sum(n) FILTER (y_true = 'BENIGN' AND y_pred <> 'BENIGN') / CAST(sum(n) FILTER (y_true = 'BENIGN') AS DOUBLE), 6) FROM base) AS base_benign_false_positive_rate,
+  CASE WHEN support >= 1000 THEN 'high' WHEN support >= 100 THEN 'moderate' ELSE 'low_exploratory' END AS tier
+FROM det LEFT JOIN dom USING (held_out) LEFT JOIN domf USING (held_out) JOIN bin USING (held_out) JOIN k USING (held_out) JOIN bk USING (held_out)""")
+def fold_report(spark, sf):
+    """The fold report with a fixed rule as the model, which never names the held-out family."""
+    rows = src.predictions(spark, sf)
+    test = E.with_family(rows.where("status = 'O'"), "y_true").withColumn("_pf", E.family_of(F.col("y_pred")))
+    families = test.where("family <> 'BENIGN'").select(F.col("family").alias("held_out")).distinct()
+    n = F.count(F.lit(1)).alias("n")
+    folds = test.join(F.broadcast(families)).select("held_out", "y_true", F.when(F.col("_pf") == F.col("held_out"), "BENIGN").otherwise(
+        F.col("y_pred")).alias("y_pred")).groupBy("held_out", "y_true", "y_pred").agg(n)
+    base = test.select(F.lit("").alias("held_out"), "y_true", F.when(F.col("quantity") < 12, "BENIGN").otherwise(
+        F.col("y_pred")).alias("y_pred")).groupBy("held_out", "y_true", "y_pred").agg(n)
+    conf = folds.unionByName(base).withColumn("learner", F.lit("rule"))
+    return rounded(E.fold_report(conf, rows.where("status = 'F'").select(F.col("y_true").alias("label"))))
+
+
 @query("support_by_family", f"""WITH {ctes.PREDICTIONS},
 f AS (SELECT {ctes.family_of('y_true')} AS family, status FROM predictions)
 SELECT family, count(*) AS total_support, count(*) FILTER (status = 'F') AS train_support, count(*) FILTER (status = 'O') AS test_support,
