@@ -17,8 +17,11 @@ byte offset and length; a reader that shuffles takes rows of the index in any or
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +33,7 @@ from netweir.llm.common import slices, text_key
 
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BBq")
 ENTRIES = 400_000
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 def masked_crc(data: bytes) -> int:
@@ -54,6 +58,12 @@ class Encoder:
         self.entries = entries
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+        # the characters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in set(shown)]
+        self.shown = {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
+        self.space = self.shown[32]
         self.line = self._whole("\n")
         self.line_id = int(np.frombuffer(self.line, self.type)[0])
 
@@ -74,48 +84,59 @@ class Encoder:
 
     def _learn(self, parts: list[str]) -> None:
         """Keeps the ids of parts: as they are after a space; after a line end, with \\n first; at the start of
-        a text, with a space first. Closing punctuation after a letter is a part of its own."""
-        bodies = {p: p.rstrip(".,;:!?") for p in parts}
-        bodies = {p: b if b and b != p and b[-1].isalpha() else p for p, b in bodies.items()}
-        new = list({b for b in bodies.values() if b not in self.known})
-        bare = [b[1:] if b[0] in " \n" else " " + b for b in new]
-        for body, ids in zip(new, self._each(bare)):
-            self.known[body] = self.line + ids if body[0] == "\n" else ids
-        for part, body in bodies.items():
-            if part != body:
-                tail = part[len(body):]
+        a text, with a space first.
+
+        The tokenizer cuts a run of letters from closing punctuation. Most parts are such runs, which go to
+        the tokenizer's model straight away; the others pass its whole pipeline.
+        """
+        model, known, other = self.tokenizer.model.tokenize, self.known, []
+        for part in parts:
+            first = part[0]
+            word = part[1:] if first in " \n" else part
+            body = word.rstrip(".,;:!?")
+            if not LETTERS(body):
+                other.append(part)
+                continue
+            mapped = body if body.isascii() else "".join([self.shown[x] for x in body.encode()])
+            ids = array(self.code, [t.id for t in model(mapped if first in " \n" else self.space + mapped)]).tobytes()
+            if len(body) < len(word):
+                tail = word[len(body):]
                 if tail not in self.tails:
                     self.tails[tail] = self._whole(tail)
-                self.known[part] = self.known[body] + self.tails[tail]
-
-    def _look_up(self, parts: list[str]) -> list[bytes]:
-        ids = list(map(self.known.get, parts))
-        new = [j for j, v in enumerate(ids) if v is None]
-        if new:
-            self._learn(list({parts[j] for j in new}))
-            for j in new:
-                ids[j] = self.known[parts[j]]
-        return ids
+                ids += self.tails[tail]
+            known[part] = self.line + ids if first == "\n" else ids
+        bare = [p[1:] if p[0] in " \n" else " " + p for p in other]
+        for part, ids in zip(other, self._each(bare)):
+            known[part] = self.line + ids if part[0] == "\n" else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, parts, spans = [b""] * len(texts), [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            runs, gaps = text.split(), text.count(" ") + text.count("\n")
-            if len(runs) - 1 == gaps and sum(map(len, runs)) + gaps == len(text):
+        """Ids of each text. Parts that hold other white space, or nothing, are never kept; their texts go whole."""
+        out, parts, ends = [b""] * len(texts), [], []
+        for text in texts:
+            if text:
                 own = text.replace("\n", " \n").split(" ")
                 own[0] = " " + own[0]
-                spans.append((i, len(parts), len(parts) + len(own)))
                 parts += own
-            else:
-                out[i] = self._whole(text)
+            ends.append(len(parts))
         if len(self.known) > self.entries:
             self.known.clear()
             self.tails.clear()
-        ids = self._look_up(parts)
-        for i, a, b in spans:
-            out[i] = b"".join(ids[a:b])
+        ids = list(map(self.known.get, parts))
+        new = [j for j, v in enumerate(ids) if v is None]
+        fresh = {parts[j] for j in new}
+        self._learn([p for p in fresh if (p[1:] if p[:1] in (" ", "\n") else p).split() == [p.lstrip(" \n")]])
+        odd = set()
+        for j in new:
+            ids[j] = self.known.get(parts[j])
+            if ids[j] is None:
+                odd.add(bisect_right(ends, j))
+        begin = 0
+        for i, end in enumerate(ends):
+            if i in odd:
+                out[i] = self._whole(texts[i])
+            elif end > begin:
+                out[i] = b"".join(ids[begin:end])
+            begin = end
         return out
 
 
