@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, checkpointed, mix64, one_row_each, raw, shingle_hashes, slices, text_key
+from netweir.llm.common import WordHashes, checkpointed, mix64, one_row_each, raw, shingle_hashes, slices, staged, text_key
 
 CHUNK = 1 << 16
 
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     roots = components(trie_links(first.select(F.lit(0).alias("space"), "fp"), budget))
     named = first.join(roots, first.fp == roots.node).select("fp", "root", "first")
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
-    merged = first.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    merged = staged(first.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")))
     return rows.join(merged, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
