@@ -48,11 +48,19 @@ def mentions_any(lowered: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(t)) for t in terms])
 
 
-def evidence_numbers(evidence: Column, confidence: Column) -> Column:
-    """Every number a text may cite: values and contributions, and their roundings."""
+def evidence_numbers(evidence: Column, confidence: Column, anomaly: Column | None = None,
+                     anomaly_score: Column | None = None) -> Column:
+    """Every number a text may cite: values and contributions, and their roundings.
+
+    ``anomaly`` (value, baseline, contribution per feature) and ``anomaly_score`` count where given.
+    """
+    none = F.array().cast("array<double>")
+    more = none if anomaly is None else F.coalesce(F.array_compact(F.flatten(F.transform(
+        anomaly, lambda e: F.array(e["value"], e["baseline"], e["contribution"])))), none)
     given = F.concat(F.transform(evidence, lambda e: e["value"]),
-                     F.transform(evidence, lambda e: e["contribution"]),
-                     F.array_compact(F.array(confidence, confidence * 100)))
+                     F.transform(evidence, lambda e: e["contribution"]), more,
+                     F.array_compact(F.array(confidence, confidence * 100)),
+                     none if anomaly_score is None else F.array_compact(F.array(anomaly_score)))
     return F.array_distinct(F.flatten(F.transform(given, lambda x: F.array(
         x, *[F.bround(x, d) for d in range(4)]))))
 
@@ -66,7 +74,10 @@ def _finding(kind: str, severity: str, matched: Column) -> Column:
 
 
 def findings(text: Column, evidence_text: Column, numbers: Column) -> Column:
-    """Things the text names that it cannot know: addresses, payload, ports, protocols."""
+    """Things the text names that it cannot know: addresses, payload, ports, protocols.
+
+    ``matched`` is the text's own wording; of a protocol that is its first mention.
+    """
     text = F.coalesce(text, F.lit(""))
     none = F.array().cast("array<string>")
 
@@ -80,9 +91,11 @@ def findings(text: Column, evidence_text: Column, numbers: Column) -> Column:
     payload = F.when(text.rlike("(?iU)" + "|".join(PAYLOAD_TERMS)), F.flatten(F.array(
         *[every(f"(?iU){t}") for t in PAYLOAD_TERMS]))).otherwise(none)
     ports = F.when(F.contains(F.lower(text), F.lit("port")), F.filter(
-        every(PORT_MENTION, 1), lambda p: ~is_given(p.cast("double"), numbers))).otherwise(none)
-    named = F.array_distinct(F.transform(every(rf"(?iU)\b({'|'.join(PROTOCOL_WORDS)})\b", 1), F.upper))
-    words = F.filter(named, lambda w: ~F.contains(evidence_text, F.lower(w)))
+        every(PORT_MENTION), lambda p: ~is_given(F.regexp_extract(p, PORT_MENTION, 1).cast("double"), numbers))).otherwise(none)
+    named = every(rf"(?iU)\b({'|'.join(PROTOCOL_WORDS)})\b", 1)
+    spelled = F.transform(named, F.upper)
+    first = F.filter(named, lambda w, i: F.array_position(spelled, F.upper(w)) == i + 1)
+    words = F.filter(first, lambda w: ~F.contains(evidence_text, F.lower(w)))
     return F.concat(
         F.transform(F.concat(v4, v6), lambda m: _finding("ip_address_not_in_evidence", "high", m)),
         F.transform(payload, lambda m: _finding("payload_or_packet_content_claim", "high", m)),

@@ -12,14 +12,22 @@ from netweir.functions.numbers import computed_once, count_if, ratio
 def check_explanations(df: DataFrame) -> DataFrame:
     """Adds the findings and the technical checks of every explanation.
 
-    Expects text, decision, confidence and evidence (feature, value, contribution).
+    Expects text, decision, confidence and evidence (feature, value, contribution). Where the table has
+    them, anomaly_evidence (feature, value, baseline, contribution), anomaly_score and extra_terms (array of
+    texts) are evidence too.
     """
+    anomaly = F.col("anomaly_evidence") if "anomaly_evidence" in df.columns else None
+    score = F.col("anomaly_score") if "anomaly_score" in df.columns else None
+    nothing = F.array().cast("array<string>")
+    extra = F.coalesce("extra_terms", nothing) if "extra_terms" in df.columns else nothing
     lowered = F.lower(F.coalesce("text", F.lit("")))
     names = F.transform("evidence", lambda e: e["feature"])
+    if anomaly is not None:
+        names = F.concat(names, F.coalesce(F.transform(anomaly, lambda e: e["feature"]), nothing))
     prepared = computed_once(
         df, _low=lowered, _names=names,
-        _numbers=T.evidence_numbers(F.col("evidence"), F.col("confidence")),
-        _evidence_text=F.lower(F.concat_ws(" ", names, F.col("decision"))))
+        _numbers=T.evidence_numbers(F.col("evidence"), F.col("confidence"), anomaly, score),
+        _evidence_text=F.lower(F.concat_ws(" ", names, extra, F.col("decision"))))
     low, decision = F.col("_low"), F.col("decision")
     own = F.when(decision == "ATTACK", T.mentions_any(low, T.DECISION_TERMS["ATTACK"])).when(
         decision == "BENIGN", T.mentions_any(low, T.DECISION_TERMS["BENIGN"])).otherwise(False)

@@ -61,6 +61,28 @@ def groundedness_by_kind(spark, sf):
     return checked(spark, sf).select(F.explode("findings").alias("f")).groupBy("f.kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("grounding_matches", f"""WITH {EXPL},
+p AS (SELECT explanation_id, nums, text, regexp_extract_all(text, '(?i)\\b(?:port(?:a|at|it|in|es)?|porti)\\s*(?:nr\\.?|numer|numri)?\\s*[:#]?\\s*(\\d{{1,5}})\\b') AS ports FROM e1),
+m AS (SELECT explanation_id, 'port_not_in_evidence' AS kind, unnest(list_filter(ports, lambda p: len(list_filter(nums, lambda n: abs(n - CAST(regexp_extract(p, '\\d+') AS DOUBLE)) <= 0.000001)) = 0)) AS matched FROM p
+UNION ALL {" UNION ALL ".join(f"SELECT explanation_id, 'protocol_not_in_evidence', regexp_extract(text, '(?i)\\b{w}\\b') FROM p WHERE regexp_matches(text, '(?i)\\b{w}\\b')" for w in T.PROTOCOL_WORDS)})
+SELECT explanation_id, kind, matched, count(*) AS n FROM m GROUP BY ALL""")
+def grounding_matches(spark, sf):
+    return checked(spark, sf).select("explanation_id", F.explode("findings").alias("f")).where(
+        F.col("f.kind").isin("port_not_in_evidence", "protocol_not_in_evidence")).groupBy("explanation_id", "f.kind", "f.matched").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("evidence_with_anomaly", f"""WITH {EXPL},
+a AS (SELECT explanation_id, list_distinct(nums || flatten(list_transform([n_chars + 0.5, n_chars / 16.0::DOUBLE, -c / 2, c / 4], lambda x: [x, round_even(x, 0), round_even(x, 1), round_even(x, 2), round_even(x, 3)]))) AS nums FROM e1)
+SELECT explanation_id, CAST(len(nums) AS INT) AS n, round(list_sum(nums), 6) AS total FROM a""")
+def evidence_with_anomaly(spark, sf):
+    doc, n = F.col("explanation_id"), F.col("evidence")[0]["value"]
+    c = (doc % 10 + 1) / 16
+    anomaly = F.array(F.struct(F.lit("Idle Mean").alias("feature"), (n + 0.5).alias("value"), (n / 16).alias("baseline"), (-c / 2).alias("contribution")))
+    nums = T.evidence_numbers(F.col("evidence"), F.col("confidence"), anomaly, c / 4)
+    return src.explanations(spark, sf).select("explanation_id", nums.alias("nums")).select(
+        "explanation_id", F.size("nums").alias("n"), F.round(F.aggregate("nums", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 @query("evidence_numbers", f"""WITH {EXPL} SELECT explanation_id, CAST(len(nums) AS INT) AS n, round(list_sum(nums), 6) AS total FROM e1""")
 def evidence_numbers(spark, sf):
     nums = T.evidence_numbers(F.col("evidence"), F.col("confidence"))

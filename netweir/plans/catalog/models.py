@@ -48,6 +48,15 @@ def train_boosted_binary(spark, sf):
     return M.score(f, model, 0.5).groupBy("label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("train_boosted_multiclass")
+def train_boosted_multiclass(spark, sf):
+    """Held-out rows scored by boosted trees, one class against the rest."""
+    rows = T.split_rows(M.assemble(src.rare_features(spark, sf), src.FEATURE_COLUMNS), T.TrainingConfig(src.FEATURE_COLUMNS))
+    model = M.train_boosted(rows.where("split = 'train'"), rounds=3, depth=3)
+    return M.score(rows.where("split = 'test'"), model).groupBy("label", "predicted_label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"))
+
+
 def benign(spark, sf):
     return src.features(spark, sf).where("label = 'BENIGN'")
 
