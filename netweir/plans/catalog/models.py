@@ -144,6 +144,6 @@ def feature_count_sweep(spark, sf):
 def leave_one_family_out(spark, sf):
     rows = src.rare_features(spark, sf)
     families = [r.family for r in E.with_family(rows, "label").where("family <> 'BENIGN'").select("family").distinct().orderBy("family").collect()]
-    options = {"forest": {"trees": 10, "depth": 5}, "boosted": {"rounds": 3, "depth": 3}, "mlp": {"rounds": 20}}
+    options = {"forest": {"trees": 10, "depth": 5}, "mlp": {"rounds": 20}}
     return T.leave_one_family_out(rows, families, [T.TrainingConfig(
         src.FEATURE_COLUMNS, learner, benign_cap=20000, learner_options=o) for learner, o in options.items()])
