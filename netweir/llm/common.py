@@ -54,8 +54,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a text column holds about max_bytes in each; one longer text stays whole."""
+def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow for rows that hold whole texts: batches are bounded to 1,000 rows and 16 MB.
+
+    Spark's default of 10,000 rows of long texts would fill a small executor; another setting of the session
+    is kept.
+    """
+    bound_batches(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+#: functions that clear what a worker keeps between tasks of one kind
+CACHES: list = []
+
+
+def clear_caches() -> None:
+    for clear in CACHES:
+        clear()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a text column holds about max_bytes in each; one longer text stays whole.
+
+    Unless `keep`, what the worker has kept of tasks of another kind goes first.
+    """
+    if not keep:
+        clear_caches()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         piece = np.cumsum(sizes.astype(np.int64)) // max_bytes
@@ -63,6 +93,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 <<
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def raw(column: pa.Array) -> list[bytes | None]:
@@ -73,7 +104,7 @@ def raw(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """XXH64 of words, kept for the next time; forgets all beyond a bounded number of entries."""
 
-    def __init__(self, entries: int = 200_000):
+    def __init__(self, entries: int = 100_000):
         super().__init__()
         self.entries = entries
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, raw, shingle_hashes, slices, staged, text_key
+from netweir.llm.common import WordHashes, map_texts, raw, shingle_hashes, slices, staged, text_key
 
 
 def shingles(text: bytes | None, n: int) -> set[bytes]:
@@ -48,7 +48,7 @@ def sketches(docs: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array([p for p, _ in found], pa.int32()),
                  pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["k1", "k2", "partition", "sketch"])
 
-    return rows.mapInArrow(run, "k1 long, k2 long, partition int, sketch array<long>")
+    return map_texts(rows, run, "k1 long, k2 long, partition int, sketch array<long>")
 
 
 def item_hashes(items: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
@@ -65,7 +65,7 @@ def item_hashes(items: DataFrame, id_col: str, text: str, words: int) -> DataFra
                                               pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())],
                                              ["item", "hash"])
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -99,7 +99,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_item, pa.int64()), pa.array(n_shared, pa.int64())],
                                              ["k1", "k2", "__item", "n_item", "n_shared"])
 
-    exact = both.mapInArrow(run, schema).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    exact = map_texts(both, run, schema).withColumn("containment", F.col("n_shared") / F.col("n_item"))
     return exact.where(F.col("containment") >= threshold).withColumnRenamed("__item", item_id)
 
 

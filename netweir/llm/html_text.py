@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import slices
+from netweir.llm.common import map_texts, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: elements whose content is not markup; it ends at their own end tag
@@ -181,4 +181,4 @@ def extract(pages: DataFrame, keys: list[str], html_col: str = "html", **how) ->
             found = [main_text(p, **how) for p in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], [*keys, "text"])
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)

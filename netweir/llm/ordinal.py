@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import raw, slices
+from netweir.llm.common import map_texts, raw, slices
 
 BITS = 20
 PUNCTUATION = b".,;:!?\"'()[]{}#*$%&|<>-_"
@@ -29,7 +29,7 @@ class WordFeatures(dict):
     """Three feature numbers of a word in one integer, kept for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         core = word.strip(PUNCTUATION).lower()
         tail = word[len(word.rstrip(PUNCTUATION)):]
@@ -77,7 +77,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, grade: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.list_(pa.int32())),
                                               pa.array([v for _, v in found], pa.list_(pa.float32()))], ["grade", "at", "value"])
 
-    return rows.mapInArrow(run, "grade double, at array<int>, value array<float>")
+    return map_texts(rows, run, "grade double, at array<int>, value array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", grade: str = "grade", max_rows: int = 10_000,
@@ -152,4 +152,4 @@ def score(docs: DataFrame, model: OrdinalModel, keys: list[str], text: str = "te
                                              [*keys, "score", "expected_grade", "tail_probability"])
 
     model = OrdinalModel(model.grades, np.zeros(0), model.thresholds)
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, mix64, raw, staged
+from netweir.llm.common import WordHashes, bound_batches, clear_caches, mix64, raw, staged
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 STATS = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
@@ -65,6 +65,7 @@ def text_counts(text: bytes | None, memo: WordHashes) -> tuple[int, ...]:
 
 
 def counts_of(texts: pa.Array) -> pa.Array:
+    clear_caches()
     memo, columns = WordHashes(), [[] for _ in COUNTS]
     for i in range(0, len(texts), 256):
         for text in raw(texts.slice(i, 256)):
@@ -75,6 +76,7 @@ def counts_of(texts: pa.Array) -> pa.Array:
 
 def with_counts(docs: DataFrame, text: str, name: str) -> DataFrame:
     """docs with a struct column of the COUNTS of each whole text."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(name, F.arrow_udf(counts_of, STATS)(F.col(text)))
 
 

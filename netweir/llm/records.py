@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netweir.llm.common import slices, text_key
+from netweir.llm.common import CACHES, map_texts, slices, text_key
 
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BBq")
 ENTRIES = 400_000
@@ -140,11 +140,14 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 def frame(doc: int | None, ids: bytes, width: int) -> bytes:
     """A record without its last byte, which the text writer adds."""
     body = BODY.pack(width, doc is None, doc or 0) + ids
@@ -165,12 +168,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
     def run(batches):
         enc = encoder(tokenizer)
         last = np.array([end_id], enc.type).tobytes()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, keep=True):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             frames = [frame(i, ids + last, enc.width) for i, ids in zip(batch.column(0).to_pylist(), enc.encode(texts))]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
 
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option(
+    map_texts(rows, run, "value binary").select(F.col("value").cast("string").alias("value")).write.option(
         "maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -207,7 +210,7 @@ def index_records(spark: SparkSession, path: str) -> DataFrame:
                         [pa.array(c, pa.string() if j == 0 else pa.int64()) for j, c in enumerate(zip(*rows))], names)
 
     files = _parts(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.mapInArrow(run, "file string, offset long, length long, id long, file_start long, n_tokens long, ids_crc32 long")
+    return map_texts(files, run, "file string, offset long, length long, id long, file_start long, n_tokens long, ids_crc32 long")
 
 
 def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
@@ -239,4 +242,4 @@ def shuffled_read(spark: SparkSession, path: str, index: DataFrame, seed: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(position, pa.int64()), pa.array(doc, pa.int64()),
                                                   pa.array(ids, pa.list_(pa.int64()))], ["position", "id", "ids"])
 
-    return files.select("content", "wanted").mapInArrow(run, "position long, id long, ids array<long>")
+    return map_texts(files.select("content", "wanted"), run, "position long, id long, ids array<long>")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, checkpointed, mix64, one_row_each, raw, shingle_hashes, slices, staged, text_key
+from netweir.llm.common import WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, shingle_hashes, slices, staged, text_key
 
 CHUNK = 1 << 16
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", words: in
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))],
                                              [*keys, "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 # --- the trie join -----------------------------------------------------------------------------------
@@ -226,7 +226,7 @@ def _walk(rows: DataFrame, budget: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(space.astype(np.int32)), pa.array(a.view(np.int64)),
                                                   pa.array(b.view(np.int64))], ["space", "a", "b"])
 
-    return groups.select("space", "left", "right").mapInArrow(run, "space int, a long, b long")
+    return map_texts(groups.select("space", "left", "right"), run, "space int, a long, b long")
 
 
 # --- components --------------------------------------------------------------------------------------
@@ -295,7 +295,7 @@ def word_set_prints(docs: DataFrame, text: str, prints: int) -> DataFrame:
                 fps.append(np.array([majority([mix64(once ^ s)]) for s in seeds], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["k1", "k2", "fps"])
 
-    return rows.mapInArrow(run, "k1 long, k2 long, fps array<long>")
+    return map_texts(rows, run, "k1 long, k2 long, fps array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -309,7 +309,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
                     for t in raw(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
 
-    return texts.select("node", "body").mapInArrow(run, schema)
+    return map_texts(texts.select("node", "body"), run, schema)
 
 
 def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 8, budget: int = 3) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import mix64, raw, shared_folder, slices, staged, text_key
+from netweir.llm.common import map_texts, mix64, raw, shared_folder, slices, staged, text_key
 
 WORD, BLOCK = 32, 16
 _SEED = np.random.Generator(np.random.PCG64(20240229))
@@ -138,7 +138,7 @@ def _run_rows(docs: DataFrame, length: int) -> DataFrame:
                 [batch.column(0).take(take), batch.column(1).take(take), *(pa.array((x - zero).astype(np.int32)) for x in (first, last, anchor)),
                  pa.array(word.view(np.int64)), pa.array(hull.view(np.int64))], ["k1", "k2", "first", "last", "anchor", "word", "hull"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, first int, last int, anchor int, word long, hull long")
+    return map_texts(docs, run, "k1 long, k2 long, first int, last int, anchor int, word long, hull long")
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _lookup(texts: DataFrame, wanted: DataFrame, schema: str, rows_of) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1.as_py())), pa.array(np.full(n, k2.as_py())),
                                                   *map(pa.array, made.values())], ["k1", "k2", *made])
 
-    return found.mapInArrow(run, schema)
+    return map_texts(found, run, schema)
 
 
 def _block_rows(hashes: Hashes, size: int, f: dict, length: int) -> dict:
@@ -268,5 +268,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                                               pa.array(columns[3], pa.string() if digest else pa.binary())],
                                              ["k1", "k2", "n_bytes", "n_removed", "n_spans", last])
 
-    by_text = rows.mapInArrow(run, f"k1 long, k2 long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+    by_text = map_texts(rows, run, f"k1 long, k2 long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
     return keyed.select("__id", "k1", "k2").join(by_text, ["k1", "k2"]).drop("k1", "k2").withColumnRenamed("__id", id_col)
