@@ -54,10 +54,14 @@ def flow_label(detection_class: Column) -> Column:
             .when(detection_class == "SUSPICIOUS", "UNKNOWN").otherwise("BENIGN"))
 
 
-def raise_alarms(flows: DataFrame, thresholds: dict | None = None) -> DataFrame:
-    """One alarm per flow predicted ATTACK or UNKNOWN; the latter is always MEDIUM."""
+def raise_alarms(flows: DataFrame, thresholds: dict | None = None, raised_at: Column | None = None) -> DataFrame:
+    """One alarm per flow predicted ATTACK or UNKNOWN; the latter is always MEDIUM.
+
+    A flow without a time takes the alarm's own, ``raised_at``.
+    """
+    at = F.col("flow_ts") if raised_at is None else F.coalesce(F.col("flow_ts"), raised_at)
     return flows.where(F.col("predicted_label").isin("ATTACK", "UNKNOWN")).select(
-        F.col("flow_id").alias("alarm_id"), "flow_id", F.col("flow_ts").alias("created_at"),
+        F.col("flow_id").alias("alarm_id"), "flow_id", at.alias("created_at"),
         F.when(F.col("predicted_label") == "UNKNOWN", "MEDIUM")
         .otherwise(severity(F.col("confidence"), thresholds)).alias("severity"),
         "source_ip", "destination_ip", "attack_type", "detection_method")

@@ -178,3 +178,39 @@ def test_key_with_a_third_of_all_rows_is_not_one_task(spark):
         F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 1000).alias("created_at"))
     got = incidents.incident_count(df, ["correlation_key"], "created_at", 120).first()["incidents"]
     assert got == 20001
+
+
+def test_thresholds_table_must_have_one_descending_row(spark):
+    flows = spark.createDataFrame([("ATTACK", 0.9)], "predicted_label string, confidence double")
+    shape = "critical_min double, high_min double, medium_min double"
+    good = spark.createDataFrame([(0.95, 0.85, 0.7)], shape)
+    assert alarms.severity_from(flows, good).first()["severity"] == "HIGH"
+    for bad in ([(0.95, 0.85, 0.7), (0.9, 0.8, 0.6)], [(0.7, 0.85, 0.95)], []):
+        with pytest.raises(Exception, match="strictly descending"):
+            alarms.severity_from(flows, spark.createDataFrame(bad, shape)).collect()
+
+
+def test_a_flow_without_a_time_takes_the_alarms(spark):
+    flows = spark.createDataFrame([(1, None, "ATTACK", 0.9, "s", "d", "PortScan", "m")], (
+        "flow_id long, flow_ts timestamp, predicted_label string, confidence double, source_ip string, destination_ip string, "
+        "attack_type string, detection_method string"))
+    raised = dt.datetime(2024, 1, 1)
+    assert alarms.raise_alarms(flows, raised_at=F.lit(raised)).first()["created_at"] == raised
+
+
+def test_cells_tell_tiny_values_apart(spark):
+    values = [-2.5, -1e-9, -3e-300, 0.0, 5e-324, 3e-12, 3.1e-12, 1e-6, 0.5, 0.501, 1.0, 7e9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    cells = [r[0] for r in df.orderBy("v").select(ordered.value_cell(F.col("v"))).collect()]
+    assert cells == sorted(cells) and len(set(cells)) == len(values)
+    tiny = spark.range(1000).select(F.lit("a").alias("g"), (F.col("id") * 1e-9).alias("v"))
+    q = ordered.exact_quantiles(tiny, ["g"], "v", [0.25, 0.5]).first()["quantiles"]
+    assert q == pytest.approx([249.75e-9, 499.5e-9], rel=1e-12)
+
+
+def test_score_intervals_and_ranking_of_a_pool(spark):
+    df = spark.createDataFrame([(True, 0.9), (True, 0.4), (False, 0.6), (False, 0.1)], "attack boolean, s double")
+    r = runs.pooled_binary(df, F.col("attack"), F.col("s") >= 0.5, "s").first()
+    assert (r.roc_auc, r.tp, r.fp) == (0.75, 1, 1) and r.recall_low < 0.5 < r.recall_high
+    one = runs.pooled_binary(df.where("attack"), F.col("attack"), F.col("s") >= 0.5, "s").first()
+    assert one.roc_auc is None and one.pr_auc is None
