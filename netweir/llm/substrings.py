@@ -198,34 +198,35 @@ def repeated_intervals(docs: DataFrame, texts: DataFrame, length: int = 200) ->
     """(k1, k2, first, last): ranges of starts, in bytes, of windows found again, for each distinct text.
 
     docs: columns k1, k2 (the text's key) and text, a row per document; texts: a row per distinct text.
-    Ranges may touch, and repeat one another's starts.
+    Ranges may touch, and repeat one another's starts. What a round joins to its rows is written first, so that
+    both sides of the join are plain shuffles and Spark splits a hash that very many rows share.
     """
     # round 1: anchors; a word found once belongs to no repeated window
     run_rows = staged(_run_rows(docs, length))
-    again = run_rows.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("word")
+    again = staged(run_rows.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("word"))
     run_rows = staged(run_rows.join(again, "word", "left_semi"))
     # round 2: whole runs
     place = F.struct("k1", "k2", "first", "last", "anchor")
     hulls = staged(run_rows.groupBy("word", "hull").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), F.min(place).alias("at")))
     whole = run_rows.join(hulls.where("n > 1").select("word", "hull"), ["word", "hull"], "left_semi").select("k1", "k2", "first", "last").distinct()
     # a word with one hull only has nothing left to tell apart
-    mixed = hulls.groupBy("word").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("word")
+    mixed = staged(hulls.groupBy("word").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("word"))
     members = hulls.join(mixed, "word").select("at.*", "word", "n")
     members = members.select("k1", "k2", F.struct("first", "last", "anchor", "word", "n").alias("w"))
     # round 3: blocks
     shape = "k1 long, k2 long, first int, last int, core long, hull long, whole boolean, n int"
     blocks = staged(_lookup(texts, members, shape, lambda h, size, f: _block_rows(h, size, f, length)))
-    cores = blocks.groupBy("core").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 AND least = 1").select("core")
+    cores = staged(blocks.groupBy("core").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 AND least = 1").select("core"))
     blocks = staged(blocks.join(cores, "core", "left_semi"))
-    alike = blocks.where("whole").groupBy("hull").agg(F.sum("n").alias("total")).where("total > 1").select("hull", F.lit(True).alias("again"))
+    alike = staged(blocks.where("whole").groupBy("hull").agg(F.sum("n").alias("total")).where("total > 1").select("hull", F.lit(True).alias("again")))
     told = staged(blocks.join(alike, "hull", "left").withColumn("again", F.col("whole") & F.coalesce("again", F.lit(False))))
     block_hits = told.where("again AND n = 1").select("k1", "k2", "first", "last")
     # round 4: single windows of the cores that still have an undecided block
-    open_cores = told.where("NOT again AND n = 1").select("core").distinct()
+    open_cores = staged(told.where("NOT again AND n = 1").select("core").distinct())
     left = told.join(open_cores, "core", "left_semi").select("k1", "k2", F.struct("first", "last", "n").alias("w"))
     windows = staged(_lookup(texts, left, "k1 long, k2 long, start int, window long, n int",
                              lambda h, size, f: _window_rows(h, size, f, length)))
-    twice = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
+    twice = staged(windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window"))
     window_hits = windows.where("n = 1").join(twice, "window", "left_semi").select("k1", "k2", F.col("start").alias("first"), F.col("start").alias("last"))
     return whole.unionByName(block_hits).unionByName(window_hits)
 
