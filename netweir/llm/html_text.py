@@ -34,14 +34,15 @@ CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 #: words of class and id names that mark what is not the article
 NOISE = set("""ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent
-cookie cookies copyright disqus footer gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notices
+cookie cookies copyright disclaimer disqus alert footer gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notices
 outbrain pager pagination popup promo promoted promotion related replies reply respond rss search share sharing sidebar signup
 skip social sponsor sponsored subscribe subscription tags taboola toolbar topbar widget widgets""".split())
 #: names with one of these belong to the article unless they also have one of STRONG
 BODY = set("article post entry content story main body text page document".split())
 STRONG = set("""ad ads advert advertisement comment comments commentlist disqus reply replies respond sidebar footer nav navbar navigation
 menu breadcrumb breadcrumbs share sharing social related promo promoted sponsor sponsored newsletter cookie cookies notice notices
-widget widgets pagination pager""".split())
+widget widgets pagination pager subscribe subscription signup consent gdpr popup modal banner advertising promotion alert disclaimer
+outbrain taboola""".split())
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
