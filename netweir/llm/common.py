@@ -140,6 +140,26 @@ def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
+MAX_BITS = 26  # of the address in a bitmap, 8 MB; where more hashes are set, more others pass
+
+
+class Bitmap:
+    """A set of hashes by their upper bits: it has all that were put in, and some others."""
+
+    def __init__(self, hashes: DataFrame):
+        n = hashes.count()
+        self.bits = min(MAX_BITS, max(12, (64 * n).bit_length()))
+        cell = F.shiftrightunsigned("hash", 64 - self.bits)
+        one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - self.bits}) & 63 as int))")
+        found = hashes.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(one).alias("set")).toArrow()
+        self.words = np.zeros(1 << self.bits - 6, np.uint64)
+        self.words[found["at"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        cell = hashes >> np.uint64(64 - self.bits)
+        return (self.words[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def one_row_each(docs: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
     """docs joined to `keyed`, one row for each of its keys.
 

@@ -6,8 +6,10 @@ distinct shingles number up to 2^p belongs to partition p, and its sketch is a o
 2^p bins, the least shingle hash of each bin. A bin holds one shingle or less on average, in every
 partition alike, so that a shared shingle is in the sketch with a probability of at least 0.63 whatever the
 document's length; an item's own sketch at that many bins is the set of its hashes. An item with s shared
-shingles is missed with a probability of 0.37^s at most: 1 in 7,000 for 9 shingles, none worth naming for
-20 or more. Candidates (a sketch value among the item's hashes) are confirmed on the shingles themselves.
+shingles is missed by the sketch with a probability of 0.37^s at most: none worth naming for the 52 or more
+that a hit on an item of over 64 shingles has. Shorter items take an exact path: every shingle hash of a
+document that is in a bitmap of their hashes goes to the join, not only those of the sketch. Candidates (a
+hash among the item's hashes) are confirmed on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, map_texts, raw, shingle_hashes, slices, staged, text_key
+from netweir.llm.common import Bitmap, WordHashes, map_texts, raw, shingle_hashes, slices, staged, text_key
 
 
 def shingles(text: bytes | None, n: int) -> set[bytes]:
@@ -35,14 +37,21 @@ def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return p, hashes[np.concatenate([[True], bins[1:] != bins[:-1]])]
 
 
-def sketches(docs: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
-    """(k1, k2, partition, sketch) of each document."""
+SHARED = 52  # an item of which a hit shares fewer shingles takes the exact path
+
+
+def sketches(docs: DataFrame, text: str = "text", words: int = 5, always=None) -> DataFrame:
+    """(k1, k2, partition, sketch) of each document; the sketch has all its hashes in the broadcast bitmap `always`, too."""
+    def full(hashes):
+        p, s = sketch(hashes)
+        return p, s if always is None else np.union1d(s, hashes[always.value.of(hashes)])
+
     rows = docs.select(*text_key(F.col(text)), F.col(text).cast("string").alias("body"))
 
     def run(batches):
         memo = WordHashes()
         for batch in slices(batches, 2):
-            found = [sketch(np.unique(shingle_hashes(memo.of(t.lower().split()), words))) if t else (0, np.zeros(0, np.uint64))
+            found = [full(np.unique(shingle_hashes(memo.of(t.lower().split()), words))) if t else (0, np.zeros(0, np.uint64))
                      for t in raw(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([p for p, _ in found], pa.int32()),
@@ -80,8 +89,10 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     """
     its = items.select(F.col(item_id).alias("__item"), F.col(item_text).alias("__text")).where("__text IS NOT NULL").distinct()
     its = its.withColumn("__no", F.xxhash64("__item", "__text"))
-    hashes = item_hashes(its, "__no", "__text", words)
-    found = sketches(docs, text, words).select("k1", "k2", F.explode("sketch").alias("hash")).join(hashes, "hash")
+    hashes = staged(item_hashes(its, "__no", "__text", words))
+    short = staged(hashes.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(threshold * F.col("n") < SHARED).select("item"))
+    always = docs.sparkSession.sparkContext.broadcast(Bitmap(hashes.join(short, "item").select("hash")))
+    found = sketches(docs, text, words, always).select("k1", "k2", F.explode("sketch").alias("hash")).join(hashes, "hash")
     pairs = staged(found.select("k1", "k2", "item").distinct())
     texts = docs.select(*text_key(F.col(text)), F.col(text).alias("body"))
     wanted = pairs.select("k1", "k2").distinct()

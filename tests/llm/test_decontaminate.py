@@ -43,3 +43,22 @@ def test_sketch_has_most_hashes_at_every_size():
         h = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
         p, s = D.sketch(h)
         assert n <= 1 << p < 2 * n + 1 and np.isin(s, h).all() and len(s) >= 0.55 * n
+
+
+def test_short_items_in_many_texts(spark):
+    """Items of one to twelve shingles inside texts of all lengths: the sketch alone has each shingle by chance."""
+    docs, items, want = [], [], set()
+    for k in range(240):
+        words = ["d%dw%d" % (k, j) for j in range(30 + 7 * (k % 60))]
+        docs.append((k, " ".join(words)))
+        items.append((k, " ".join(words[11:16 + k % 12])))
+        want.add((k, k))
+    found = D.leaking_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_bitmap_has_all_its_hashes(spark):
+    h = np.unique(np.random.default_rng(2).integers(-1 << 63, 1 << 63, 5000))
+    b = D.Bitmap(spark.createDataFrame([(int(x),) for x in h[::2]], "hash long"))
+    has = b.of(h.view(np.uint64))
+    assert has[::2].all() and has[1::2].mean() < 0.05
