@@ -15,6 +15,7 @@ members.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, shingle_hashes, slices, staged, text_key
+from netweir.llm.common import Bitmap, WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, shingle_hashes, slices, staged, text_key
 
 CHUNK = 1 << 16
 
@@ -281,21 +282,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 # --- near copies by word sets, checked by five-word shingles ----------------------------------------
 
-def word_set_prints(docs: DataFrame, text: str, prints: int) -> DataFrame:
-    """(k1, k2, fps): SimHashes of each text's set of words under several seeds."""
+SAMPLE, COMMON = 16, 1 << 16  # one text in SAMPLE is looked at for common shingles, at most COMMON are named
+
+
+def common_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles met in many texts of a sample, sorted, and how many texts have each."""
+    k1, _ = text_key(F.col(text))
+    rows = docs.select(k1, F.col(text).alias("body")).where(F.pmod("k1", F.lit(SAMPLE)) == 0).dropDuplicates(["k1"]).select("body")
+
+    def run(batches):
+        memo = WordHashes()
+        for batch in slices(batches, 0):
+            sets = [np.unique(shingle_hashes(memo.of((t or b"").lower().split()), words)) for t in raw(batch.column(0))]
+            hashes, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+    found = map_texts(rows, run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n >= 4")
+    found = found.orderBy(F.desc("n"), "hash").limit(COMMON).collect()
+    hashes = np.array([r.hash for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r.n for r in found], np.int64)[order]
+
+
+def prefix(once: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingle hashes of a text, one of which any text of the similarity has among its own first.
+
+    once: distinct, sorted. All texts order their shingles alike: those not known as common by their hash,
+    then the common ones, rarest first. A partner shares at least ceil(similarity * n) of n shingles, so it
+    can't do without all of the first n - ceil(similarity * n) + 1. Texts without a shingle share the hash 0.
+    """
+    if not len(once):
+        return np.zeros(1, np.uint64)
+    rank, (hashes, n) = np.zeros(len(once), np.int64), common
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, once), len(hashes) - 1)
+        rank = np.where(hashes[at] == once, n[at], 0)
+    size = len(once) - math.ceil(similarity * len(once) - 1e-6) + 1
+    return once[np.argsort(rank, kind="stable")[:size]]
+
+
+def word_set_prints(docs: DataFrame, text: str, prints: int, words: int, similarity: float) -> DataFrame:
+    """(k1, k2, fps, n, prefix): SimHashes of each text's set of words under several seeds, the number of
+    its distinct shingles, and the first of them, see prefix()."""
     rows = docs.select(*text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     seeds = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1) for i in range(prints)]
+    common = common_shingles(docs, text, words)
 
     def run(batches):
         memo = WordHashes()
         for batch in slices(batches, 2):
-            fps = []
+            fps, sizes, firsts = [], [], []
             for body in raw(batch.column(2)):
-                once = np.unique(memo.of(body.lower().split()))
+                found = memo.of(body.lower().split())
+                once, own = np.unique(found), np.unique(shingle_hashes(found, words))
                 fps.append(np.array([majority([mix64(once ^ s)]) for s in seeds], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["k1", "k2", "fps"])
+                sizes.append(len(own))
+                firsts.append(prefix(own, common, similarity).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int32()),
+                                              pa.array(firsts, pa.list_(pa.int64()))], ["k1", "k2", "fps", "n", "prefix"])
 
-    return map_texts(rows, run, "k1 long, k2 long, fps array<long>")
+    return map_texts(rows, run, "k1 long, k2 long, fps array<long>, n int, prefix array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -312,17 +358,94 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return map_texts(texts.select("node", "body"), run, schema)
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts, given as structs of their keys, whose word shingles have the similarity."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().select("node.*")
+    texts = docs.select(*text_key(F.col(text)), F.col(text).alias("body")).join(nodes, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    sets = checkpointed(shingle_sets(texts.select(F.struct("k1", "k2").alias("node"), "body"), words))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
+        sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return checkpointed(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (node, ...) with `comp`, a hash of the root of the node's component."""
+    return rows.join(roots, "node", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "node"))).drop("root")
+
+
+def shared_points(texts: DataFrame) -> DataFrame:
+    """(node, n, place, hash) for each prefix shingle that another text's prefix has as well, and few others.
+
+    texts: k1, k2, n, prefix. The shingles of one text only, most of all, are left out by a bitmap of those
+    of several, before the texts' keys are attached.
+    """
+    several = staged(texts.select(F.explode("prefix").alias("hash")).groupBy("hash").count().where("count > 1").select("hash"))
+    shared = texts.sparkSession.sparkContext.broadcast(Bitmap(several))
+
+    def run(batches):
+        for batch in batches:
+            firsts, starts = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
+            at = np.repeat(np.arange(len(starts)), starts)
+            place = np.arange(len(firsts)) - np.repeat(np.cumsum(starts) - starts, starts)
+            kept = np.flatnonzero(shared.value.of(firsts.view(np.uint64)))
+            keys = batch.select(["k1", "k2", "n"]).take(pa.array(at[kept]))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place[kept].astype(np.int32)), pa.array(firsts[kept])],
+                                             ["k1", "k2", "n", "place", "hash"])
+
+    found = map_texts(texts.select("k1", "k2", "n", "prefix"), run, "k1 long, k2 long, n int, place int, hash long")
+    return found.select(F.struct("k1", "k2").alias("node"), "n", "place", "hash")
+
+
+def _apart(points: DataFrame) -> DataFrame:
+    """The points (hash, comp, ...) of hashes that more than one component has."""
+    several = points.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return points.join(staged(several.select("hash")), "hash")
+
+
+def star_pairs(points: DataFrame) -> DataFrame:
+    """Each text with the least text of every shingle in its prefix, where their components differ."""
+    least = staged(points.groupBy("hash").agg(F.min(F.struct("node", "comp")).alias("x")))
+    return points.join(least, "hash").where("comp <> x.comp").select(*_pair("node", "x.node")).distinct()
+
+
+def open_pairs(points: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of texts in different components that can have the similarity.
+
+    They share a shingle of both prefixes, their sizes allow it, and so do the shingles from the shared one
+    on, which holds for the first that they share. The texts of a shingle's largest component are not
+    paired with each other: one side of each pair is from another component.
+    """
+    sizes = staged(points.groupBy("hash", "comp").agg(F.count(F.lit(1)).alias("texts")))
+    points = points.join(staged(sizes.groupBy("hash").agg(F.max_by("comp", F.struct("texts", "comp")).alias("most"))), "hash")
+    few = points.where("comp <> most").select("hash", *[F.col(c).alias(f"__{c}") for c in ("comp", "node", "n", "place")])
+    rest = F.least(F.col("n") - F.col("place"), F.col("__n") - F.col("__place"))
+    near = (F.least("n", "__n") >= similarity * F.greatest("n", "__n") - 1e-6) & (
+        rest >= similarity / (1 + similarity) * (F.col("n") + F.col("__n")) - 1e-6)
+    found = few.join(points.drop("most"), "hash").where((F.col("comp") != F.col("__comp")) & near)
+    return found.select(*_pair("node", "__node")).distinct()
+
+
 def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 8, budget: int = 3) -> DataFrame:
     """Links (a, b) between texts, given as structs of their keys, whose word shingles have at least the similarity.
 
-    A SimHash of five-word shingles changes in ten bits where the similarity is 0.8, too many for a trie; that
-    of the set of words changes in four or five. So each text has `prints` SimHashes of its words under
-    different seeds, each in a trie of its own, and a pair is a candidate if one of them is within the
-    budget. Texts of one fingerprint meet their least text, and tries give spanning forests, nearest first,
-    so that a large group has as many candidates as members. Candidates are confirmed by the Jaccard
-    similarity of their distinct shingles.
+    The links have the connected components of all such pairs. Most come from tries. A SimHash of five-word
+    shingles changes in ten bits where the similarity is 0.8, too many for a trie; that of the set of words
+    changes in four or five. So each text has `prints` SimHashes of its words under different seeds, each in
+    a trie of its own, and a pair is a candidate if one of them is within the budget. Texts of one
+    fingerprint meet their least text, and tries give spanning forests, nearest first, so that a large group
+    has as many candidates as members. Candidates are confirmed by the Jaccard similarity of their distinct
+    shingles.
+
+    What the tries leave comes from a prefix-filter join, which misses no pair: texts of different components
+    that share one of their rarest shingles, first each with the least text of the shingle, then, in the
+    components that this leaves, all pairs.
     """
-    printed = checkpointed(word_set_prints(docs, text, prints).dropDuplicates(["k1", "k2"]))
+    printed = checkpointed(word_set_prints(docs, text, prints, words, similarity).dropDuplicates(["k1", "k2"]))
     points = printed.select(F.struct("k1", "k2").alias("node"), F.posexplode("fps").alias("space", "fp"))
     classes = checkpointed(points.groupBy("space", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
     links = trie_links(classes.select("space", "fp"), budget)
@@ -330,14 +453,13 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarit
     across = links.join(ends.withColumnsRenamed({"fp": "a", "rep": "x"}), ["space", "a"]).join(
         ends.withColumnsRenamed({"fp": "b", "rep": "y"}), ["space", "b"]).select("x", "y")
     inside = points.join(classes.where("n > 1").drop("n"), ["space", "fp"]).select(F.col("node").alias("x"), F.col("rep").alias("y"))
-    pairs = checkpointed(across.unionByName(inside).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().select("node.*")
-    texts = docs.select(*text_key(F.col(text)), F.col(text).alias("body")).join(nodes, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    sets = checkpointed(shingle_sets(texts.select(F.struct("k1", "k2").alias("node"), "body"), words))
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
-        sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    pairs = checkpointed(across.unionByName(inside).where("x <> y").select(*_pair("x", "y")).distinct())
+    links = confirmed(docs, pairs, text, words, similarity)
+
+    left = staged(_apart(staged(_labelled(shared_points(printed), components(links)))))
+    links = links.unionByName(confirmed(docs, checkpointed(star_pairs(left)), text, words, similarity))
+    left = staged(_apart(_labelled(left.drop("comp"), components(links))))
+    return links.unionByName(confirmed(docs, checkpointed(open_pairs(left, similarity)), text, words, similarity))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -127,3 +127,20 @@ def test_recall_of_similar_texts(spark):
     root = roots(len(docs), [(i, j) for i in range(len(docs)) for j in range(max(0, i - 3), i) if jaccard(docs[i][1], docs[j][1]) >= 0.8])
     got = S.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).count()
     assert len(set(root)) <= got <= len(set(root)) * 1.05
+
+
+def new_words(r, n):
+    return ["new%d" % r.randrange(10 ** 9) for _ in range(n)]
+
+
+def test_appended_blocks_against_brute_force(spark):
+    """Pairs that differ by a block of new words, down to the similarity itself."""
+    import random
+    r, docs = random.Random(4), []
+    for size, tail in [(200, 48), (200, 35), (200, 20), (1000, 240), (22, 4), (40, 4), (40, 9), (22, 1), (60, 13), (5, 0), (4, 0)] * 6:
+        body = new_words(r, size)
+        docs += [body, body + new_words(r, tail), new_words(r, tail) + body, body[:size - 1] + new_words(r, 1)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i - i % 4, i) if jaccard(rows[i][1], rows[j][1]) >= 0.8])
+    got = S.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in got.collect()} == {min(i for i in range(len(rows)) if root[i] == g) for g in set(root)}
