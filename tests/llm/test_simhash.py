@@ -144,3 +144,16 @@ def test_appended_blocks_against_brute_force(spark):
     root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i - i % 4, i) if jaccard(rows[i][1], rows[j][1]) >= 0.8])
     got = S.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {x.doc_id for x in got.collect()} == {min(i for i in range(len(rows)) if root[i] == g) for g in set(root)}
+
+
+def test_similar_texts_behind_unlike_representatives(spark):
+    """Orders of one set of words have equal fingerprints; the two that are similar are seldom the least of them."""
+    import random
+    r, docs = random.Random(6), []
+    for group in range(4):
+        body = new_words(r, 120)
+        for _ in range(30):
+            docs.append(r.sample(body, len(body)))
+        docs += [body, body[1:] + body[:1]]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    assert {x.doc_id for x in S.one_of_each_group(frame).collect()} == {i for i in range(len(docs)) if i % 32 != 31}
