@@ -101,6 +101,20 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts of a column as one run of bytes, and where each begins, with the end of all; null is empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if offsets else np.zeros(1, np.int64)
+    found = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return found[starts[0]:starts[-1]], starts - starts[0]
+
+
+def strings_of(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The texts of one run of UTF-8 bytes as a string column."""
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data))
+
+
 class WordHashes(dict):
     """XXH64 of words, kept for the next time; forgets all beyond a bounded number of entries."""
 

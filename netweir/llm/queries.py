@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netweir.llm import chat, decontaminate, html_text, mixing, ordinal, quality_rules, records, simhash, substrings, urls
+from netweir.llm import chat, decontaminate, html_text, infill, mixing, ordinal, quality_rules, records, simhash, substrings, urls
 from netweir.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable] = {}
@@ -148,6 +148,25 @@ def op10_url_rules(spark, sf):
     return urls.judge_urls(table(spark, sf, "pages"), rules, ["page_id"])
 
 
+@query(r"""
+WITH d AS (SELECT coalesce(text, '') AS t, doc_id, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    ('0x' || substr(hex, 1, 8))::BIGINT AS h1, ('0x' || substr(hex, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(hex, 17, 8))::BIGINT AS h3, ('0x' || substr(hex, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b FROM u),
+p AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+        WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, coalesce(array_to_string(w[1:a], ''), '') AS prefix,
+    coalesce(array_to_string(w[a + 1:b], ''), '') AS middle, coalesce(array_to_string(w[b + 1:n], ''), '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""")
+def op11_fill_in_middle(spark, sf):
+    rows = infill.restore(infill.fill_in_middle(table(spark, sf, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
