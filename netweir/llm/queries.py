@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netweir.llm import chat, decontaminate, html_text, infill, mixing, ordinal, quality_rules, records, simhash, substrings, urls
+from netweir.llm import chat, decontaminate, html_text, infill, mixing, ordinal, quality_rules, records, simhash, spelling, substrings, urls
 from netweir.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable] = {}
@@ -167,6 +167,11 @@ def op11_fill_in_middle(spark, sf):
                        F.sha2("restored", 256).alias("restored_sha256"))
 
 
+@query()
+def op12_spelling_variants(spark, sf):
+    return spelling.spelling_groups(table(spark, sf, "documents"), drop=31)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
