@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netweir.llm import chat, decontaminate, html_text, infill, mixing, ordinal, quality_rules, records, simhash, spelling, substrings, urls
+from netweir.llm import chat, decontaminate, html_text, infill, mixing, ngram_filter, ordinal, quality_rules, records, simhash, spelling, substrings, urls
 from netweir.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable] = {}
@@ -172,6 +172,14 @@ def op12_spelling_variants(spark, sf):
     return spelling.spelling_groups(table(spark, sf, "documents"), drop=31)
 
 
+@query()
+def op13_ngram_filter_scores(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = ngram_filter.learn(docs.where(ngram_filter.training("doc_id")))
+    return ngram_filter.score(docs, model).withColumns({
+        "held_out": ~ngram_filter.training("doc_id"), "train_tokens": F.lit(model.tokens).cast("long")})
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
