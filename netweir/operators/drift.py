@@ -247,6 +247,11 @@ def nearest_calibration(thresholds: DataFrame, size: Column) -> DataFrame:
     return thresholds.groupBy().agg(F.min_by("window_size", F.struct(F.abs(n - size), n)).alias("window_size"))
 
 
+def nearest_limits(thresholds: DataFrame) -> DataFrame:
+    """(feature, _limits): the calibrated window sizes of a feature with their p95, a few for each."""
+    return thresholds.groupBy("feature").agg(F.collect_list(F.struct("window_size", "p95")).alias("_limits"))
+
+
 def drift_report(validated: DataFrame, reference: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Per feature: how often it was missing, bad, repaired or out of range, and its drift.
 
@@ -273,8 +278,7 @@ def drift_report(validated: DataFrame, reference: DataFrame, thresholds: DataFra
     q = exact_quantiles(sample, ["feature"], "value", [0.25, 0.5, 0.75]).select("feature", *[
         F.element_at("quantiles", i + 1).alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
     ks = ks_vs_reference(sample, reference).select("feature", "ks_statistic")
-    limits = F.broadcast(thresholds.groupBy("feature").agg(
-        F.collect_list(F.struct("window_size", "p95")).alias("_limits")))
+    limits = F.broadcast(nearest_limits(thresholds))
     table = rates.join(q, "feature", "left").join(ks, "feature", "left").join(limits, "feature", "left")
     nearest = F.array_min(F.transform("_limits", lambda t: F.struct(
         F.abs(t["window_size"] - F.col("accepted")).alias("d"), t["window_size"].alias("window_size"), t["p95"].alias("p95"))))
@@ -293,20 +297,27 @@ def drift_status(report: DataFrame, totals: DataFrame, null_fraction: float) ->
         count_if(F.coalesce("drifted", F.lit(False))).alias("drifted_features"),
         ratio_or_zero(count_if(F.coalesce("drifted", F.lit(False))), F.count(F.lit(1))).alias("drifted_fraction"))
     row = facts.join(totals).withColumn("invalid_rate", ratio_or_zero(F.col("rejected"), F.col("observed")))
-    bad, drifted = F.col("invalid_rate"), F.col("drifted_fraction")
-    critical = ((bad > contract.INVALID_RATE_CRITICAL) | (F.col("badly_missing") > 0)
-                | (drifted > contract.DRIFTED_FRACTION_CRITICAL))
+    status, reasons = status_and_reasons(F.col("invalid_rate"), F.col("badly_missing"), F.col("drifted_fraction"), F.lit(null_fraction))
+    return row.select(status.alias("status"), reasons.alias("reasons"), "observed", "rejected", "invalid_rate", "badly_missing",
+                      "drifted_features", "drifted_fraction")
+
+
+def status_and_reasons(bad: Column, badly_missing: Column, drifted: Column, null_fraction: Column) -> tuple[Column, Column]:
+    """Status and reasons from the invalid rate, the number of badly missing features, the drifted share and its normal limit.
+
+    Without a calibration (a null limit) the drifted share decides nothing.
+    """
+    calibrated = null_fraction.isNotNull()
+    above = calibrated & (drifted > contract.DRIFTED_FRACTION_CRITICAL)
+    critical = (bad > contract.INVALID_RATE_CRITICAL) | (badly_missing > 0) | above
     warning = (bad > contract.INVALID_RATE_WARNING) | (drifted > null_fraction)
     reasons = F.array_compact(F.array(
         F.when(bad > contract.INVALID_RATE_CRITICAL, "invalid rate critical")
         .when(bad > contract.INVALID_RATE_WARNING, "invalid rate raised"),
-        F.when(F.col("badly_missing") > 0, "features missing"),
-        F.when(drifted > contract.DRIFTED_FRACTION_CRITICAL, "drifted share above policy")
-        .when(drifted > null_fraction, "drifted share above calibration")))
-    return row.select(
-        F.when(critical, "CRITICAL").when(warning, "WARNING").otherwise("NORMAL").alias("status"),
-        F.when(F.size(reasons) == 0, "within calibrated no-drift bounds").otherwise(F.array_join(reasons, "; ")).alias("reasons"),
-        "observed", "rejected", "invalid_rate", "badly_missing", "drifted_features", "drifted_fraction")
+        F.when(badly_missing > 0, "features missing"),
+        F.when(above, "drifted share above policy").when(drifted > null_fraction, "drifted share above calibration")))
+    return (F.when(critical, "CRITICAL").when(warning, "WARNING").otherwise("NORMAL"),
+            F.when(F.size(reasons) == 0, "within calibrated no-drift bounds").otherwise(F.array_join(reasons, "; ")))
 
 
 def calibration_draws(df: DataFrame, row_id: str, windows: list[int], draws: int, seed: int) -> DataFrame:

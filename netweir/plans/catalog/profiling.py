@@ -372,10 +372,10 @@ def feature_reference(spark, sf):
 
 @query("feature_reference_quantiles", f"""WITH {REFERENCE},
 q AS (SELECT feature, unnest(quantiles) AS value, unnest(range(101)) AS percent FROM reference)
-SELECT feature, CAST(percent AS INT) AS percent, round(value, 6) AS value FROM q""")
+SELECT feature, CAST(percent AS INT) AS percent, round(value, 9) AS value FROM q""")
 def feature_reference_quantiles(spark, sf):
     reference = P.feature_reference(src.dirty_features(spark, sf), DIRTY_FEATURES)
-    return reference.select("feature", F.posexplode("quantiles").alias("percent", "value")).withColumn("value", F.round("value", 6))
+    return reference.select("feature", F.posexplode("quantiles").alias("percent", "value")).withColumn("value", F.round("value", 9))
 
 
 @query("constant_and_near_zero", f"""WITH {REFERENCE}

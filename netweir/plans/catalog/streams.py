@@ -11,9 +11,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from netweir.functions import contract
+from netweir.operators import profile as P
 from netweir.operators import validate as V
 from netweir.operators.alarms import name_of
 from netweir.plans.catalog import ctes
+from netweir.plans.catalog.alarms import rounded
+from netweir.plans.catalog.drift import GRID
 from netweir.plans.catalog.packets import PACKETS
 from netweir.plans.catalog.profiling import VALIDATED
 from netweir.plans.catalog.registry import query
@@ -90,15 +93,75 @@ def stream_validated(spark, sf):
     return spark.read.parquet(f"{path}/accepted").unionByName(spark.read.parquet(f"{path}/dead")).select("row_id", "valid")
 
 
-@query("stream_drift_windows", """WITH b AS (SELECT event_id, value FROM events WHERE value >= 5 ORDER BY ts DESC LIMIT 1000)
-SELECT (SELECT count(*) FROM events) AS observed_flows, count(*) AS sample_size, round(avg(value), 6) AS mean FROM b""")
-def stream_drift_windows(spark, sf):
+# -- drift: a report at every 500th flow of a model version, here of each line status --------------------
+
+VALUES = """[dur, fwd, bwd, fb, bb, fmax, fmin, fmean, bmax, bmin, bmean, CASE WHEN text_sd THEN 1000 ELSE sd END, (fb + bb) / nullif(dur / 1000000, 0),
+  (fwd + bwd) / nullif(dur / 1000000, 0), floor(bwd / fwd), greatest(fmax, bmax), CASE WHEN text_sd THEN 1000000 ELSE sd * sd END, 0, 0, CASE status WHEN 'F' THEN 12.5 ELSE 1000 END]"""
+LIMITS = [(200, 0.2, 0.1), (500, 0.06, 0.15), (1000, 0.05, 0.12)]
+
+
+def names_sql(names):
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+MARKS = f"""{VALIDATED},
+ref AS (SELECT feature, quantile_cont(v, {GRID}) AS q FROM (SELECT unnest({names_sql(src.RAW_FEATURES)}) AS feature,
+    unnest([dur, fwd, bwd, fb, bb, fmax, fmin, fmean, bmax, bmin, bmean, sd]) AS v FROM vec WHERE flag = 'N') GROUP BY feature),
+o AS (SELECT *, len(missing) = 0 AND len(invalid) = 0 AS valid, row_number() OVER (PARTITION BY status ORDER BY row_id) AS no FROM judged),
+a AS (SELECT *, sum(valid::INT) OVER (PARTITION BY status ORDER BY no ROWS UNBOUNDED PRECEDING) AS acc FROM o),
+f AS (SELECT status, no, acc, valid, missing, derived, list_transform(invalid, lambda x: split_part(x, ': ', 1)) AS bad,
+    unnest({names_sql(src.VALIDATED_FEATURES)}) AS feature, unnest({VALUES}) AS v FROM a),
+seen AS (SELECT status, no, feature, sum(list_contains(missing, feature)::INT) OVER w / no AS missing_rate, sum(list_contains(bad, feature)::INT) OVER w / no AS invalid_rate,
+    sum(list_contains(derived, feature)::INT) OVER w / no AS derived_rate, sum((feature IN ('Bwd PSH Flags', 'Fwd Avg Bulk Rate'))::INT) OVER w / no AS zero_filled_rate,
+    sum((valid AND q IS NOT NULL AND q[2] <> q[100] AND (v < q[2] OR v > q[100]))::INT) OVER w / no AS out_of_range_rate
+  FROM f LEFT JOIN ref USING (feature) WINDOW w AS (PARTITION BY status, feature ORDER BY no ROWS UNBOUNDED PRECEDING)),
+marks AS (SELECT status, no, acc FROM a WHERE no % 500 = 0),
+win AS (SELECT m.status, m.no, f.feature, f.v, row_number() OVER w AS i, count(*) OVER (PARTITION BY m.status, m.no, f.feature) AS n
+  FROM marks m JOIN f ON f.status = m.status AND f.valid AND f.acc <= m.acc AND f.acc > m.acc - 1000 WINDOW w AS (PARTITION BY m.status, m.no, f.feature ORDER BY f.v)),
+k AS (SELECT w.*, q, len(list_filter(q, lambda x: x <= v)) AS b FROM win w LEFT JOIN ref USING (feature)),
+kv AS (SELECT *, CASE WHEN b = 0 THEN 0.0 WHEN b >= 101 THEN 1.0 ELSE (b - 1) / 100.0 + (v - q[b]) * (0.01 / (q[b + 1] - q[b])) END AS cdf FROM k),
+st AS (SELECT status, no, feature, any_value(n) AS n, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS std, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75,
+    CASE WHEN any_value(q) IS NULL THEN NULL WHEN any_value(q)[101] <= any_value(q)[1] THEN max((v <> q[1])::INT)
+      ELSE max(greatest(i / n::DOUBLE - cdf, cdf - (i - 1) / n::DOUBLE)) END AS ks FROM kv GROUP BY ALL),
+lim(size, p95, share) AS (VALUES {", ".join(f"({w}, {p}::DOUBLE, {f}::DOUBLE)" for w, p, f in LIMITS)}),
+near AS (SELECT status, no, least(acc, 1000) AS sample_size, arg_min(size, abs(size - least(acc, 1000)) * 10000 + size) AS size FROM marks, lim GROUP BY ALL),
+rep AS (SELECT s.*, mean, std, p25, p50, p75, ks, CASE WHEN ks IS NOT NULL THEN p95 END AS ks_threshold, ks > p95 AS drifted
+  FROM seen s JOIN near USING (status, no) JOIN lim USING (size) LEFT JOIN st USING (status, no, feature))"""
+STATISTICS = ["missing_rate", "invalid_rate", "derived_rate", "zero_filled_rate", "out_of_range_rate", "mean", "std", "p25", "p50", "p75"]
+
+
+def drift_tables(spark, sf):
+    """The stream over the whole line table, two versions; the folder that holds its reports."""
     path = place(spark)
-    events = src.event_stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value",
-                                                (F.col("value") >= 5).alias("valid"))
+    reference = P.feature_reference(src.flow_vectors(spark, sf).where("flag = 'N'"), src.RAW_FEATURES)
+    limits = spark.createDataFrame(LIMITS, "window_size int, p95 double, fraction_p99 double").withColumn(
+        "feature", F.explode(F.array(*[F.lit(f) for f in src.VALIDATED_FEATURES])))
+    raw = src.as_raw_features(src.as_vectors(src.line_stream(spark, sf))).withColumnRenamed("status", "model_version")
+    validated = V.validate(raw, src.VALIDATED_FEATURES, reference=reference)
+    D.drift_stream(validated, src.VALIDATED_FEATURES, reference, limits, ["row_id"], path, f"{path}/checkpoint").awaitTermination()
+    return path
 
-    def report(window, observed):
-        return window.agg(F.count(F.lit(1)).alias("sample_size"), F.round(F.avg("value"), 6).alias("mean"))
 
-    D.drift_stream(events, report, "ts", f"{path}/state", f"{path}/reports", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/reports").select("observed_flows", "sample_size", "mean")
+@query("stream_drift_windows", f"""WITH {MARKS}
+SELECT status AS model_version, no AS observed_flows, feature, {', '.join(f'round({c}, 6) AS {c}' for c in STATISTICS)}, round(ks, 6) AS ks_statistic, ks_threshold, drifted FROM rep""")
+def stream_drift_windows(spark, sf):
+    return rounded(spark.read.parquet(f"{drift_tables(spark, sf)}/features").drop("batch"))
+
+
+REASON_COUNTS = ", ".join(f"sum(len(list_filter(invalid, lambda x: x LIKE '%: {r}')))::BIGINT AS reason_{r}" for r in D.REASONS)
+
+
+@query("stream_drift_reports", f"""WITH {MARKS},
+why AS (SELECT m.status, m.no, m.acc, {REASON_COUNTS}, sum(CASE WHEN a.valid THEN 0 ELSE len(missing) END)::BIGINT AS reason_missing
+  FROM marks m JOIN a ON a.status = m.status AND a.no <= m.no GROUP BY ALL),
+facts AS (SELECT status, no, count(*) FILTER (missing_rate > 0.01) AS badly_missing, count(*) FILTER (drifted) AS drifted_feature_count,
+    coalesce(array_to_string(list_sort(list(feature) FILTER (drifted)), ','), '') AS drifted_features, count(*) FILTER (drifted) / 20.0::DOUBLE AS drifted_fraction FROM rep GROUP BY ALL),
+j AS (SELECT *, (no - acc) / no AS bad FROM why JOIN facts USING (status, no) JOIN near USING (status, no) JOIN lim USING (size))
+SELECT status AS model_version, no AS observed_flows, acc::BIGINT AS accepted_flows, (no - acc)::BIGINT AS rejected_flows, sample_size::BIGINT AS sample_size, round(bad, 6) AS invalid_rate,
+  {', '.join(f'reason_{r}' for r in (*D.REASONS, 'missing'))}, badly_missing, drifted_feature_count, drifted_features, drifted_fraction, size AS calibration_window,
+  CASE WHEN bad > 0.05 OR badly_missing > 0 OR drifted_fraction > 0.2 THEN 'CRITICAL' WHEN bad > 0.01 OR drifted_fraction > share THEN 'WARNING' ELSE 'NORMAL' END AS status,
+  coalesce(nullif(concat_ws('; ', CASE WHEN bad > 0.05 THEN 'invalid rate critical' WHEN bad > 0.01 THEN 'invalid rate raised' END, CASE WHEN badly_missing > 0 THEN 'features missing' END,
+    CASE WHEN drifted_fraction > 0.2 THEN 'drifted share above policy' WHEN drifted_fraction > share THEN 'drifted share above calibration' END), ''), 'within calibrated no-drift bounds') AS reasons FROM j""")
+def stream_drift_reports(spark, sf):
+    reports = spark.read.parquet(f"{drift_tables(spark, sf)}/reports").drop("batch")
+    return rounded(reports.withColumn("drifted_features", F.array_join("drifted_features", ",")))

@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem table as a stream of closed files."""
+    from netweir.streaming.flows import flow_stream
+    return flow_stream(spark, sf_dir, table(spark, sf_dir, "lineitem").schema, "parquet", file_glob="lineitem.parquet")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of closed files."""
     from netweir.streaming.flows import flow_stream
@@ -173,10 +179,14 @@ VALIDATED_FEATURES = RAW_FEATURES + [
 
 
 def flow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric flow statistics with contract names."""
+    return as_vectors(spread(table(spark, sf_dir, "lineitem")))
+
+
+def as_vectors(lines: DataFrame) -> DataFrame:
+    """Numeric flow statistics with contract names, of a table or a stream."""
     q, price, line = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_linenumber")
     fwd, bwd = q, F.col("l_linenumber").cast("double") - 1
-    return spread(table(spark, sf_dir, "lineitem")).select(
+    return lines.select(
         _row_id().alias("row_id"), F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"),
         F.when((F.col("l_tax") == 0) & (q > 40), 0.0).otherwise(F.floor(price * 10).cast("double"))
@@ -192,8 +202,11 @@ def flow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_raw_features(flow_vectors(spark, sf_dir)).drop("status")
+
+
+def as_raw_features(vectors: DataFrame) -> DataFrame:
     """Feature maps of texts as they arrive, with gaps, bad texts and extra names."""
-    vectors = flow_vectors(spark, sf_dir)
     q = F.col("Total Fwd Packets")
     plain = [F.struct(F.lit(name).alias("name"), F.col(f"`{name}`").cast("string").alias("raw"))
              for name in RAW_FEATURES if name not in ("Packet Length Std", "Bwd Packet Length Max")]
@@ -209,7 +222,7 @@ def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.filter(F.array(*plain, std, longest, size, extra),
                        lambda e: ~((q == 9) & (e["name"] == "Fwd Packet Length Min"))
                        & ~((q == 10) & (e["name"] == "unused_column")))
-    return vectors.select("row_id", "flag", F.map_from_entries(entries).alias("features"))
+    return vectors.select("row_id", "flag", "status", F.map_from_entries(entries).alias("features"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
