@@ -14,6 +14,7 @@ from netweir.functions import contract
 from netweir.operators import profile as P
 from netweir.operators import validate as V
 from netweir.operators.alarms import name_of
+from netweir.operators.incidents import correlation_key
 from netweir.plans.catalog import ctes
 from netweir.plans.catalog.alarms import rounded
 from netweir.plans.catalog.drift import GRID
@@ -59,15 +60,44 @@ def stream_alarms_per_hour(spark, sf):
 
 @query("stream_incidents", f"""WITH {ctes.incidents(259200)} SELECT correlation_key, incident_no, first_us, last_us, alarm_count AS n, severity, CAST(destination_count AS INT) AS destinations FROM incidents""")
 def stream_incidents(spark, sf):
+    return incidents_of(spark, S.alarm_stream(src.as_flows(src.event_stream(spark, sf))), None).drop("status")
+
+
+def incidents_of(spark, alarms, status_events):
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        updates = C.correlate_stream(S.alarm_stream(src.as_flows(src.event_stream(spark, sf))), 259200)
+        updates = C.correlate_stream(alarms, "30 days", 2 * 259200, 259200, status_events)
         found = C.latest_incidents(drain(updates, place(spark), "update"))
     finally:
         spark.conf.set(PROVIDER, before)
-    return found.select("correlation_key", "incident_no", "first_us", "last_us", "n",
-                        name_of(F.col("worst"), contract.SEVERITIES).alias("severity"), F.size("destinations").alias("destinations"))
+    return found.select("correlation_key", "incident_no", "first_us", "last_us", "n", name_of(F.col("worst"), contract.SEVERITIES).alias("severity"),
+                        F.size("destinations").alias("destinations"), "status")
+
+
+# a microsecond after every 31st alarm its incident is acknowledged, after every 97th it is closed
+@query("stream_incidents_with_status", f"""WITH {ctes.ALARMS},
+r AS (SELECT correlation_key, created_us AS us, 1 AS turn, alarm_id, NULL AS status FROM alarms
+  UNION ALL SELECT correlation_key, created_us + 1, 0, NULL, CASE WHEN alarm_id % 97 = 0 THEN 'RESOLVED' ELSE 'ACKNOWLEDGED' END FROM alarms WHERE alarm_id % 97 = 0 OR alarm_id % 31 = 0),
+c AS (SELECT *, count(*) FILTER (status = 'RESOLVED') OVER w AS closed, max(us) FILTER (turn = 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM r WINDOW w AS (PARTITION BY correlation_key ORDER BY us, turn, alarm_id)),
+g AS (SELECT *, closed - lag(closed) OVER (PARTITION BY correlation_key ORDER BY us, alarm_id) AS closings FROM c WHERE turn = 1),
+s AS (SELECT correlation_key, us, alarm_id, sum((before IS NULL OR us - before > 259200000000 OR closings > 0)::INT) OVER (
+    PARTITION BY correlation_key ORDER BY us, alarm_id ROWS UNBOUNDED PRECEDING)::BIGINT AS incident_no FROM g),
+e AS (SELECT r.correlation_key, r.us, r.status, s.incident_no FROM r ASOF JOIN s ON r.correlation_key = s.correlation_key AND r.us > s.us WHERE turn = 0),
+last AS (SELECT correlation_key, incident_no, arg_max(status, us) AS status FROM e GROUP BY 1, 2)
+SELECT correlation_key, incident_no, min(us) AS first_us, max(us) AS last_us, count(*) AS n, {ctes.severity_name(f"max({ctes.severity_rank('severity')})")} AS severity,
+  count(DISTINCT destination_ip)::INT AS destinations, coalesce(any_value(last.status), 'NEW') AS status
+FROM s JOIN alarms USING (correlation_key, alarm_id) LEFT JOIN last USING (correlation_key, incident_no) GROUP BY 1, 2""")
+def stream_incidents_with_status(spark, sf):
+    def alarms():
+        return S.alarm_stream(src.as_flows(src.event_stream(spark, sf)))
+
+    marked = alarms().where("alarm_id % 97 = 0 OR alarm_id % 31 = 0").select(
+        correlation_key(F.col("source_ip"), F.col("attack_type")).alias("correlation_key"), F.lit(None).cast("long").alias("incident_no"),
+        F.when(F.col("alarm_id") % 97 == 0, "RESOLVED").otherwise("ACKNOWLEDGED").alias("status"),
+        F.timestamp_micros(F.unix_micros("created_at") + 1).alias("changed_at"))
+    return incidents_of(spark, alarms(), marked)
 
 
 @query("stream_feedback", f"""WITH {ctes.STATUS_EVENTS} SELECT alarm_id, status, min(changed_us) AS changed_at FROM status_events WHERE status IN ('CONFIRMED', 'FALSE_POSITIVE') GROUP BY 1, 2""")

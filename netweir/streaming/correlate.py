@@ -8,6 +8,11 @@ A key may hold much of the stream, so alarms are first combined per task into on
 key and time cell of the window: such alarms always belong to one incident. Where status
 events are given, an incident may be closed between two alarms of a cell; then only alarms
 of one instant are combined, and a status event of that instant comes before them.
+
+State ends by event time. A key has one entry for each incident, under its number, so a
+batch reads and writes those that it touches and the ones that alarms may still join. When
+the watermark has passed an incident by the retention, a timer removes it; an open one goes
+like a closed one, and a status event that comes later is passed on by itself.
 """
 
 from __future__ import annotations
@@ -24,11 +29,11 @@ from netweir.operators.alarms import rank_of
 from netweir.operators.incidents import correlation_key, time_cell
 
 PARTIAL = ("correlation_key string, cell long, first_us long, last_us long, n long, worst int, "
-           "destinations array<string>, overflow boolean, incident_no long, status string")
-STATE = ("incident_no long, first_us long, last_us long, n long, worst int, destinations array<string>, "
-         "truncated boolean, status string, version long")
-OUTPUT = f"correlation_key string, {STATE}"
-FIELDS = [f.split()[0] for f in STATE.split(", ")]
+           "destinations array<string>, overflow boolean, incident_no long, status string, at timestamp")
+FACTS = ("first_us long, last_us long, n long, worst int, destinations array<string>, truncated boolean, "
+         "status string, status_us long, version long")
+FIELDS = [f.split()[0] for f in FACTS.split(", ")]
+OUTPUT = f"correlation_key string, incident_no long, {FACTS}"
 
 
 def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,7 +49,8 @@ def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({
                 "correlation_key": events["correlation_key"], "cell": -1, "first_us": events["us"],
                 "last_us": events["us"], "n": 0, "worst": 0, "destinations": [[] for _ in range(len(events))],
-                "overflow": False, "incident_no": events["incident_no"], "status": events["status"]})
+                "overflow": False, "incident_no": events["incident_no"], "status": events["status"],
+                "at": pd.to_datetime(events["us"], unit="us")})
         alarms = batch[batch["status"].isna()].sort_values(["us", "destination_ip"])
         if not len(alarms):
             continue
@@ -56,63 +62,99 @@ def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [lists.get((k, c), []) for k, c in zip(sums["correlation_key"], sums["cell"])]
         yield sums.assign(
             destinations=[d[:limit] for d in found], overflow=[len(d) > limit for d in found],
-            incident_no=None, status=None)
+            incident_no=None, status=None, at=pd.to_datetime(sums["last_us"], unit="us"))
 
 
 class IncidentProcessor(StatefulProcessor):
-    """State of a key: its incidents, open and closed, until they lie behind the watermark."""
+    """State of a key: its incidents by number, and the last number with the newest time seen."""
 
-    def __init__(self, window_seconds: int, keep_seconds: int):
+    def __init__(self, window_seconds: int, retain_seconds: int, forget_seconds: int | None):
         self.window_us = window_seconds * 1000000
-        self.keep_us = keep_seconds * 1000000
+        self.retain_us = retain_seconds * 1000000
+        self.forget_us = None if forget_seconds is None else forget_seconds * 1000000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("incidents", STATE)
+        self.handle = handle
+        self.incidents = handle.getMapState("incidents", "incident_no long", FACTS)
         self.counter = handle.getValueState("counter", "opened long, seen_us long")
 
+    def _wake(self, us: int) -> None:
+        """A timer at an event time, rounded up to milliseconds."""
+        self.handle.registerTimer(-(-int(us) // 1000))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        incidents = [dict(zip(FIELDS, r)) for r in self.state.get()] if self.state.exists() else []
         opened, seen = self.counter.get() if self.counter.exists() else (0, 0)
+        known = {no[0]: dict(zip(FIELDS, facts)) for no, facts in self.incidents.iterator()} if opened else {}
         arrived = pd.concat(list(rows)).sort_values(["first_us", "n"], kind="stable")
-        touched = {}
+        touched, unknown = set(), []
         for row in arrived.itertuples():
             seen = max(seen, row.last_us)
             if row.status is not None and row.status == row.status:
-                for incident in incidents:
-                    if incident["incident_no"] == row.incident_no:
-                        incident["status"] = row.status
-                        incident["version"] += 1
-                        touched[incident["incident_no"]] = incident
+                no = row.incident_no
+                if no is None or no != no:
+                    no = max(known, key=lambda i: (known[i]["last_us"], i), default=None)
+                if no is None:
+                    continue
+                no = int(no)
+                if no in known:
+                    self._set_status(known[no], row.status, row.first_us)
+                    touched.add(no)
+                elif no <= opened:
+                    unknown.append((no, row.status, int(row.first_us)))
                 continue
-            usable = [i for i in incidents if i["status"] not in contract.CLOSED_STATUSES
-                      and i["last_us"] >= row.first_us - self.window_us]
+            usable = [i for i, facts in known.items() if facts["status"] not in contract.CLOSED_STATUSES
+                      and facts["last_us"] >= row.first_us - self.window_us]
             if usable:
-                incident = max(usable, key=lambda i: i["last_us"])
+                no = max(usable, key=lambda i: (known[i]["last_us"], i))
             else:
-                opened += 1
-                incident = {"incident_no": opened, "first_us": row.first_us, "last_us": row.last_us, "n": 0,
-                            "worst": row.worst, "destinations": [], "truncated": False, "status": "NEW",
-                            "version": 0}
-                incidents.append(incident)
-            incident["first_us"] = min(incident["first_us"], row.first_us)
-            incident["last_us"] = max(incident["last_us"], row.last_us)
-            incident["n"] += row.n
-            incident["version"] += 1
-            incident["worst"] = max(incident["worst"], row.worst)
-            known = list(incident["destinations"])
-            new = [d for d in row.destinations if d not in known]
-            room = contract.TRACKED_DESTINATIONS - len(known)
-            incident["destinations"] = known + new[:room]
-            incident["truncated"] = bool(incident["truncated"] or len(new) > room or row.overflow)
-            touched[incident["incident_no"]] = incident
-        kept = [i for i in incidents if i["last_us"] >= seen - self.keep_us]
+                opened = no = opened + 1
+                known[no] = {"first_us": row.first_us, "last_us": row.last_us, "n": 0, "worst": row.worst,
+                             "destinations": [], "truncated": False, "status": "NEW", "status_us": 0, "version": 0}
+            self._join(known[no], row)
+            touched.add(no)
         self.counter.update((int(opened), int(seen)))
-        if kept:
-            self.state.put([tuple(self._plain(i[f]) for f in FIELDS) for i in kept])
-        else:
-            self.state.clear()
-        if touched:
-            yield pd.DataFrame([{"correlation_key": key[0], **i} for i in touched.values()])
+        for no in touched:
+            self.incidents.updateValue((int(no),), tuple(self._plain(known[no][f]) for f in FIELDS))
+            self._wake(known[no]["last_us"] + self.retain_us)
+        if self.forget_us is not None:
+            self._wake(seen + self.forget_us)
+        out = [{"correlation_key": key[0], "incident_no": no, **known[no]} for no in sorted(touched)]
+        out += [{"correlation_key": key[0], "incident_no": no, "first_us": None, "last_us": None, "n": None, "worst": None,
+                 "destinations": None, "truncated": None, "status": status, "status_us": us, "version": None}
+                for no, status, us in unknown]
+        if out:
+            yield pd.DataFrame(out).astype({c: "Int64" for c in ("first_us", "last_us", "n", "worst", "version")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        kept = 0
+        for no, facts in list(self.incidents.iterator()):
+            if facts[FIELDS.index("last_us")] + self.retain_us <= now:
+                self.incidents.removeKey(no)
+            else:
+                kept += 1
+        if not kept and self.forget_us is not None and self.counter.exists() and self.counter.get()[1] + self.forget_us <= now:
+            self.counter.clear()
+        return iter([])
+
+    @staticmethod
+    def _set_status(facts: dict, status: str, us: int) -> None:
+        if us >= facts["status_us"]:
+            facts["status"], facts["status_us"] = status, us
+        facts["version"] += 1
+
+    @staticmethod
+    def _join(facts: dict, row) -> None:
+        facts["first_us"] = min(facts["first_us"], row.first_us)
+        facts["last_us"] = max(facts["last_us"], row.last_us)
+        facts["n"] += row.n
+        facts["version"] += 1
+        facts["worst"] = max(facts["worst"], row.worst)
+        known = list(facts["destinations"])
+        new = [d for d in row.destinations if d not in known]
+        room = contract.TRACKED_DESTINATIONS - len(known)
+        facts["destinations"] = known + new[:room]
+        facts["truncated"] = bool(facts["truncated"] or len(new) > room or row.overflow)
 
     @staticmethod
     def _plain(value):
@@ -124,15 +166,20 @@ class IncidentProcessor(StatefulProcessor):
         pass
 
 
-def correlate_stream(alarms: DataFrame, window_seconds: int = contract.CORRELATION_WINDOW_SECONDS,
-                     status_events: DataFrame | None = None, keep_seconds: int = 30 * 86400) -> DataFrame:
+def correlate_stream(alarms: DataFrame, lateness: str, retain_seconds: int, window_seconds: int = contract.CORRELATION_WINDOW_SECONDS,
+                     status_events: DataFrame | None = None, forget_seconds: int | None = None) -> DataFrame:
     """Changed incidents of every batch (update mode): key, number, extent, counts, status, version.
 
-    ``status_events`` has correlation_key, incident_no, status, changed_at. State older
-    than ``keep_seconds`` behind the newest row of its key is dropped; that is the bound
-    on state, and alarms later than that open a new incident. Needs the RocksDB state
-    store provider.
+    ``status_events`` has correlation_key, incident_no, status, changed_at; a null number means the incident
+    of the key that was last seen. ``lateness`` is how far the watermark lies behind the newest row; older rows
+    are dropped by Spark and counted as such in the query's progress. An incident leaves the state when the
+    watermark is ``retain_seconds`` past its last alarm, which must be the window at least: no alarm in time
+    can join it then. A later status event comes out with its status only, see ``latest_incidents``. What
+    stays of a quiet key is its last number; with ``forget_seconds`` that goes too, and numbers start again.
+    Needs the RocksDB state store provider.
     """
+    if retain_seconds < window_seconds or (forget_seconds is not None and forget_seconds < retain_seconds):
+        raise ValueError("retention must be the window at least, and forgetting no earlier than retention")
     rows = alarms.select(
         correlation_key(F.col("source_ip"), F.col("attack_type")).alias("correlation_key"),
         (time_cell(F.col("created_at"), window_seconds) if status_events is None else F.unix_micros("created_at")).cast(
@@ -143,14 +190,18 @@ def correlate_stream(alarms: DataFrame, window_seconds: int = contract.CORRELATI
         rows = rows.unionByName(status_events.select(
             "correlation_key", F.lit(-1).cast("long").alias("cell"), F.unix_micros("changed_at").alias("us"),
             F.lit(0).alias("worst"), F.lit(None).cast("string").alias("destination_ip"), "incident_no", "status"))
-    return rows.mapInPandas(combine, PARTIAL).groupBy("correlation_key").transformWithStateInPandas(
-        statefulProcessor=IncidentProcessor(window_seconds, keep_seconds), outputStructType=OUTPUT,
-        outputMode="Update", timeMode="None")
+    return rows.mapInPandas(combine, PARTIAL).withWatermark("at", lateness).groupBy("correlation_key").transformWithStateInPandas(
+        statefulProcessor=IncidentProcessor(window_seconds, retain_seconds, forget_seconds), outputStructType=OUTPUT,
+        outputMode="Update", timeMode="EventTime")
 
 
 def latest_incidents(updates: DataFrame) -> DataFrame:
-    """Current incidents from the update rows of a stream: the latest version of each."""
-    columns = [c for c in updates.columns if c not in ("correlation_key", "incident_no")]
+    """Current incidents from the update rows of a stream: the latest version of each, with its last status.
+
+    A status that came after an incident had left the state has no version; it counts by its time.
+    """
+    facts = [f for f in FIELDS if f not in ("status", "status_us")]
     return updates.groupBy("correlation_key", "incident_no").agg(
-        F.max_by(F.struct(*columns), "version").alias("r")).select(
-        "correlation_key", "incident_no", "r.*")
+        F.max_by(F.struct(*facts), "version").alias("r"),
+        F.max_by(F.struct("status", "status_us"), F.struct("status_us", F.coalesce("version", F.lit(1 << 62)))).alias("s")).select(
+        "correlation_key", "incident_no", "r.*", "s.*")

@@ -86,7 +86,7 @@ def test_models_learn_a_simple_rule(spark):
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_incidents(spark, tmp_path, batches, window, events=None):
+def run_incidents(spark, tmp_path, batches, window, lateness="365 days", retain=None):
     """Incidents of alarm batches, each landed as one file and read as one micro-batch."""
     schema = ("alarm_id long, created_at timestamp, severity string, source_ip string, destination_ip string, "
               "attack_type string, incident_no long, status string")
@@ -98,7 +98,7 @@ def run_incidents(spark, tmp_path, batches, window, events=None):
     status = source.where("status IS NOT NULL").select(
         F.concat_ws("|", "source_ip", "attack_type").alias("correlation_key"), "incident_no", "status",
         F.col("created_at").alias("changed_at"))
-    updates = correlate.correlate_stream(source.where("status IS NULL"), window, status)
+    updates = correlate.correlate_stream(source.where("status IS NULL"), lateness, retain or 365 * 86400, window, status)
     updates.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(
         lambda d, n: d.write.mode("overwrite").parquet(str(tmp_path / f"out/b={n}"))).trigger(
         availableNow=True).start().awaitTermination()
@@ -134,6 +134,14 @@ def test_a_status_without_new_alarms_is_kept(spark, tmp_path):
     assert got == [(1, 1, 0, "RESOLVED")]
 
 
+def test_a_quiet_key_leaves_only_its_number(spark, tmp_path):
+    far = [(9, at(90000), "LOW", "other", "d", "PortScan", None, None)]
+    got = run_incidents(spark, tmp_path, [[alarm(1, 0), alarm(2, 50)], far, far, [closing(1, 90000)], [alarm(3, 89990)]], 120, "1 minute", 300)
+    assert got == [(1, 2, 0, "NEW"), (1, 2, 0, "RESOLVED"), (2, 1, 0, "NEW")]
+    state = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "incidents").load()
+    assert state.count() == 2
+
+
 def test_in_order_stream_equals_the_batch_form(spark, tmp_path):
     table = adapters.alarms(spark, SF).orderBy("created_at").select(
         "alarm_id", "created_at", "severity", "source_ip", "destination_ip", "attack_type",
