@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from netweir.functions import contract
+from netweir.operators import anomaly as A
+from netweir.operators import models as M
 from netweir.operators import profile as P
 from netweir.operators import validate as V
 from netweir.operators.alarms import name_of
@@ -24,8 +26,11 @@ from netweir.plans.catalog.registry import query
 from netweir.session import ensure_checkpoint_dir
 from netweir.sources import adapters as src
 from netweir.streaming import correlate as C
+from netweir.streaming import detect as DT
 from netweir.streaming import drift as D
 from netweir.streaming import flows as S
+from netweir.streaming import growing as G
+from netweir.streaming.packets import packet_flow_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -53,7 +58,7 @@ def stream_alarms(spark, sf):
 
 @query("stream_alarms_per_hour", f"WITH {ctes.ALARMS} SELECT epoch_us(date_trunc('hour', created_at)) AS bucket, count(*) AS alarm_count FROM alarms GROUP BY 1")
 def stream_alarms_per_hour(spark, sf):
-    hours = S.alarms_per_hour_stream(S.alarm_stream(src.as_flows(src.event_stream(spark, sf))))
+    hours = S.alarms_per_hour_stream(S.alarm_stream(src.as_flows(src.event_stream(spark, sf))), "1 hour")
     counted = drain(hours, place(spark), "update")
     return counted.groupBy(F.unix_micros("bucket").alias("bucket")).agg(F.max("alarm_count").alias("alarm_count"))
 
@@ -108,10 +113,17 @@ def stream_feedback(spark, sf):
     return drain(S.feedback_stream(events, "30 days"), path).select("alarm_id", "status", F.unix_micros("changed_at").alias("changed_at"))
 
 
-@query("stream_packet_flows", f"""WITH {PACKETS} SELECT flow_key, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, min(time_us) AS start_us, max(time_us) AS end_us FROM pk GROUP BY flow_id, flow_key""")
+# a flow is written when the watermark, a minute behind the newest packet, is 240 s past its last one
+@query("stream_packet_flows", f"""WITH {PACKETS} SELECT flow_key, any_value(src) FILTER (forward) AS source, min(time_us) AS start_us, max(time_us) AS end_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes,
+  count(*) FILTER (forward) AS fwd_packets, count(*) FILTER (NOT forward) AS bwd_packets, coalesce(sum(length) FILTER (forward), 0)::BIGINT AS fwd_bytes, coalesce(sum(length) FILTER (NOT forward), 0)::BIGINT AS bwd_bytes
+FROM pk GROUP BY flow_id, flow_key HAVING max(time_us) + 240000000 <= (SELECT max(time_us) FROM pk) - 60000000""")
 def stream_packet_flows(spark, sf):
-    flows = S.packet_flow_stream(src.as_packets(src.event_stream(spark, sf)), lateness="1000 days")
-    return drain(flows, place(spark), "complete")
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return drain(packet_flow_stream(src.as_packets(src.event_stream(spark, sf)), "60 seconds"), place(spark))
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 @query("stream_validated", f"WITH {VALIDATED} SELECT row_id, len(missing) = 0 AND len(invalid) = 0 AS valid FROM judged")
@@ -195,3 +207,58 @@ SELECT status AS model_version, no AS observed_flows, acc::BIGINT AS accepted_fl
 def stream_drift_reports(spark, sf):
     reports = spark.read.parquet(f"{drift_tables(spark, sf)}/reports").drop("batch")
     return rounded(reports.withColumn("drifted_features", F.array_join("drifted_features", ",")))
+
+
+# -- detection: one set of features for the supervised model, another for the anomaly score -----------------
+
+DETECT_FEATURES = ["Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Max Packet Length"]
+ANOMALY_FEATURES = ["Flow Duration", "Fwd Packet Length Min", "Packet Length Std"]
+
+
+def store_models(spark, sf, path):
+    """Trains a version on the flow vectors and activates it; returns the table of activations."""
+    vectors = src.flow_vectors(spark, sf).withColumns({
+        "Max Packet Length": F.greatest("Fwd Packet Length Max", "Bwd Packet Length Max"),
+        "label": F.when(F.col("flag") == "N", contract.BENIGN).otherwise("ATTACK")})
+    fitted = M.train_forest(M.assemble(vectors, DETECT_FEATURES), trees=20, depth=6)
+    benign = vectors.where("flag = 'N'")
+    trees = A.fit_isolation_forest(benign, ANOMALY_FEATURES, "row_id", 42)
+    trees.write.parquet(f"{path}/fitted-trees")
+    trees = spark.read.parquet(f"{path}/fitted-trees")
+    calibration = A.calibrate_anomaly(A.isolation_score(benign, trees, ANOMALY_FEATURES, ["row_id"]), "raw_score").first()
+    DT.save_version(f"{path}/models", "v2", fitted, trees, DETECT_FEATURES, ANOMALY_FEATURES,
+                    calibration["thresholds"][-1]["threshold"], calibration["calibration_quantiles"])
+    spark.createDataFrame([("v1", 1), ("v2", 2)], "model string, activated_at long").write.parquet(f"{path}/registry")
+    return f"{path}/registry"
+
+
+@query("stream_detections", f"""WITH {VALIDATED}
+SELECT row_id, 'v2' AS model_version, CASE WHEN null_bmax THEN 'dead_letter' ELSE 'detected' END AS outcome, CASE WHEN NOT null_bmax THEN NOT no_fmin AND NOT bad_sd END AS anomaly_available,
+  CASE WHEN null_bmax THEN '1 missing: Max Packet Length' ELSE concat_ws(',', CASE WHEN no_fmin THEN 'Fwd Packet Length Min' END, CASE WHEN bad_sd THEN 'Packet Length Std' END) END AS reasons,
+  true AS rules_hold FROM judged""")
+def stream_detections(spark, sf):
+    path = place(spark)
+    registry = store_models(spark, sf, path)
+    raw = src.as_raw_features(src.as_vectors(src.line_stream(spark, sf)))
+    DT.detect_stream(raw, f"{path}/models", lambda s: DT.newest_version(s, registry), ["row_id"], path, f"{path}/checkpoint").awaitTermination()
+    benign, odd = F.col("supervised_label") == contract.BENIGN, F.coalesce("is_anomalous", F.lit(False))
+    rules = (F.col("anomaly_available") == F.col("anomaly_score").isNotNull()) & (F.coalesce("anomaly_score", F.lit(0.0)).between(0, 1)) & (
+        (F.col("detection_class") == "SUSPICIOUS") == (benign & odd)) & ((F.col("prediction") == "ATTACK") == ~benign) & (
+        F.col("supervised_confidence") >= 0.5)
+    found = spark.read.parquet(f"{path}/detections").select("row_id", "model_version", F.lit("detected").alias("outcome"), "anomaly_available",
+                                                            F.array_join("blocking_features", ",").alias("reasons"), rules.alias("rules_hold"))
+    dead = spark.read.parquet(f"{path}/dead_letters").select("row_id", "model_version", F.lit("dead_letter").alias("outcome"), F.lit(None).cast("boolean").alias("anomaly_available"),
+                                                             F.array_join("validation_errors", "; ").alias("reasons"), F.lit(True).alias("rules_hold"))
+    return found.unionByName(dead)
+
+
+# -- growing files: the events as CSV lines, followed by byte ---------------------------------------------
+
+@query("stream_growing_files", """SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events""")
+def stream_growing_files(spark, sf):
+    path, columns = place(spark), ["event_id", "user_id", "event_type", "value"]
+    src.table(spark, sf, "events").select(*columns).write.option("header", True).csv(f"{path}/capture")
+    records, _ = G.follow_capture(G.growing_lines(spark, f"{path}/capture", suffix=".csv", pieceBytes=str(1 << 20)), columns)
+    found = drain(records, path)
+    return found.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "event_type",
+                        F.round(F.col("value").cast("double"), 6).alias("value"))

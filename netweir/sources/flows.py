@@ -51,12 +51,18 @@ def read_capture(spark: SparkSession, path: str, columns: list[str]) -> tuple[Da
 
     Lines are parsed one by one, so a half-written last line spoils no other.
     """
+    return parse_capture(spark.read.text(path), "value", columns)
+
+
+def parse_capture(lines: DataFrame, line: str, columns: list[str], keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Good rows and malformed lines of a table or stream of capture lines; blank lines and headers are neither."""
+    keep = keep or []
     schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
-    lines = spark.read.text(path).where(F.trim("value") != ",".join(columns))
-    parsed = lines.select(F.from_csv("value", F.lit(schema), {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
+    rows = lines.where((F.trim(line) != ",".join(columns)) & (F.trim(line) != ""))
+    parsed = rows.select(*keep, F.from_csv(line, F.lit(schema), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select(*keep, "r.*")
     bad = F.col(CORRUPT).isNotNull()
-    return parsed.where(~bad).drop(CORRUPT), parsed.where(bad).select(CORRUPT)
+    return parsed.where(~bad).drop(CORRUPT), parsed.where(bad).select(*keep, CORRUPT)
 
 
 def capture_column_report(good: DataFrame, malformed: DataFrame, header: list[str]) -> DataFrame:
