@@ -33,6 +33,7 @@ from netweir.llm.common import CACHES, map_texts, slices, text_key
 
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BBq")
 ENTRIES = 400_000
+MARKS = ".,;:!?"
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
@@ -87,24 +88,37 @@ class Encoder:
         a text, with a space first.
 
         The tokenizer cuts a run of letters from closing punctuation. Most parts are such runs, which go to
-        the tokenizer's model straight away; the others pass its whole pipeline.
+        the tokenizer's model straight away and are kept without the punctuation as well; the others pass its
+        whole pipeline.
         """
-        model, known, other = self.tokenizer.model.tokenize, self.known, []
+        model, known, code, space, tails, other = self.tokenizer.model.tokenize, self.known, self.code, self.space, self.tails, []
         for part in parts:
             first = part[0]
-            word = part[1:] if first in " \n" else part
-            body = word.rstrip(".,;:!?")
-            if not LETTERS(body):
-                other.append(part)
-                continue
-            mapped = body if body.isascii() else "".join([self.shown[x] for x in body.encode()])
-            ids = array(self.code, [t.id for t in model(mapped if first in " \n" else self.space + mapped)]).tobytes()
+            if first in " \n":
+                word = part[1:]
+                body = word.rstrip(MARKS)
+                if not LETTERS(body):
+                    other.append(part)
+                    continue
+                mapped = body if body.isascii() else "".join([self.shown[x] for x in body.encode()])
+                ids = array(code, [t.id for t in model(mapped)]).tobytes()
+                if first == "\n":
+                    ids = self.line + ids
+            else:
+                word, body = part, part.rstrip(MARKS)
+                if not LETTERS(body):
+                    other.append(part)
+                    continue
+                ids = known.get(body)
+                if ids is None:
+                    mapped = body if body.isascii() else "".join([self.shown[x] for x in body.encode()])
+                    ids = known[body] = array(code, [t.id for t in model(space + mapped)]).tobytes()
             if len(body) < len(word):
                 tail = word[len(body):]
-                if tail not in self.tails:
-                    self.tails[tail] = self._whole(tail)
-                ids += self.tails[tail]
-            known[part] = self.line + ids if first == "\n" else ids
+                if tail not in tails:
+                    tails[tail] = self._whole(tail)
+                ids += tails[tail]
+            known[part] = ids
         bare = [p[1:] if p[0] in " \n" else " " + p for p in other]
         for part, ids in zip(other, self._each(bare)):
             known[part] = self.line + ids if part[0] == "\n" else ids
@@ -156,14 +170,18 @@ def frame(doc: int | None, ids: bytes, width: int) -> bytes:
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 0,
-                  records_per_file: int = 5000) -> None:
+                  records_per_file: int = 5000, bytes_per_file: int = 1 << 30) -> None:
     """Encodes every text, appends end_id and writes the records below `path` in ascending id order.
 
     Null texts are encoded as empty ones and so hold end_id only. Null ids come first; rows of one id are
-    ordered by their text's hashes. An empty table writes no record.
+    ordered by their text's hash, then by the text. An empty table writes no record. A file holds at most
+    `records_per_file` records, and fewer where the longest text could make them more than `bytes_per_file`:
+    readers take files whole.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), *text_key(F.col(text)))
-    rows = rows.repartitionByRange("id", "k1").sortWithinPartitions("id", "k1", "k2").select("id", "text")
+    longest = docs.agg(F.max(F.octet_length(text))).first()[0] or 1
+    records_per_file = max(1, min(records_per_file, bytes_per_file // (4 * longest + 64)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), text_key(F.col(text))[0])
+    rows = rows.repartitionByRange("id", "k1").sortWithinPartitions("id", "k1", "text").select("id", "text")
 
     def run(batches):
         enc = encoder(tokenizer)

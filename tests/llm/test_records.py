@@ -58,3 +58,12 @@ def test_no_rows(spark, nothing):
     path, index = shared_folder(spark, "records"), shared_folder(spark, "index")
     R.write_records(nothing, path, PATH)
     assert R.write_index(spark, path, index).count() == 0
+
+
+def test_files_are_cut_by_bytes_where_texts_are_long(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * (2000 if i % 2 else 1)) for i in range(20)], "doc_id long, text string").coalesce(1)
+    path = str(tmp_path / "r")
+    R.write_records(docs, path, PATH, bytes_per_file=100_000)
+    index = R.write_index(spark, path, str(tmp_path / "i"))
+    assert index.count() == 20 and index.select("file").distinct().count() > 5
+    assert index.groupBy("file").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 100_000
