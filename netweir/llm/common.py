@@ -50,6 +50,14 @@ def staged(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
+def small_side(frame: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """A written frame for the small side of a join: broadcast if its counted rows fit `most` bytes, else as it is.
+
+    Without the broadcast both sides are shuffled, to the same result.
+    """
+    return F.broadcast(frame) if frame.count() * row_bytes <= most else frame
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -177,9 +185,9 @@ class Bitmap:
 def one_row_each(docs: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
     """docs joined to `keyed`, one row for each of its keys.
 
-    keyed has the key columns (null-safe values), `__rows`, how many rows of docs share the key, and more.
-    Keys with several rows, which are equal in all that the key stands for, keep one of them.
+    keyed has the key columns (null-safe values), `__rows`, how many rows of docs share the key, and a few
+    more bytes. Keys with several rows, which are equal in all that the key stands for, keep one of them.
     """
-    single = docs.join(keyed.where("__rows = 1"), keys)
-    several = docs.join(keyed.where("__rows > 1"), keys).dropDuplicates(keys)
-    return single.unionByName(several)
+    single, several = keyed.where("__rows = 1"), keyed.where("__rows > 1")
+    once = docs.join(small_side(single, 64), keys)
+    return once.unionByName(docs.join(small_side(several, 64), keys).dropDuplicates(keys))

@@ -83,6 +83,11 @@ def schedule(sources: DataFrame, block: int, cap: int) -> DataFrame:
                          F.expr("rank div blocks").alias("pass")).where(F.col("pass") < cap)
 
 
+def source_key(source: str):
+    """A source's text with a mark before it, so that null is a source of its own and comes last."""
+    return F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
         weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block: int = 128, seed: int = 17) -> DataFrame:
     """One row per document: id, k1, k2 (its text's key), skey, size, source_size, target, taken.
@@ -92,8 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     words has target 0. Repeated rows are separate documents. Equal ids are ordered by size and text. Other
     columns are not read. An empty table gives an empty result.
     """
-    skey = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
-    d = checkpointed(docs.select(F.col(id_col).alias("id"), skey.alias("skey"), n_words(F.col(text)).alias("size"),
+    d = checkpointed(docs.select(F.col(id_col).alias("id"), source_key(source).alias("skey"), n_words(F.col(text)).alias("size"),
                                  *text_key(F.col(text))).withColumn("tie", F.struct("k1", "k2")))
     rows = d.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) / 2048, 16)))
@@ -110,13 +114,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         F.col("id").alias(id_col), "k1", "k2", "skey", "size", "source_size", "target", "taken")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The mix as rows: each document as often as taken / size, rounded to whole copies, says."""
-    keys = ["__k1", "__k2", "__id"]
-    shares = mix(docs, id_col, text, **how).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"),
-                                                    F.coalesce(F.col(id_col), F.lit(-1)).alias("__id")).agg(
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix as rows: each document as often as taken / size, rounded to whole copies, says.
+
+    Rows of one id, source and text are one document here, with the copies of all of them; a null id or
+    source is one of its own. Blank texts are never taken. An empty table stays empty.
+    """
+    keys = ["__k1", "__k2", "__skey", "__none", "__id"]
+
+    def key(k1, k2, skey, name):
+        return [k1.alias("__k1"), k2.alias("__k2"), skey.alias("__skey"), name.isNull().alias("__none"), F.coalesce(name, F.lit(-1)).alias("__id")]
+
+    shares = mix(docs, id_col, text, source, **how).groupBy(*key(F.col("k1"), F.col("k2"), F.col("skey"), F.col(id_col))).agg(
         F.count(F.lit(1)).alias("__rows"), F.sum(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int").alias("__copies"))
-    k1, k2 = text_key(F.col(text))
-    keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"), F.coalesce(F.col(id_col), F.lit(-1)).alias("__id"))
-    chosen = one_row_each(keyed, shares.where("__copies > 0"), keys)
+    keyed = docs.select("*", *key(*text_key(F.col(text)), source_key(source), F.col(id_col)))
+    chosen = one_row_each(keyed, staged(shares.where("__copies > 0")), keys)
     return chosen.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import Bitmap, WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, shingle_hashes, slices, staged, text_key
+from netweir.llm.common import Bitmap, WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, shingle_hashes, slices, small_side, staged, text_key
 
 CHUNK = 1 << 16
 
@@ -344,29 +344,42 @@ def word_set_prints(docs: DataFrame, text: str, prints: int, words: int, similar
     return map_texts(rows, run, "k1 long, k2 long, fps array<long>, n int, prefix array<long>")
 
 
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): distinct 32-bit hashes of the word shingles of each text; texts: node, body."""
-    schema = texts.select("node", F.array(F.lit(0)).alias("shingles")).schema
+def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
+    """(k1, k2, shingles): distinct 32-bit hashes of the word shingles of the texts named by nodes (k1, k2).
+
+    Texts stay where they are: a bitmap of the wanted keys passes those and a few others, of which only the
+    sets move. A task gives each text once, however many copies it holds.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(Bitmap(nodes.select(F.col("k1").alias("hash"))))
+    rows = docs.select(*text_key(F.col(text)), F.col(text).alias("body"))
 
     def run(batches):
-        memo = WordHashes()
-        for batch in slices(batches, 1):
+        memo, seen = WordHashes(), set()
+        for batch in slices(batches, 2):
+            kept = []
+            for i in np.flatnonzero(wanted.value.of(batch.column(0).to_numpy().view(np.uint64))).tolist():
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if key not in seen:
+                    seen.add(key)
+                    kept.append(i)
+            part = batch.take(pa.array(kept, pa.int64()))
             sets = [np.unique(shingle_hashes(memo.of((t or b"").lower().split()), words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    for t in raw(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+                    for t in raw(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int32()))], ["k1", "k2", "shingles"])
 
-    return map_texts(texts.select("node", "body"), run, schema)
+    found = map_texts(rows, run, "k1 long, k2 long, shingles array<int>")
+    return found.join(small_side(nodes, 32), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts, given as structs of their keys, whose word shingles have the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().select("node.*")
-    texts = docs.select(*text_key(F.col(text)), F.col(text).alias("body")).join(nodes, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    sets = checkpointed(shingle_sets(texts.select(F.struct("k1", "k2").alias("node"), "body"), words))
+    pairs = staged(pairs)
+    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*"))
+    sets = staged(shingle_sets(docs, nodes, text, words).select(F.struct("k1", "k2").alias("node"), "shingles"))
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
         sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return checkpointed(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    return staged(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
 
 def _pair(x: str, y: str) -> list:
@@ -375,30 +388,31 @@ def _pair(x: str, y: str) -> list:
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows (node, ...) with `comp`, a hash of the root of the node's component."""
-    return rows.join(roots, "node", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "node"))).drop("root")
+    return rows.join(small_side(staged(roots), 80), "node", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "node"))).drop("root")
 
 
-def shared_points(texts: DataFrame) -> DataFrame:
-    """(node, n, place, hash) for each prefix shingle that another text's prefix has as well, and few others.
+def apart_points(texts: DataFrame) -> DataFrame:
+    """(node, comp, n, place, hash) for each prefix shingle that texts of different components have.
 
-    texts: k1, k2, n, prefix. The shingles of one text only, most of all, are left out by a bitmap of those
-    of several, before the texts' keys are attached.
+    texts: node, comp, n, prefix. Most shingles are of one component; they are left out by a bitmap of the
+    others before the texts' keys are attached, and the few that it lets pass by a join.
     """
-    several = staged(texts.select(F.explode("prefix").alias("hash")).groupBy("hash").count().where("count > 1").select("hash"))
-    shared = texts.sparkSession.sparkContext.broadcast(Bitmap(several))
+    hashes = staged(texts.select(F.explode("prefix").alias("hash"), "comp").groupBy("hash").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hash"))
+    shared = texts.sparkSession.sparkContext.broadcast(Bitmap(hashes))
 
     def run(batches):
         for batch in batches:
-            firsts, starts = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
+            firsts, starts = batch.column(4).flatten().to_numpy(), batch.column(4).value_lengths().to_numpy()
             at = np.repeat(np.arange(len(starts)), starts)
             place = np.arange(len(firsts)) - np.repeat(np.cumsum(starts) - starts, starts)
             kept = np.flatnonzero(shared.value.of(firsts.view(np.uint64)))
-            keys = batch.select(["k1", "k2", "n"]).take(pa.array(at[kept]))
+            keys = batch.select(["k1", "k2", "comp", "n"]).take(pa.array(at[kept]))
             yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place[kept].astype(np.int32)), pa.array(firsts[kept])],
-                                             ["k1", "k2", "n", "place", "hash"])
+                                             ["k1", "k2", "comp", "n", "place", "hash"])
 
-    found = map_texts(texts.select("k1", "k2", "n", "prefix"), run, "k1 long, k2 long, n int, place int, hash long")
-    return found.select(F.struct("k1", "k2").alias("node"), "n", "place", "hash")
+    found = map_texts(texts.select("node.*", "comp", "n", "prefix"), run, "k1 long, k2 long, comp long, n int, place int, hash long")
+    return found.join(small_side(hashes, 16), "hash").select(F.struct("k1", "k2").alias("node"), "comp", "n", "place", "hash")
 
 
 def _apart(points: DataFrame) -> DataFrame:
@@ -445,7 +459,7 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarit
     that share one of their rarest shingles, first each with the least text of the shingle, then, in the
     components that this leaves, all pairs.
     """
-    printed = checkpointed(word_set_prints(docs, text, prints, words, similarity).dropDuplicates(["k1", "k2"]))
+    printed = staged(word_set_prints(docs, text, prints, words, similarity).dropDuplicates(["k1", "k2"]))
     points = printed.select(F.struct("k1", "k2").alias("node"), F.posexplode("fps").alias("space", "fp"))
     classes = checkpointed(points.groupBy("space", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
     links = trie_links(classes.select("space", "fp"), budget)
@@ -453,13 +467,14 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarit
     across = links.join(ends.withColumnsRenamed({"fp": "a", "rep": "x"}), ["space", "a"]).join(
         ends.withColumnsRenamed({"fp": "b", "rep": "y"}), ["space", "b"]).select("x", "y")
     inside = points.join(classes.where("n > 1").drop("n"), ["space", "fp"]).select(F.col("node").alias("x"), F.col("rep").alias("y"))
-    pairs = checkpointed(across.unionByName(inside).where("x <> y").select(*_pair("x", "y")).distinct())
+    pairs = across.unionByName(inside).where("x <> y").select(*_pair("x", "y")).distinct()
     links = confirmed(docs, pairs, text, words, similarity)
 
-    left = staged(_apart(staged(_labelled(shared_points(printed), components(links)))))
-    links = links.unionByName(confirmed(docs, checkpointed(star_pairs(left)), text, words, similarity))
+    texts = printed.select(F.struct("k1", "k2").alias("node"), "n", "prefix")
+    left = staged(apart_points(_labelled(texts, components(links))))
+    links = links.unionByName(confirmed(docs, star_pairs(left), text, words, similarity))
     left = staged(_apart(_labelled(left.drop("comp"), components(links))))
-    return links.unionByName(confirmed(docs, checkpointed(open_pairs(left, similarity)), text, words, similarity))
+    return links.unionByName(confirmed(docs, open_pairs(left, similarity), text, words, similarity))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -475,7 +490,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     rows = rows.groupBy("k1", "k2", "none", "id").agg(F.count(F.lit(1)).alias("rows")).withColumn("node", node)
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct("none", "id", "k1", "k2", "rows")).alias("w")).select("w.*")
-    chosen = checkpointed(chosen.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("none").alias("__none"),
+    chosen = staged(chosen.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("none").alias("__none"),
                                         F.col("id").alias("__id"), "rows").withColumnRenamed("rows", "__rows"))
     keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"), F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col), F.lit(-1)).alias("__id"))
     return one_row_each(keyed, chosen, ["__k1", "__k2", "__none", "__id"]).select(*docs.columns)
