@@ -1,19 +1,26 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is taken off and every block element starts a line. The text length of a line that is not link text
-counts; over windows of `width` lines these lengths are summed. Article text shows as a high plateau of
-that curve: it starts at a surge point, where a sum passes the surge threshold and those after it stay
-above zero, and ends at a dive point, where it falls to zero. Lines between the two are kept. Lines inside
-elements that never hold the article (menus, headers, footers, asides, forms, scripts, adverts and comments,
-by element, role, class and id) count as zero-length, which is what makes the curve dive beside them.
-
-A page works on its own: one pass over its bytes in a task, no shuffle.
+Markup is taken off and every block element starts a line. Lines inside elements that never hold the article
+(menus, headers, footers, asides, forms, scripts, adverts and comments, by element, role, class and id) are
+noise and leave the page first, so that an advert between two paragraphs parts nothing. The others count
+with their characters outside links, and these lengths are summed over windows of `width` lines. Article text
+shows as a plateau of that curve: it begins at a surge point, where a sum passes the surge threshold, with
+the lines before it that have text of their own, and ends at a dive point, where all lines of a window are
+without. Every line between the two is kept, also one of links only.
+
+Article and main elements are evidence: where they hold at least as much text as the rest of the page, the
+curve is that of their lines, each counted whole, and the rest is noise. Else they count like any element.
+
+A page works on its own: one pass over its characters in a task, no shuffle. The pass is linear in the page,
+whatever is left open in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +28,8 @@ from pyspark.sql import functions as F
 
 from netweir.llm.common import map_texts, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile("[>\"']")
 #: elements whose content is not markup; it ends at their own end tag
 OPAQUE = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "noembed", "xmp", "svg", "math", "object"}
 ASIDE = {"nav", "footer", "aside", "form", "header", "menu", "button", "select", "dialog", "figure", "label", "fieldset"}
@@ -43,6 +51,8 @@ STRONG = set("""ad ads advert advertisement comment comments commentlist disqus
 menu breadcrumb breadcrumbs share sharing social related promo promoted sponsor sponsored newsletter cookie cookies notice notices
 widget widgets pagination pager subscribe subscription signup consent gdpr popup modal banner advertising promotion alert disclaimer
 outbrain taboola""".split())
+#: names of an article element that only points to another page
+PREVIEWS = set("teaser teasers preview card snippet excerpt".split())
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -59,120 +69,178 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
+        if name in ("class", "id") and tag not in ("body", "html"):
             words = {w.lower() for w in WORDS.findall(value)}
+            if tag in ("article", "main"):
+                if words & (STRONG | PREVIEWS):
+                    return True
+                continue
             marks = STRONG if in_article or words & BODY else NOISE
             if words & marks:
                 return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Lines of a page in order: text, characters outside links, whether inside noise, whether inside article or main."""
-    out, parts, stack = [], [], []  # stack: (tag, noise, article)
-    outside = 0
+def tag_end(page: str, at: int) -> int:
+    """The place of the tag's `>`, which quotes may hide; -1 if a quote or the tag stays open."""
+    while found := TAG_STOP.search(page, at):
+        if found[0] == ">":
+            return found.start()
+        at = page.find(found[0], found.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
+class Lines:
+    """Gathers the lines of a page: (text, characters outside links, inside noise, inside article or main)."""
+
+    def __init__(self):
+        self.out, self.parts, self.outside = [], [], 0
+        self.stack: list[tuple[str, bool, bool]] = []  # open elements: tag, noise, article
+        self.block_at: list[int] = []  # places of block elements in the stack
+        self.open: Counter = Counter()
 
-    def state():
-        return stack[-1][1:] if stack else (False, False)
+    def state(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
 
-    def flush():
-        nonlocal outside
-        text = SPACE.sub(" ", "".join(parts)).strip()
+    def flush(self) -> None:
+        text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            noise, article = state()
-            out.append((text, outside, noise, article))
-        parts.clear()
-        outside = 0
+            self.out.append((text, self.outside, *self.state()))
+        self.parts, self.outside = [], 0
 
-    def add(text):
-        nonlocal outside
+    def add(self, text: str) -> None:
         if text:
             text = html.unescape(text)
-            parts.append(text)
-            if not any(t == "a" for t, _, _ in stack):
-                outside += len(SPACE.sub("", text))
-
-    at, end = 0, len(page)
-    while at < end:
-        found = TOKEN.search(page, at)
-        if not found:
-            add(page[at:])
-            break
-        add(page[at:found.start()])
-        at = found.end()
-        if found[1]:
-            add(found[1])
-        tag = (found[3] or "").lower()
-        if not tag:
+            self.parts.append(text)
+            if not self.open["a"]:
+                self.outside += len(SPACE.sub("", text))
+
+    def cut(self, size: int) -> None:
+        """Closes what was opened from a place of the stack on."""
+        for tag, _, _ in self.stack[size:]:
+            self.open[tag] -= 1
+        del self.stack[size:]
+        while self.block_at and self.block_at[-1] >= size:
+            self.block_at.pop()
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCK:
+            self.flush()
+            if self.block_at and tag in CLOSED_BY.get(self.stack[self.block_at[-1]][0], ()):
+                self.cut(self.block_at[-1])
+        if tag in VOID or attributes.rstrip().endswith("/"):
+            return
+        noise, article = self.state()
+        article = article or tag in ("article", "main")
+        if tag in BLOCK:
+            self.block_at.append(len(self.stack))
+        self.open[tag] += 1
+        self.stack.append((tag, noise or _noise(tag, attributes, article), article))
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCK:
+            self.flush()
+        if self.open[tag]:
+            at = len(self.stack) - 1
+            while self.stack[at][0] != tag:
+                at -= 1
+            self.cut(at)
+
+
+def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
+    """Lines of a page in order: text, characters outside links, whether inside noise, whether inside article or main.
+
+    A tag without an end is text if no `>` follows; else it ends there, and from then on quotes hide nothing,
+    as one of them is open.
+    """
+    lines, at, quotes = Lines(), 0, True
+    while (begin := page.find("<", at)) >= 0:
+        lines.add(page[at:begin])
+        if page.startswith("<!--", begin):
+            close = page.find("-->", begin + 4)
+            at = close + 3 if close >= 0 else len(page)
             continue
-        if tag in OPAQUE:
-            if not found[2] and not found[4].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
-            if tag in BLOCK:
-                flush()
+        if page.startswith("<![CDATA[", begin):
+            close = page.find("]]>", begin)
+            lines.add(page[begin + 9:close if close >= 0 else len(page)])
+            at = close + 3 if close >= 0 else len(page)
             continue
-        if tag == "br":
-            parts.append(" ")
+        name = NAME.match(page, begin + 1)
+        if not name and page[begin + 1:begin + 2] not in ("!", "?"):
+            lines.add("<")
+            at = begin + 1
             continue
-        if found[2]:
-            if any(t == tag for t, _, _ in stack):
-                if tag in BLOCK:
-                    flush()
-                while stack.pop()[0] != tag:
-                    pass
-            elif tag in BLOCK:
-                flush()
+        after = name.end() if name else begin + 2
+        stop = tag_end(page, after) if quotes and name else page.find(">", after)
+        if stop < 0:
+            quotes, stop = False, page.find(">", after)
+            if stop < 0:
+                at = begin
+                break
+        at = stop + 1
+        if not name:
             continue
-        if tag in BLOCK:
-            flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSED_BY and tag in CLOSED_BY[stack[i][0]]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        if tag in VOID or found[4].rstrip().endswith("/"):
+        tag, attributes = name[2].lower(), page[after:stop]
+        if tag in OPAQUE:
+            if not name[1] and not attributes.rstrip().endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = close.end() if close else len(page)
+        elif tag == "br":
+            lines.parts.append(" ")
+        elif name[1]:
+            lines.end(tag)
+        else:
+            lines.start(tag, attributes)
+    lines.add(page[at:])
+    lines.flush()
+    return lines.out
+
+
+def plateaus(size: list[int], width: int, surge: int) -> list[tuple[int, int]]:
+    """[from, to) ranges of lines from a surge point, and the text lines before it, to the next dive point.
+
+    If no window passes the surge threshold, the range with the largest sum.
+    """
+    upto = [0, *accumulate(size)]
+    sums = [upto[min(i + width, len(size))] - upto[i] for i in range(len(size))]
+    ranges, at = [], 0
+    while at < len(size):
+        if not size[at]:
+            at += 1
             continue
-        noise, article = state()
-        article = article or tag in ("article", "main")
-        stack.append((tag, noise or _noise(tag, found[4], article), article))
-    flush()
-    return out
+        dive = at
+        while dive < len(size) and sums[dive]:
+            dive += 1
+        last = dive
+        while not size[last - 1]:
+            last -= 1
+        ranges.append((max(sums[at:last]), at, last))
+        at = dive
+    kept = [r for r in ranges if r[0] > surge] or sorted(ranges, key=lambda r: (-r[0], r[1]))[:1]
+    return [(a, b) for _, a, b in kept]
 
 
 def main_text(page: str | None, width: int = 3, surge: int = 86) -> str:
-    """The main text: lines joined by two line ends; empty where the page has none.
-
-    A run of lines from a surge point to the next dive point is kept; if the curve never surges, the run
-    with the largest sum is. Where a page has article or main elements, lines outside them have length zero,
-    lines inside count whole, and any rise above zero is a surge, as those elements bound the article.
-    """
+    """The main text: lines joined by two line ends; empty where the page has none."""
     if not page:
         return ""
-    lines = blocks(page)
-    bounded = any(article and not noise for _, _, noise, article in lines)
-    if bounded:
-        size, surge = [len(text) if article and not noise else 0 for text, _, noise, article in lines], 0
+    lines = [(text, chars, article) for text, chars, noise, article in blocks(page) if not noise]
+    inside = [(text, len(text)) for text, _, article in lines if article]
+    if inside and sum(n for _, n in inside) >= sum(chars for _, chars, article in lines if not article):
+        lines = inside
     else:
-        size = [0 if noise else chars for _, chars, noise, _ in lines]
-    sums = [sum(size[i:i + width]) for i in range(len(size))]
-    runs, at = [], 0
-    while at < len(lines):
-        dive = at
-        while dive < len(lines) and size[dive] > 0:
-            dive += 1
-        if dive > at:
-            runs.append((at, dive, max(sums[at:dive])))
-        at = max(dive, at + 1)
-    kept = [r for r in runs if r[2] > surge] or sorted(runs, key=lambda r: -r[2])[:1]
-    return "\n\n".join(lines[j][0] for a, b, _ in kept for j in range(a, b))
+        lines = [(text, chars) for text, chars, _ in lines]
+    found = plateaus([n for _, n in lines], width, surge)
+    return "\n\n".join(lines[i][0] for a, b in found for i in range(a, b))
 
 
 def extract(pages: DataFrame, keys: list[str], html_col: str = "html", **how) -> DataFrame:
     """The key columns and `text`, the main text of each page.
 
-    Null and empty pages have an empty text. Repeated rows and null keys stay. Other columns are not read.
+    Null and empty pages have an empty text. Repeated rows and null keys stay. Other columns are not read. A
+    very long page takes time and memory in proportion, also one of open tags and quotes.
     """
     rows = pages.select(*keys, F.col(html_col).alias("__html"))
     schema = rows.select(*keys, F.lit("").alias("text")).schema

@@ -58,6 +58,6 @@ def test_rows_of_two_sources_and_null_ids_are_documents_of_their_own(spark):
     text = "w " * 128
     rows = [(1, text, "a"), (1, text, "b"), (-1, text, "a"), (None, text, "a"), (2, text, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {(r.doc_id, r.source) for r in mixing.mixed_rows(docs).collect()}
-    taken = {(r.doc_id, r.skey) for r in mixing.mix(docs).where("taken > 0").collect()}
+    got = {(r.doc_id, r.source) for r in M.mixed_rows(docs).collect()}
+    taken = {(r.doc_id, r.skey) for r in M.mix(docs).where("taken > 0").collect()}
     assert {(i, "1" if s is None else "0" + s) for i, s in got} == taken and {(1, "a"), (1, "b")} <= got
