@@ -33,8 +33,8 @@ from netweir.llm.common import CACHES, map_texts, slices, text_key
 
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BBq")
 ENTRIES = 400_000
-MARKS = ".,;:!?"
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: what a part starts with, letters, closing punctuation
+WORD = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
 
 
 def masked_crc(data: bytes) -> int:
@@ -83,8 +83,8 @@ class Encoder:
                 out += [data[x:y] for x, y in zip([0, *(c + self.width for c in cuts)], [*cuts, len(data)])]
         return out
 
-    def _learn(self, parts: list[str]) -> None:
-        """Keeps the ids of parts: as they are after a space; after a line end, with \\n first; at the start of
+    def _learn(self, parts: set[str]) -> None:
+        """Keeps the ids of parts without other white space: as they are after a space; after a line end, with \\n first; at the start of
         a text, with a space first.
 
         The tokenizer cuts a run of letters from closing punctuation. Most parts are such runs, which go to
@@ -93,32 +93,23 @@ class Encoder:
         """
         model, known, code, space, tails, other = self.tokenizer.model.tokenize, self.known, self.code, self.space, self.tails, []
         for part in parts:
-            first = part[0]
-            if first in " \n":
-                word = part[1:]
-                body = word.rstrip(MARKS)
-                if not LETTERS(body):
-                    other.append(part)
-                    continue
+            found = WORD(part)
+            if not found:
+                other.append(part)
+                continue
+            lead, body, tail = found.groups()
+            ids = None if lead else known.get(body)
+            if ids is None:
                 mapped = body if body.isascii() else "".join([self.shown[x] for x in body.encode()])
-                ids = array(code, [t.id for t in model(mapped)]).tobytes()
-                if first == "\n":
-                    ids = self.line + ids
-            else:
-                word, body = part, part.rstrip(MARKS)
-                if not LETTERS(body):
-                    other.append(part)
-                    continue
-                ids = known.get(body)
-                if ids is None:
-                    mapped = body if body.isascii() else "".join([self.shown[x] for x in body.encode()])
-                    ids = known[body] = array(code, [t.id for t in model(space + mapped)]).tobytes()
-            if len(body) < len(word):
-                tail = word[len(body):]
+                ids = array(code, [t.id for t in model(mapped if lead else space + mapped)]).tobytes()
+                if not lead:
+                    known[body] = ids
+            if tail:
                 if tail not in tails:
                     tails[tail] = self._whole(tail)
                 ids += tails[tail]
-            known[part] = ids
+            known[part] = self.line + ids if lead == "\n" else ids
+        other = [p for p in other if (p[1:] if p[:1] in (" ", "\n") else p).split() == [p.lstrip(" \n")]]
         bare = [p[1:] if p[0] in " \n" else " " + p for p in other]
         for part, ids in zip(other, self._each(bare)):
             known[part] = self.line + ids if part[0] == "\n" else ids
@@ -138,7 +129,7 @@ class Encoder:
         ids = list(map(self.known.get, parts))
         new = [j for j, v in enumerate(ids) if v is None]
         fresh = {parts[j] for j in new}
-        self._learn([p for p in fresh if (p[1:] if p[:1] in (" ", "\n") else p).split() == [p.lstrip(" \n")]])
+        self._learn(fresh)
         odd = set()
         for j in new:
             ids[j] = self.known.get(parts[j])
