@@ -219,9 +219,13 @@ def drift_rates(spark, sf):
         "feature", "observed", "missing_rate", "invalid_rate", "derived_rate"))
 
 
-@query("drift_status", f"""WITH {KS_REF}, t AS (SELECT count(*) AS observed, count(*) FILTER (quantity < 2) AS rejected FROM features)
-SELECT 'CRITICAL' AS status, 'invalid rate raised; drifted share above policy' AS reasons, observed, rejected, round(rejected / CAST(observed AS DOUBLE), 6) AS invalid_rate, CAST(0 AS BIGINT) AS badly_missing,
-  (SELECT count(*) FILTER (ks_statistic > 0.05) FROM ks) AS drifted_features, (SELECT avg(CASE WHEN ks_statistic > 0.05 THEN 1.0 ELSE 0 END) FROM ks) AS drifted_fraction FROM t""")
+@query("drift_status", f"""WITH {KS_REF}, t AS (SELECT count(*) AS observed, count(*) FILTER (quantity < 2) AS rejected FROM features),
+d AS (SELECT count(*) FILTER (ks_statistic > 0.05) AS drifted_features, avg(CASE WHEN ks_statistic > 0.05 THEN 1.0 ELSE 0 END) AS drifted_fraction FROM ks),
+x AS (SELECT *, rejected / CAST(observed AS DOUBLE) AS bad FROM t, d)
+SELECT CASE WHEN bad > 0.05 OR drifted_fraction > 0.2 THEN 'CRITICAL' WHEN bad > 0.01 OR drifted_fraction > 0.05 THEN 'WARNING' ELSE 'NORMAL' END AS status,
+  coalesce(nullif(concat_ws('; ', CASE WHEN bad > 0.05 THEN 'invalid rate critical' WHEN bad > 0.01 THEN 'invalid rate raised' END,
+    CASE WHEN drifted_fraction > 0.2 THEN 'drifted share above policy' WHEN drifted_fraction > 0.05 THEN 'drifted share above calibration' END), ''), 'within calibrated no-drift bounds') AS reasons,
+  observed, rejected, round(bad, 6) AS invalid_rate, CAST(0 AS BIGINT) AS badly_missing, drifted_features, drifted_fraction FROM x""")
 def drift_status(spark, sf):
     base, live = sides(spark, sf)
     report = D.ks_vs_reference(live, reference(base)).withColumns({

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netweir.operators import anomaly as A
 from netweir.operators import evaluate as E
 from netweir.operators import models as M
+from netweir.operators import profile as P
 from netweir.operators import validate as V
 from netweir.plans import training as T
 from netweir.plans.catalog import ctes
@@ -32,12 +33,12 @@ def _scored_classes(spark, sf, train):
 
 @query("train_forest")
 def train_forest(spark, sf):
-    return _scored_classes(spark, sf, lambda v: M.train_forest(v, trees=5, depth=4))
+    return _scored_classes(spark, sf, lambda v: M.train_forest(v))
 
 
 @query("train_mlp")
 def train_mlp(spark, sf):
-    return _scored_classes(spark, sf, lambda v: M.train_mlp(v, 64, rounds=5))
+    return _scored_classes(spark, sf, lambda v: M.train_mlp(v, 64))
 
 
 @query("train_boosted_binary")
@@ -63,24 +64,23 @@ def benign(spark, sf):
 
 @query("isolation_forest")
 def isolation_forest(spark, sf):
-    return A.fit_isolation_forest(benign(spark, sf), src.FEATURE_COLUMNS, "row_id", 42, trees=20, sample=64).select(
+    return A.fit_isolation_forest(benign(spark, sf), src.FEATURE_COLUMNS, "row_id", 42).select(
         "tree", F.size("feature").alias("nodes"))
 
 
 def forest(spark, sf):
-    return A.fit_isolation_forest(benign(spark, sf), src.FEATURE_COLUMNS, "row_id", 42, trees=20, sample=64)
+    return A.fit_isolation_forest(benign(spark, sf), src.FEATURE_COLUMNS, "row_id", 42)
 
 
 @query("isolation_score")
 def isolation_score(spark, sf):
-    return A.isolation_score(src.features(spark, sf), forest(spark, sf), src.FEATURE_COLUMNS, ["row_id", "label"], 64)
+    return A.isolation_score(src.features(spark, sf), forest(spark, sf), src.FEATURE_COLUMNS, ["row_id", "label"])
 
 
 @query("attribute_by_median")
 def attribute_by_median(spark, sf):
-    medians = {"quantity": 25.0, "extendedprice": 50000.0, "discount": 0.05, "tax": 0.04}
-    return A.attribute_by_median(src.features(spark, sf), forest(spark, sf), src.FEATURE_COLUMNS, medians, "row_id",
-                                 top=2, sample=64)
+    medians = {r["feature"]: r["p50"] for r in P.feature_reference(benign(spark, sf), src.FEATURE_COLUMNS).select("feature", "p50").collect()}
+    return A.attribute_by_median(src.features(spark, sf), forest(spark, sf), src.FEATURE_COLUMNS, medians, "row_id", top=2)
 
 
 @query("calibrate_anomaly", f"""WITH {SCORED}, b AS (SELECT s FROM scored WHERE NOT attack), q AS (SELECT quantile_cont(s, {RATES}) AS t, quantile_cont(s, {GRID}) AS g FROM b)

@@ -317,9 +317,11 @@ def capture_profile(spark, sf):
     return V.capture_profile(src.capture(spark, sf), src.VALIDATED_FEATURES)
 
 
-@query("capture_verdict", f"""WITH {times_sql('0')}, {PROFILE_STATUS}
-SELECT count(*) FILTER (status = 'present') AS present, count(*) FILTER (status = 'derivable') AS derivable, count(*) FILTER (status = 'constant_zero') AS constant_zero,
-  count(*) FILTER (status = 'unobtainable') AS unobtainable, 'BLOCKED' AS verdict, (SELECT count(us) FROM parsed) AS exact_times, (SELECT count(*) - count(us) FROM parsed) AS fallback_times FROM status""")
+@query("capture_verdict", f"""WITH {times_sql('0')}, {PROFILE_STATUS},
+n AS (SELECT count(*) FILTER (status = 'present') AS present, count(*) FILTER (status = 'derivable') AS derivable,
+  count(*) FILTER (status = 'constant_zero') AS constant_zero, count(*) FILTER (status = 'unobtainable') AS unobtainable FROM status)
+SELECT *, CASE WHEN unobtainable > 0 THEN 'BLOCKED' WHEN derivable + constant_zero > 0 THEN 'PASS_WITH_DERIVATION' ELSE 'PASS' END AS verdict,
+  (SELECT count(us) FROM parsed) AS exact_times, (SELECT count(*) - count(us) FROM parsed) AS fallback_times FROM n""")
 def capture_verdict(spark, sf):
     timed = C.resolve_capture_time(src.time_texts(spark, sf).withColumnRenamed("text", "timestamp"), "ingested_at")
     return V.capture_verdict(V.capture_profile(src.capture(spark, sf), src.VALIDATED_FEATURES), timed)

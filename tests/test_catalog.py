@@ -24,8 +24,8 @@ def test_entry(spark):
 
 
 # the SQL of these names facts of the sf0.01 data
-LARGER_ONLY = {"report_violations", "compare_classes", "drift_status", "compatibility_profile", "evidence_strata",
-               "capture_verdict", "class_distribution", "nearest_calibration"}
+LARGER_ONLY = {"report_violations", "compare_classes", "compatibility_profile", "evidence_strata",
+               "class_distribution"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - LARGER_ONLY))
