@@ -321,9 +321,35 @@ def prefix(once: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
     return once[np.argsort(rank, kind="stable")[:size]]
 
 
+BINS = 32
+
+
+def sketch(once: np.ndarray) -> np.ndarray:
+    """The least of the sorted hashes in each of BINS equal ranges, by its upper 31 bits; -1 where there is none."""
+    starts = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    if not len(once):
+        return np.full(BINS, -1, np.int32)
+    at = np.searchsorted(once, starts)
+    least = once[np.minimum(at, len(once) - 1)]
+    own = (at < len(once)) & (least >> np.uint64(64 - BINS.bit_length() + 1) == np.arange(BINS, dtype=np.uint64))
+    return np.where(own, (least >> np.uint64(33)).astype(np.int64), -1).astype(np.int32)
+
+
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree in half of the bins that either fills; pairs of the similarity mostly do.
+
+    Only for candidates that need not be complete.
+    """
+    both = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(
+        sketches.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: (x == y) & (x >= 0)), lambda z: z))
+    used = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: (x >= 0) | (y >= 0)), lambda z: z))
+    return both.where(2 * same >= used).select("a", "b")
+
+
 def word_set_prints(docs: DataFrame, text: str, prints: int, words: int, similarity: float) -> DataFrame:
-    """(k1, k2, fps, n, prefix): SimHashes of each text's set of words under several seeds, the number of
-    its distinct shingles, and the first of them, see prefix()."""
+    """(k1, k2, fps, n, prefix, sketch): SimHashes of each text's set of words under several seeds, the number
+    of its distinct shingles, the first of them, see prefix(), and a sketch of them."""
     rows = docs.select(*text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     seeds = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1) for i in range(prints)]
     common = common_shingles(docs, text, words)
@@ -331,17 +357,19 @@ def word_set_prints(docs: DataFrame, text: str, prints: int, words: int, similar
     def run(batches):
         memo = WordHashes()
         for batch in slices(batches, 2):
-            fps, sizes, firsts = [], [], []
+            fps, sizes, firsts, sketches = [], [], [], []
             for body in raw(batch.column(2)):
                 found = memo.of(body.lower().split())
                 once, own = np.unique(found), np.unique(shingle_hashes(found, words))
                 fps.append(np.array([majority([mix64(once ^ s)]) for s in seeds], np.uint64).view(np.int64))
                 sizes.append(len(own))
                 firsts.append(prefix(own, common, similarity).view(np.int64))
+                sketches.append(sketch(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int32()),
-                                              pa.array(firsts, pa.list_(pa.int64()))], ["k1", "k2", "fps", "n", "prefix"])
+                                              pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))],
+                                             ["k1", "k2", "fps", "n", "prefix", "sketch"])
 
-    return map_texts(rows, run, "k1 long, k2 long, fps array<long>, n int, prefix array<long>")
+    return map_texts(rows, run, "k1 long, k2 long, fps array<long>, n int, prefix array<long>, sketch array<int>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
@@ -452,8 +480,8 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarit
     changes in four or five. So each text has `prints` SimHashes of its words under different seeds, each in
     a trie of its own, and a pair is a candidate if one of them is within the budget. Texts of one
     fingerprint meet their least text, and tries give spanning forests, nearest first, so that a large group
-    has as many candidates as members. Candidates are confirmed by the Jaccard similarity of their distinct
-    shingles.
+    has as many candidates as members. Candidates whose sketches agree are confirmed by the Jaccard
+    similarity of their distinct shingles.
 
     What the tries leave comes from a prefix-filter join, which misses no pair: texts of different components
     that share one of their rarest shingles, first each with the least text of the shingle, then, in the
@@ -468,11 +496,12 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarit
         ends.withColumnsRenamed({"fp": "b", "rep": "y"}), ["space", "b"]).select("x", "y")
     inside = points.join(classes.where("n > 1").drop("n"), ["space", "fp"]).select(F.col("node").alias("x"), F.col("rep").alias("y"))
     pairs = across.unionByName(inside).where("x <> y").select(*_pair("x", "y")).distinct()
-    links = confirmed(docs, pairs, text, words, similarity)
+    sketches = printed.select(F.struct("k1", "k2").alias("node"), "sketch")
+    links = confirmed(docs, likely(pairs, sketches), text, words, similarity)
 
     texts = printed.select(F.struct("k1", "k2").alias("node"), "n", "prefix")
     left = staged(apart_points(_labelled(texts, components(links))))
-    links = links.unionByName(confirmed(docs, star_pairs(left), text, words, similarity))
+    links = links.unionByName(confirmed(docs, likely(star_pairs(left), sketches), text, words, similarity))
     left = staged(_apart(_labelled(left.drop("comp"), components(links))))
     return links.unionByName(confirmed(docs, open_pairs(left, similarity), text, words, similarity))
 
