@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from netweir.llm.common import CACHES, map_texts, slices, text_key
 
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BBq")
-ENTRIES = 400_000
+ENTRIES = 600_000
 #: what a part starts with, letters, closing punctuation
 WORD = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
 
@@ -47,7 +47,8 @@ class Encoder:
 
     A byte-level tokenizer cuts before a space that stands between two characters that are not white space,
     and on both sides of such a line end, whatever follows; so the ids of a text are those of its parts.
-    Texts with any other white space go to the tokenizer whole. `entries` bounds what is kept.
+    Texts with any other white space go to the tokenizer whole. About `entries` parts are kept, in two halves:
+    when the newer is full the older goes, and what is met again meanwhile moves to the newer.
     """
 
     def __init__(self, path: str, entries: int = ENTRIES):
@@ -58,6 +59,7 @@ class Encoder:
         self.type = np.dtype(f"<u{self.width}")
         self.entries = entries
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.code = "H" if self.width == 2 else "I"
         # the characters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on
@@ -91,14 +93,19 @@ class Encoder:
         the tokenizer's model straight away and are kept without the punctuation as well; the others pass its
         whole pipeline.
         """
-        model, known, code, space, tails, other = self.tokenizer.model.tokenize, self.known, self.code, self.space, self.tails, []
+        model, known, older, code, space, tails, other = (self.tokenizer.model.tokenize, self.known, self.older, self.code, self.space,
+                                                          self.tails, [])
         for part in parts:
+            ids = older.get(part)
+            if ids is not None:
+                known[part] = ids
+                continue
             found = WORD(part)
             if not found:
                 other.append(part)
                 continue
             lead, body, tail = found.groups()
-            ids = None if lead else known.get(body)
+            ids = None if lead else known.get(body) or older.get(body)
             if ids is None:
                 mapped = body if body.isascii() else "".join([self.shown[x] for x in body.encode()])
                 ids = array(code, [t.id for t in model(mapped if lead else space + mapped)]).tobytes()
@@ -123,9 +130,8 @@ class Encoder:
                 own[0] = " " + own[0]
                 parts += own
             ends.append(len(parts))
-        if len(self.known) > self.entries:
-            self.known.clear()
-            self.tails.clear()
+        if 2 * len(self.known) > self.entries:
+            self.older, self.known, self.tails = self.known, {}, {}
         ids = list(map(self.known.get, parts))
         new = [j for j, v in enumerate(ids) if v is None]
         fresh = {parts[j] for j in new}
