@@ -5,7 +5,8 @@ A word is a run of bytes other than space and \\x09-\\x0D, which is what bytes.s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,34 @@ def staged(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A form of staged() for the steps of a job, which leaves nothing behind.
+
+    Spark removes a step's shuffle files when its table is written, and the tables go at the end of the block,
+    so what is still to be read then must have been written outside of it.
+    """
+    folder, cleanup = shared_folder(spark, "stages"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    written = []
+
+    def stage(frame: DataFrame) -> DataFrame:
+        path = f"{folder}/{len(written)}"
+        written.append(path)
+        before = spark.conf.get(cleanup, "false")
+        spark.conf.set(cleanup, "true")
+        try:
+            frame.write.parquet(path)
+        finally:
+            spark.conf.set(cleanup, before)
+        return spark.read.parquet(path)
+
+    try:
+        yield stage
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(frame: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
     """A written frame for the small side of a join: broadcast if its counted rows fit `most` bytes, else as it is.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import Bitmap, WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, shingle_hashes, slices, small_side, staged, text_key
+from netweir.llm.common import Bitmap, WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, shingle_hashes, slices, small_side, staged, staging, text_key
 
 CHUNK = 1 << 16
 
@@ -172,12 +172,12 @@ def _split(rows: DataFrame, bits: int, budget: int) -> DataFrame:
     return dealt.select(F.xxhash64("key", first, second).alias("key"), meta.cast("int").alias("meta"), "fp")
 
 
-def trie_links(fps: DataFrame, budget: int = 2, limit: int = 4096) -> DataFrame:
+def trie_links(fps: DataFrame, budget: int = 2, limit: int = 4096, stage=checkpointed) -> DataFrame:
     """Links (space, a, b) between distinct fingerprints of a space that are at most `budget` bits apart.
 
     fps: distinct rows (space, fp), a small integer and a long; spaces are separate tries. Links are a
     spanning forest within each subtree pair, so they have the connected components of all links. An empty
-    table has no links.
+    table has no links. `stage` writes what later steps read again.
     """
     blocks = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.lit((low + width) % 64).alias("start"),
                                           F.lit(low).alias("low"), F.lit((1 << width) - 1).alias("mask"))
@@ -189,14 +189,14 @@ def trie_links(fps: DataFrame, budget: int = 2, limit: int = 4096) -> DataFrame:
     for step in range(9):
         sizes = pending.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(_field("side") != RIGHT).alias("na"),
                                            F.count_if(_field("side") != LEFT).alias("nb"))
-        sizes = checkpointed(sizes.where("n > 1 AND na > 0 AND nb > 0").select("key", "n"))
+        sizes = stage(sizes.where("n > 1 AND na > 0 AND nb > 0").select("key", "n"))
         fits = sizes.where(F.col("n") <= limit) if step < 8 else sizes
         here = _walk(pending.join(fits.select("key"), "key"), budget)
         found = here if found is None else found.unionByName(here)
         large = sizes.where(F.col("n") > limit).select("key")
         if step == 8 or large.isEmpty():
             return found
-        pending = checkpointed(_split(pending.join(large, "key"), 6, budget))
+        pending = stage(_split(pending.join(large, "key"), 6, budget))
 
 
 def _walk(rows: DataFrame, budget: int) -> DataFrame:
@@ -232,17 +232,17 @@ def _walk(rows: DataFrame, budget: int) -> DataFrame:
 
 # --- components --------------------------------------------------------------------------------------
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, stage=checkpointed) -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b); nodes without a link are absent.
 
-    Rounds of the large-star and small-star steps; each round is written to the checkpoint folder, and the
-    driver sees one count and one checksum of it.
+    Rounds of the large-star and small-star steps; each round is written to the checkpoint folder by `stage`,
+    and the driver sees one count and one checksum of it.
     """
     def marks(frame):
         return frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                         .distinct())
+    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                  .distinct())
     before = marks(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -252,7 +252,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = checkpointed(small)
+        edges = stage(small)
         after = marks(edges)
         if after == before:
             break
@@ -399,33 +399,36 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> Da
     return found.join(small_side(nodes, 32), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts, given as structs of their keys, whose word shingles have the similarity."""
-    pairs = staged(pairs)
-    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*"))
-    sets = staged(shingle_sets(docs, nodes, text, words).select(F.struct("k1", "k2").alias("node"), "shingles"))
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
-        sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return staged(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+def confirmed(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float, keep) -> DataFrame:
+    """The pairs (a, b) of texts, given as structs of their keys, whose word shingles have the similarity.
+
+    pairs: a written table. `keep` writes the result; the sets and what else is written on the way are removed.
+    """
+    with staging(docs.sparkSession) as stage:
+        nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*"))
+        sets = stage(shingle_sets(docs, nodes, text, words).select(F.struct("k1", "k2").alias("node"), "shingles"))
+        both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
+            sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return keep(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
 
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, roots: DataFrame, stage) -> DataFrame:
     """rows (node, ...) with `comp`, a hash of the root of the node's component."""
-    return rows.join(small_side(staged(roots), 80), "node", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "node"))).drop("root")
+    return rows.join(small_side(stage(roots), 80), "node", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "node"))).drop("root")
 
 
-def apart_points(texts: DataFrame) -> DataFrame:
+def apart_points(texts: DataFrame, stage) -> DataFrame:
     """(node, comp, n, place, hash) for each prefix shingle that texts of different components have.
 
     texts: node, comp, n, prefix. Most shingles are of one component; they are left out by a bitmap of the
     others before the texts' keys are attached, and the few that it lets pass by a join.
     """
-    hashes = staged(texts.select(F.explode("prefix").alias("hash"), "comp").groupBy("hash").agg(
+    hashes = stage(texts.select(F.explode("prefix").alias("hash"), "comp").groupBy("hash").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hash"))
     shared = texts.sparkSession.sparkContext.broadcast(Bitmap(hashes))
 
@@ -443,27 +446,27 @@ def apart_points(texts: DataFrame) -> DataFrame:
     return found.join(small_side(hashes, 16), "hash").select(F.struct("k1", "k2").alias("node"), "comp", "n", "place", "hash")
 
 
-def _apart(points: DataFrame) -> DataFrame:
+def _apart(points: DataFrame, stage) -> DataFrame:
     """The points (hash, comp, ...) of hashes that more than one component has."""
     several = points.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return points.join(staged(several.select("hash")), "hash")
+    return points.join(stage(several.select("hash")), "hash")
 
 
-def star_pairs(points: DataFrame) -> DataFrame:
+def star_pairs(points: DataFrame, stage) -> DataFrame:
     """Each text with the least text of every shingle in its prefix, where their components differ."""
-    least = staged(points.groupBy("hash").agg(F.min(F.struct("node", "comp")).alias("x")))
+    least = stage(points.groupBy("hash").agg(F.min(F.struct("node", "comp")).alias("x")))
     return points.join(least, "hash").where("comp <> x.comp").select(*_pair("node", "x.node")).distinct()
 
 
-def open_pairs(points: DataFrame, similarity: float) -> DataFrame:
+def open_pairs(points: DataFrame, similarity: float, stage) -> DataFrame:
     """All pairs of texts in different components that can have the similarity.
 
     They share a shingle of both prefixes, their sizes allow it, and so do the shingles from the shared one
     on, which holds for the first that they share. The texts of a shingle's largest component are not
     paired with each other: one side of each pair is from another component.
     """
-    sizes = staged(points.groupBy("hash", "comp").agg(F.count(F.lit(1)).alias("texts")))
-    points = points.join(staged(sizes.groupBy("hash").agg(F.max_by("comp", F.struct("texts", "comp")).alias("most"))), "hash")
+    sizes = stage(points.groupBy("hash", "comp").agg(F.count(F.lit(1)).alias("texts")))
+    points = points.join(stage(sizes.groupBy("hash").agg(F.max_by("comp", F.struct("texts", "comp")).alias("most"))), "hash")
     few = points.where("comp <> most").select("hash", *[F.col(c).alias(f"__{c}") for c in ("comp", "node", "n", "place")])
     rest = F.least(F.col("n") - F.col("place"), F.col("__n") - F.col("__place"))
     near = (F.least("n", "__n") >= similarity * F.greatest("n", "__n") - 1e-6) & (
@@ -487,23 +490,35 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarit
     that share one of their rarest shingles, first each with the least text of the shingle, then, in the
     components that this leaves, all pairs.
     """
-    printed = staged(word_set_prints(docs, text, prints, words, similarity).dropDuplicates(["k1", "k2"]))
+    how = text, words, similarity
+    with staging(docs.sparkSession) as stage:
+        printed = stage(word_set_prints(docs, text, prints, words, similarity).dropDuplicates(["k1", "k2"]))
+        sketches = printed.select(F.struct("k1", "k2").alias("node"), "sketch")
+        with staging(docs.sparkSession) as passing:
+            pairs = stage(likely(trie_candidates(printed, budget, passing), sketches))
+        links = confirmed(docs, pairs, *how, stage)
+
+        texts = printed.select(F.struct("k1", "k2").alias("node"), "n", "prefix")
+        with staging(docs.sparkSession) as passing:
+            left = stage(apart_points(_labelled(texts, components(links, passing), passing), passing))
+            pairs = stage(likely(star_pairs(left, passing), sketches))
+        links = links.unionByName(confirmed(docs, pairs, *how, stage))
+        with staging(docs.sparkSession) as passing:
+            left = passing(_apart(_labelled(left.drop("comp"), components(links, passing), passing), passing))
+            pairs = stage(open_pairs(left, similarity, passing))
+        return staged(links.unionByName(confirmed(docs, pairs, *how, stage)))
+
+
+def trie_candidates(printed: DataFrame, budget: int, stage) -> DataFrame:
+    """Pairs (a, b) of texts with a fingerprint within the budget, as a spanning forest of each trie."""
     points = printed.select(F.struct("k1", "k2").alias("node"), F.posexplode("fps").alias("space", "fp"))
-    classes = checkpointed(points.groupBy("space", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
-    links = trie_links(classes.select("space", "fp"), budget)
+    classes = stage(points.groupBy("space", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
+    links = trie_links(classes.select("space", "fp"), budget, stage=stage)
     ends = classes.select("space", "fp", "rep")
     across = links.join(ends.withColumnsRenamed({"fp": "a", "rep": "x"}), ["space", "a"]).join(
         ends.withColumnsRenamed({"fp": "b", "rep": "y"}), ["space", "b"]).select("x", "y")
     inside = points.join(classes.where("n > 1").drop("n"), ["space", "fp"]).select(F.col("node").alias("x"), F.col("rep").alias("y"))
-    pairs = across.unionByName(inside).where("x <> y").select(*_pair("x", "y")).distinct()
-    sketches = printed.select(F.struct("k1", "k2").alias("node"), "sketch")
-    links = confirmed(docs, likely(pairs, sketches), text, words, similarity)
-
-    texts = printed.select(F.struct("k1", "k2").alias("node"), "n", "prefix")
-    left = staged(apart_points(_labelled(texts, components(links))))
-    links = links.unionByName(confirmed(docs, likely(star_pairs(left), sketches), text, words, similarity))
-    left = staged(_apart(_labelled(left.drop("comp"), components(links))))
-    return links.unionByName(confirmed(docs, open_pairs(left, similarity), text, words, similarity))
+    return stage(across.unionByName(inside).where("x <> y").select(*_pair("x", "y")).distinct())
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -514,7 +529,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
     k1, k2 = text_key(F.col(text))
     node = F.struct("k1", "k2").alias("node")
-    roots = components(similar_texts(docs, text, **how))
+    roots = staged(components(similar_texts(docs, text, **how)))
     rows = docs.select(*text_key(F.col(text)), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(-1)).alias("id"))
     rows = rows.groupBy("k1", "k2", "none", "id").agg(F.count(F.lit(1)).alias("rows")).withColumn("node", node)
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
