@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from netweir.functions import ordered
 from netweir.operators import validate
 
 
@@ -18,3 +19,12 @@ def test_validation_runs_as_compiled_columns(spark):
     assert found[3]["missing_features"] == ["Total Fwd Packets", "Flow Duration", "Subflow Fwd Packets"]
     loose = validate.validate(df, ["Total Fwd Packets", "Flow Duration"], policy=validate.PERMISSIVE).where("id = 1 AND valid")
     assert loose.select("vector", "zero_filled_features").first() == ([10.0, 0.0], ["Flow Duration"])
+
+
+def test_quantiles_carry_no_ranks_with_the_rows(spark):
+    df = spark.range(2000).select(F.lit("f").alias("feature"), (F.col("id") % 3).cast("double").alias("value"))
+    found = ordered.exact_quantiles(df, ["feature"], "value", [i / 100 for i in range(101)])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    by_value = [line for line in plan.splitlines() if "Aggregate" in line and "_v" in line.split("functions=")[0]]
+    assert by_value and not any("_ranks" in line or "SortAggregate" in line for line in by_value)
+    assert found.first()["quantiles"] == [df.approxQuantile("value", [0.0], 0.0)[0]] * 34 + [1.0] * 33 + [2.0] * 34
