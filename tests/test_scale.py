@@ -1,9 +1,12 @@
 """What a step may move or hold, on small tables."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from netweir.functions import ordered
-from netweir.operators import validate
+from netweir.operators import balance, validate
 
 
 def test_validation_runs_as_compiled_columns(spark):
@@ -28,3 +31,15 @@ def test_quantiles_carry_no_ranks_with_the_rows(spark):
     by_value = [line for line in plan.splitlines() if "Aggregate" in line and "_v" in line.split("functions=")[0]]
     assert by_value and not any("_ranks" in line or "SortAggregate" in line for line in by_value)
     assert found.first()["quantiles"] == [df.approxQuantile("value", [0.0], 0.0)[0]] * 34 + [1.0] * 33 + [2.0] * 34
+
+
+def test_neighbours_need_the_same_memory_for_larger_classes():
+    points = np.random.default_rng(1).normal(size=(3000, 64))
+    tracemalloc.start()
+    order, distance = balance.nearest_points(points, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    exact = np.sqrt(((points[7] - points) ** 2).sum(axis=1))
+    assert order[7].tolist() == np.argsort(exact, kind="stable")[1:6].tolist()
+    assert distance[7].tolist() == np.sort(exact)[1:6].tolist()
