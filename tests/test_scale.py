@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from netweir.functions import ordered
-from netweir.operators import balance, validate
+from netweir.operators import balance, drift, validate
 
 
 def test_validation_runs_as_compiled_columns(spark):
@@ -43,3 +43,25 @@ def test_neighbours_need_the_same_memory_for_larger_classes():
     exact = np.sqrt(((points[7] - points) ** 2).sum(axis=1))
     assert order[7].tolist() == np.argsort(exact, kind="stable")[1:6].tolist()
     assert distance[7].tolist() == np.sort(exact)[1:6].tolist()
+
+
+def test_a_drift_report_passes_its_rows_twice(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(len(batch))
+            yield batch
+
+    values = spark.range(400, numPartitions=1).select((F.col("id") * F.col("id") % 397 + 1).cast("double").alias("v")).mapInPandas(
+        counted, "v double")
+    checks = F.array(F.struct(F.lit("f").alias("feature"), F.col("v").alias("value"), F.lit("raw").alias("outcome")))
+    validated = values.select(checks.alias("checks"), (F.col("v") > 0).alias("valid"), F.array(F.lit("f")).alias("out_of_range_features"))
+    reference = spark.createDataFrame([("f", [float(4 * i) for i in range(101)])], "feature string, quantiles array<double>")
+    limits = spark.createDataFrame([(200, "f", 0.2)], "window_size int, feature string, p95 double")
+    report = drift.drift_report(validated, reference, limits).first()
+    assert passed.value <= 2 * 400
+    exact = np.array([i * i % 397 + 1 for i in range(400)], float)
+    assert report["observed"] == report["accepted"] == 400 and report["out_of_range_rate"] == 1
+    assert np.allclose([report["mean"], report["std"]], [exact.mean(), exact.std(ddof=1)])
+    assert [report["p25"], report["p50"], report["p75"]] == np.quantile(exact, [0.25, 0.5, 0.75]).tolist()
