@@ -1,12 +1,15 @@
 """What a step may move or hold, on small tables."""
 
 import tracemalloc
+import types
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from netweir.functions import ordered
 from netweir.operators import balance, drift, validate
+from netweir.streaming import correlate
 
 
 def test_validation_runs_as_compiled_columns(spark):
@@ -65,3 +68,46 @@ def test_a_drift_report_passes_its_rows_twice(spark):
     assert report["observed"] == report["accepted"] == 400 and report["out_of_range_rate"] == 1
     assert np.allclose([report["mean"], report["std"]], [exact.mean(), exact.std(ddof=1)])
     assert [report["p25"], report["p50"], report["p75"]] == np.quantile(exact, [0.25, 0.5, 0.75]).tolist()
+
+
+class Entries(dict):
+    """A map state that counts its calls."""
+    calls = 0
+
+    def exists(self):
+        return bool(self)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(self.items())
+
+
+def test_incident_state_is_called_per_key_and_not_per_incident():
+    state, timers = Entries(), []
+    handle = types.SimpleNamespace(getMapState=lambda *schema: state, registerTimer=timers.append)
+    processor = correlate.IncidentProcessor(10, 1600, None)
+    processor.init(handle)
+    rows = pd.DataFrame([(f"k{k}", s * 10**6, s * 10**6, 1, 0, [f"d{s}"], False, None, None) for k in range(50) for s in (0, 5, 150, 200, 300)],
+                        columns=["correlation_key", "first_us", "last_us", "n", "worst", "destinations", "overflow", "incident_no", "status"])
+    out = pd.concat(processor.handleInputRows((1,), iter([rows]), None))
+    assert len(out) == 200 and out["n"].sum() == 250 and state.calls == 50 and len(timers) == 1
+    assert timers[0] >= 1605 * 1000 and timers[0] <= 1705 * 1000
+    list(processor.handleExpiredTimer((1,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: timers[0]), None))
+    assert all([facts[0] for facts in entry[2]] == [2, 3, 4] for entry in state.values()) and timers[1] >= 1700 * 1000
+    late = rows.iloc[:1].assign(first_us=301 * 10**6, incident_no=1.0, status="RESOLVED", n=0)
+    [last] = processor.handleInputRows((1,), iter([late]), None)
+    assert last.iloc[0]["status"] == "RESOLVED" and last["n"].isna().all() and state["k0",][0] == 4
