@@ -7,8 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from netweir.functions import ordered
-from netweir.operators import balance, drift, validate
+from netweir.functions import contract, ordered
+from netweir.operators import balance, drift, profile, validate
 from netweir.streaming import correlate
 
 
@@ -70,6 +70,26 @@ def test_a_drift_report_passes_its_rows_twice(spark):
     assert [report["p25"], report["p50"], report["p75"]] == np.quantile(exact, [0.25, 0.5, 0.75]).tolist()
 
 
+def test_a_compatibility_profile_parses_its_texts_twice(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(len(batch))
+            yield batch
+
+    texts = spark.range(300, numPartitions=1).select(F.concat(F.lit(" "), F.col("id").cast("string")).alias("raw"))
+    column = {v: k for k, v in contract.CAPTURE_TO_CONTRACT.items()}["Flow Duration"]
+    capture = texts.mapInPandas(counted, "raw string").select(F.when(F.col("raw") != " 7", F.col("raw")).otherwise("1e999").alias(column))
+    reference = spark.createDataFrame([("Flow Duration", 0.0, 9.0, 0.5, 0.0)], "feature string, p01 double, p99 double, zero_fraction double, negative_fraction double")
+    row = profile.compatibility_profile(capture, reference, ["Flow Duration"], ["Flow Duration"]).first()
+    exact = np.array([i for i in range(300) if i != 7], float)
+    assert passed.value <= 2 * 300 and (row["observed"], row["n_valid"], row["live_max"]) == (300, 299, 299.0)
+    assert np.allclose([row[c] for c in ("live_mean", "live_zero_fraction", "live_p01", "live_p50", "live_p99")],
+                       [exact.mean(), 1 / 299, *np.quantile(exact, [0.01, 0.5, 0.99])])
+    assert (row["flags"], row["verdict"]) == ("RANGE_SHIFT,ZERO_SHIFT", "OK_WITH_INVALIDS")
+
+
 class Entries(dict):
     """A map state that counts its calls."""
     calls = 0
