@@ -399,18 +399,39 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> Da
     return found.join(small_side(nodes, 32), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float, keep) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float, keep, spanning: bool = False) -> DataFrame:
     """The pairs (a, b) of texts, given as structs of their keys, whose word shingles have the similarity.
 
     pairs: a written table. `keep` writes the result; the sets and what else is written on the way are removed.
+    `spanning` is for pairs many of which join the same texts: of each text one pair comes first, then those
+    whose texts are still apart. The pairs left out join no more, so the components are those of all pairs.
     """
     with staging(docs.sparkSession) as stage:
-        nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*"))
+        ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct())
+        nodes = stage(ends.distinct().select("node.*"))
         sets = stage(shingle_sets(docs, nodes, text, words).select(F.struct("k1", "k2").alias("node"), "shingles"))
-        both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
-            sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return keep(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+        def similar(some: DataFrame) -> DataFrame:
+            both = some.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
+                sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+            shared = F.size(F.array_intersect("sa", "sb"))
+            return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+        if not spanning:
+            return keep(similar(pairs))
+        first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        links = stage(similar(first))
+        rest = stage(still_apart(pairs.join(first, ["a", "b"], "left_anti"), links, stage))
+        return keep(links.unionByName(similar(rest)))
+
+
+def still_apart(pairs: DataFrame, links: DataFrame, stage) -> DataFrame:
+    """The pairs (a, b) that the links leave in different components."""
+    roots = small_side(stage(components(links, stage)), 80)
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.withColumnsRenamed({"node": end, "root": f"root_{end}"}), end, "left").withColumn(
+            f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.where("root_a <> root_b").select("a", "b")
 
 
 def _pair(x: str, y: str) -> list:
@@ -496,7 +517,7 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = 5, similarit
         sketches = printed.select(F.struct("k1", "k2").alias("node"), "sketch")
         with staging(docs.sparkSession) as passing:
             pairs = stage(likely(trie_candidates(printed, budget, passing), sketches))
-        links = confirmed(docs, pairs, *how, stage)
+        links = confirmed(docs, pairs, *how, stage, spanning=True)
 
         texts = printed.select(F.struct("k1", "k2").alias("node"), "n", "prefix")
         with staging(docs.sparkSession) as passing:

@@ -157,3 +157,24 @@ def test_similar_texts_behind_unlike_representatives(spark):
         docs += [body, body[1:] + body[:1]]
     frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     assert {x.doc_id for x in S.one_of_each_group(frame).collect()} == {i for i in range(len(docs)) if i % 32 != 31}
+
+
+def test_pairs_of_joined_texts_are_not_confirmed_again(spark, monkeypatch):
+    """A group of n texts with all its n * (n - 1) / 2 candidates confirms about one pair a text."""
+    import random
+    r, docs = random.Random(8), []
+    for group in range(3):
+        body = new_words(r, 60)
+        docs += [(" ".join(body + ["end%d" % i]), group) for i in range(12)] + [(" ".join(new_words(r, 60)), -1 - group)]
+    frame = spark.createDataFrame(docs, "text string, g int")
+    keyed = frame.select(F.struct(*S.text_key(F.col("text"))).alias("node"), "g")
+    ends = keyed.select(F.col("node").alias("a"), "g").where("g >= 0").join(keyed.select(F.col("node").alias("b"), F.col("g").alias("h")))
+    pairs = S.staged(ends.where("a < b AND g IN (h, -1 - h)").select("a", "b"))
+    left = []
+    apart = S.still_apart
+    monkeypatch.setattr(S, "still_apart", lambda *given: (left.append(apart(*given)), left[-1])[1])
+    whole = S.confirmed(frame, pairs, "text", 5, 0.8, S.staged)
+    links = S.confirmed(frame, pairs, "text", 5, 0.8, S.staged, spanning=True)
+    assert whole.count() == 3 * 66 and 33 <= links.count() < 2 * 36
+    assert sorted(S.components(links).collect()) == sorted(S.components(whole).collect())
+    assert links.join(whole, ["a", "b"], "left_anti").isEmpty() and len(left) == 1
