@@ -44,3 +44,41 @@ def test_calibration_reads_its_rows_a_few_times_and_draws_the_same(spark):
     offer = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), F.lit("50"), "row_id")), 1, 8), 16, 10).cast("long") % 5).cast("int")
     plain = rows.withColumn("draw_no", offer).where("draw_no = 3").orderBy(key).limit(50)
     assert {r.row_id for r in plain.collect()} == {r.row_id for r in drawn.where("window_size = 50 AND draw_no = 3").collect()}
+
+
+def test_boosting_reads_its_rows_as_often_whatever_the_rounds_and_classes(spark):
+    for several in (False, True):
+        rows = models.assemble(labelled(spark, 2000), ["f0", "f1"])
+        if not several:
+            rows = rows.withColumn("label", F.when(F.col("label") == "BENIGN", "BENIGN").otherwise("ATTACK"))
+        for rounds in (1, 4):
+            some, passed = counted(spark, rows)
+            fitted = models.train_boosted(some, rounds=rounds, depth=3)
+            assert passed.value <= 4 * 2000
+        scored = models.score(rows, fitted)
+        assert scored.columns == [*rows.columns, "predicted_label", "confidence"]
+        assert scored.where("label <> predicted_label").count() == 0
+
+
+def test_boosting_on_cells_gives_the_trees_of_all_rows(spark):
+    noisy = F.when(F.col("id") % 13 < 3, F.col("id") % 2).otherwise((F.col("id") % 7 > 3).cast("long"))
+    rows = spark.range(3000).select(
+        F.when(noisy == 1, "ATTACK").otherwise("BENIGN").alias("label"),
+        F.array((F.col("id") % 7).cast("double"), (F.col("id") % 10 / 4).cast("double")).alias("vector"),
+        (F.col("id") % 3 + 1.0).alias("weight"))
+    for weight in (None, "weight"):
+        fitted = models.train_boosted(rows, rounds=3, depth=3, weight=weight)
+        plain = GBTClassifier(featuresCol="ml_vector", labelCol="label_index", maxIter=3, maxDepth=3, seed=42)
+        prepared = fitted["labels"].transform(models._with_vector(rows))
+        raw = (plain.setWeightCol(weight) if weight else plain).fit(prepared).transform(prepared)
+        both = models.score(raw.select("label", "vector", "prediction", F.col("probability").alias("p")).withColumnRenamed("prediction", "raw"), fitted)
+        names = fitted["labels"].labels
+        assert both.where(F.col("predicted_label") != F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("raw") + 1).cast("int"))).count() == 0
+        for r in both.select("vector", "p", "confidence").distinct().collect():
+            assert math.isclose(r["p"].toArray().max(), r["confidence"], abs_tol=1e-9)
+
+
+def test_bins_tell_few_values_apart_and_bound_many(spark):
+    rows = spark.range(5000).select(F.array((F.col("id") % 3).cast("double"), F.lit(2.0), F.col("id").cast("double")).alias("vector"))
+    bounds = models.bin_features(rows).getSplitsArray()
+    assert bounds[0][1:-1] == [1.0, 2.0] and len(bounds[1]) == 3 and len(bounds[2]) == models.BINS + 1
