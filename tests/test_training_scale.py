@@ -82,3 +82,18 @@ def test_bins_tell_few_values_apart_and_bound_many(spark):
     rows = spark.range(5000).select(F.array((F.col("id") % 3).cast("double"), F.lit(2.0), F.col("id").cast("double")).alias("vector"))
     bounds = models.bin_features(rows).getSplitsArray()
     assert bounds[0][1:-1] == [1.0, 2.0] and len(bounds[1]) == 3 and len(bounds[2]) == models.BINS + 1
+
+
+def test_training_reads_its_rows_a_few_times(spark):
+    some, passed = counted(spark, labelled(spark, 2000))
+    _, conf = training.train_evaluate(some, training.TrainingConfig(["f0", "f1"], benign_cap=100, learner_options={"trees": 2, "depth": 3}))
+    assert sum(r["n"] for r in conf.collect()) == 400
+    assert passed.value <= 8 * 2000
+
+
+def test_a_draw_leaves_uncapped_classes_whole(spark):
+    rows = labelled(spark, 1000)
+    kept = balance.undersample(rows, balance.balance_plan(rows, "label", 120), "label", "row_id", 1, keep=training.written)
+    counts = {r.label: r["count"] for r in kept.groupBy("label").count().collect()}
+    assert counts.pop("BENIGN") == 120 and kept.columns == rows.columns
+    assert counts == {r.label: r["count"] for r in rows.where("label <> 'BENIGN'").groupBy("label").count().collect()}
