@@ -91,6 +91,21 @@ def test_training_reads_its_rows_a_few_times(spark):
     assert passed.value <= 8 * 2000
 
 
+def test_folds_read_their_rows_as_often_whatever_the_families_and_learners(spark):
+    seen = []
+    for families, learners in ((["DoS"], ["forest"]), (["DoS", "PortScan", "Bot"], ["forest", "boosted"])):
+        some, passed = counted(spark, labelled(spark, 2000))
+        options = {"forest": {"trees": 2, "depth": 3}, "boosted": {"rounds": 1, "depth": 2}}
+        conf = training.fold_confusions(some, families, [
+            training.TrainingConfig(["f0", "f1"], x, benign_cap=100, learner_options=options[x]) for x in learners]).collect()
+        assert {(r.learner, r.held_out) for r in conf} == {(x, f) for x in learners for f in ["", *families]}
+        assert all(r.rows_left == 0 for r in conf) and sum(r.n for r in conf) == 400 * len(learners) * (1 + len(families))
+        removed = [r for r in conf if r.held_out == "DoS"]
+        assert any(r.y_true == "DoS Hulk" for r in removed) and all(r.y_pred != "DoS Hulk" for r in removed)
+        seen.append(passed.value)
+    assert seen[0] == seen[1]
+
+
 def test_a_draw_leaves_uncapped_classes_whole(spark):
     rows = labelled(spark, 1000)
     kept = balance.undersample(rows, balance.balance_plan(rows, "label", 120), "label", "row_id", 1, keep=training.written)
