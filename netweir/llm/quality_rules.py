@@ -206,7 +206,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     slim = counted.select(F.col("__lang").alias("lang_key"), F.col("__source").alias("source_key"), s.alias("__counts")).where(~base_failed(s))
     rows = staged(slim.select("lang_key", "source_key", *[v.alias(n) for n, v in zip(VECTOR, vector(s))]))
     pools = staged(groups(rows, min_rows))
-    fitted = mcd(rows.join(pools.where("gid IS NOT NULL"), ["lang_key", "source_key"]).select("gid", *VECTOR), share)
+    fitted = mcd(staged(rows.join(pools.where("gid IS NOT NULL"), ["lang_key", "source_key"]).select("gid", *VECTOR)), share)
     fitted = staged(pools.join(fitted, "gid").select(F.col("lang_key").alias("__lang"), F.col("source_key").alias("__source"),
                                                            F.struct("mean", "white", "scale").alias("__fit")))
     cut = chi_square(len(VECTOR), tail_z)

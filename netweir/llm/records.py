@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netweir.llm.common import CACHES, map_texts, slices, text_key
+from netweir.llm.common import CACHES, map_texts, slices, text_key, written
 
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BBq")
 ENTRIES = 600_000
@@ -230,14 +230,11 @@ def index_records(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
     """Writes the offset index as a table with `start`, the ids of all records before, and returns it."""
-    found = f"{index}/records"
-    index_records(spark, path).write.parquet(found)
-    rows = spark.read.parquet(found)
+    rows = written(index_records(spark, path), f"{index}/records")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     files = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    out = f"{index}/index"
-    rows.join(files, "file").withColumn("start", F.col("before") + F.col("file_start")).drop("before", "file_start").write.parquet(out)
-    return spark.read.parquet(out)
+    placed = rows.join(files, "file").withColumn("start", F.col("before") + F.col("file_start")).drop("before", "file_start")
+    return written(placed, f"{index}/index")
 
 
 def shuffled_read(spark: SparkSession, path: str, index: DataFrame, seed: int) -> DataFrame:

@@ -21,10 +21,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from netweir.llm.common import Bitmap, WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, shingle_hashes, slices, small_side, staged, staging, text_key
+from netweir.llm.common import Bitmap, WordHashes, checkpointed, map_texts, mix64, one_row_each, raw, row_count, shingle_hashes, slices, small_side, staged, staging, text_key
 
 CHUNK = 1 << 16
 
@@ -236,14 +236,17 @@ def components(links: DataFrame, stage=checkpointed) -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b); nodes without a link are absent.
 
     Rounds of the large-star and small-star steps; each round is written to the checkpoint folder by `stage`,
-    and the driver sees one count and one checksum of it.
+    and the driver sees one count and one checksum of it, taken as it is written.
     """
-    def marks(frame):
-        return frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("check")
 
-    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                  .distinct())
-    before = marks(edges)
+    def marked(frame):
+        seen = Observation()
+        edges = stage(frame.observe(seen, *marks))
+        return edges, seen.get or edges.agg(*marks).first().asDict()
+
+    edges, before = marked(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                           .distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -252,8 +255,7 @@ def components(links: DataFrame, stage=checkpointed) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = stage(small)
-        after = marks(edges)
+        edges, after = marked(small)
         if after == before:
             break
         before = after
@@ -378,7 +380,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> Da
     Texts stay where they are: a bitmap of the wanted keys passes those and a few others, of which only the
     sets move. A task gives each text once, however many copies it holds.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(Bitmap(nodes.select(F.col("k1").alias("hash"))))
+    wanted = docs.sparkSession.sparkContext.broadcast(Bitmap(nodes.select(F.col("k1").alias("hash")), row_count(nodes)))
     rows = docs.select(*text_key(F.col(text)), F.col(text).alias("body"))
 
     def run(batches):
