@@ -112,3 +112,14 @@ def test_a_draw_leaves_uncapped_classes_whole(spark):
     counts = {r.label: r["count"] for r in kept.groupBy("label").count().collect()}
     assert counts.pop("BENIGN") == 120 and kept.columns == rows.columns
     assert counts == {r.label: r["count"] for r in rows.where("label <> 'BENIGN'").groupBy("label").count().collect()}
+
+
+def test_the_calibration_query_takes_its_whole_grid(spark, monkeypatch):
+    from netweir.plans.catalog import QUERIES
+    asked = {}
+    draw = drift.calibration_draws
+    monkeypatch.setattr(drift, "calibration_draws", lambda df, row_id, windows, draws, seed: asked.update(
+        windows=windows, draws=draws) or draw(df, row_id, windows, 2, seed))
+    found = QUERIES["calibrate_thresholds"](spark, "/root/testdata/sf0.001")
+    assert asked == {"windows": [200, 500, 1000, 2000], "draws": 200}
+    assert {r.window_size for r in found.select("window_size").distinct().collect()} == set(asked["windows"])
