@@ -163,3 +163,34 @@ def test_validated_stream_keeps_every_row_once(spark, tmp_path):
     ok, dead = spark.read.parquet(str(tmp_path / "ok")), spark.read.parquet(str(tmp_path / "dead"))
     assert ok.count() + dead.count() == raw.count() and dead.count() > 0
     assert ok.where("NOT valid").count() == 0
+
+
+def test_a_validated_stream_computes_its_rows_once_and_keeps_none(spark, tmp_path):
+    passed, kept = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(len(batch))
+            yield batch
+
+    for i, values in enumerate(([("1", "2"), ("x", "3")], [("4", "5")])):
+        rows = [(v[1], {"Flow Duration": v[0]}) for v in values]
+        spark.createDataFrame(rows, "row_id string, features map<string,string>").coalesce(1).write.parquet(str(tmp_path / f"raw/b={i}"))
+    raw = spark.read.parquet(str(tmp_path / "raw")).drop("b")
+    stream = streams.flow_stream(spark, str(tmp_path / "raw/*"), raw.schema, files_per_batch=1).mapInPandas(counted, raw.schema)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    split = streams.split_valid
+
+    def watched(checked):
+        kept.append(spark.sparkContext._jsc.getPersistentRDDs().size() - before)
+        return split(checked)
+
+    streams.split_valid = watched
+    try:
+        streams.validate_stream(stream, ["Flow Duration"], str(tmp_path / "ok"), str(tmp_path / "dead"), str(tmp_path / "cp")).awaitTermination()
+    finally:
+        streams.split_valid = split
+    ok, dead = spark.read.parquet(str(tmp_path / "ok")), spark.read.parquet(str(tmp_path / "dead"))
+    assert sorted(r.row_id for r in ok.collect()) == ["2", "5"] and [(r.row_id, r.valid) for r in dead.collect()] == [("3", False)]
+    assert sorted(p.name for p in (tmp_path / "dead").iterdir() if p.name.startswith("batch")) == ["batch=0", "batch=1"]
+    assert passed.value == 3 and not any(kept) and not (tmp_path / "ok/_staging").exists()
