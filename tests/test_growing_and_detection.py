@@ -2,6 +2,7 @@
 
 import io
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,3 +93,30 @@ def test_a_new_version_is_taken_up_between_batches(spark, tmp_path):
     table.withColumn("id", F.col("id") + 10).write.parquet(f"{path}/in/b=1")
     found, _ = run()
     assert {(r.model_version, r.prediction) for r in found.where("id = 10 OR id = 0").collect()} == {("v1", "PortScan"), ("v2", "Bot")}
+
+
+def test_a_version_is_calibrated_from_scores_made_once(spark, tmp_path, monkeypatch):
+    from netweir.plans.catalog import streams
+    passed = spark.sparkContext.accumulator(0)
+    score = anomaly.isolation_score
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(anomaly, "isolation_score", lambda df, *rest: score(df.mapInArrow(counted, df.schema), *rest))
+    sf = "/root/testdata/sf0.001"
+    streams.store_models(spark, sf, str(tmp_path))
+    benign = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag = 'N'").count()
+    assert passed.value == benign == spark.read.parquet(str(tmp_path / "fitted-scores")).count()
+
+
+def test_scores_walk_each_tree_to_its_leaf():
+    stump = {k: np.array(v) for k, v in dict(feature=[-1], threshold=[0.0], left=[-1], right=[-1], length=[3.0]).items()}
+    tree = {k: np.array(v) for k, v in dict(feature=[1, -1, 0, -1, -1], threshold=[2.0, 0.0, 5.0, 0.0, 0.0], left=[1, -1, 3, -1, -1],
+                                            right=[2, -1, 4, -1, -1], length=[0.0, 1.0, 0.0, 2.0, 4.0]).items()}
+    points = np.array([[9.0, 2.0], [5.0, 3.0], [6.0, np.inf], [np.nan, np.nan]])
+    lengths = (np.array([1.0, 2.0, 4.0, 4.0]) + 3.0) / 2
+    assert anomaly._walk(tree)[3] == 2 and anomaly._walk(stump)[3] == 0
+    assert anomaly._scores(points, [tree, stump], 256).tolist() == (-np.power(2.0, -lengths / float(anomaly.expected_path(256)))).tolist()
