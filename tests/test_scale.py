@@ -131,3 +131,34 @@ def test_incident_state_is_called_per_key_and_not_per_incident():
     late = rows.iloc[:1].assign(first_us=301 * 10**6, incident_no=1.0, status="RESOLVED", n=0)
     [last] = processor.handleInputRows((1,), iter([late]), None)
     assert last.iloc[0]["status"] == "RESOLVED" and last["n"].isna().all() and state["k0",][0] == 4
+
+
+def test_a_kept_drift_report_validates_its_rows_once(spark, tmp_path):
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(len(batch))
+            yield batch
+
+    features = ["Flow Duration", "Bwd PSH Flags"]
+    raw = spark.range(300, numPartitions=1).select(F.when(F.col("id") % 7 != 3, F.create_map(
+        F.lit("Flow Duration"), F.col("id").cast("string"))).otherwise(F.create_map(F.lit("x"), F.lit("1"))).alias("features"))
+    reference = spark.createDataFrame([(f, 9.0, 200.0, [2.5 * i for i in range(101)]) for f in features],
+                                      "feature string, p01 double, p99 double, quantiles array<double>")
+    limits = spark.createDataFrame([(200, f, 0.2) for f in features], "window_size int, feature string, p95 double")
+
+    def keep(rows):
+        rows.write.parquet(str(tmp_path / "kept"))
+        return spark.read.parquet(str(tmp_path / "kept"))
+
+    plain = drift.drift_report(validate.validate(raw, features, reference=reference), reference, limits).collect()
+    rows = validate.validate(raw.mapInPandas(counted, raw.schema), features, reference=reference)
+    once = drift.drift_report(rows, reference, limits, features, keep).collect()
+    assert passed.value == 300
+
+    def values(report):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in report)
+
+    assert values(once) == values(plain)
+    assert {r["feature"]: (r["missing_rate"], r["zero_filled_rate"]) for r in once} == {"Flow Duration": (43 / 300, 0.0), "Bwd PSH Flags": (0.0, 1.0)}
